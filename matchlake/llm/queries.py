@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchlake.llm import mixing, names, ranking, survivors
+from matchlake.llm import leaks, mixing, names, quality, ranking, survivors
 from matchlake.util import materialize, table
 
 
@@ -31,6 +31,10 @@ def p6_ranking(spark: SparkSession, d: str) -> DataFrame:
     return ranking.ranked(teams.select(F.col("team_id").cast("bigint").alias("team_id"), "name"), strengths, "team_id")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
 def p9_selection(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(mixing.token_counts(table(spark, d, "documents")), table(spark, d, "mix_targets"))
 
@@ -40,5 +44,13 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.reached_shares(materialize(p9_selection(spark, d), "selection"), targets)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_survivors, p5_found, p6_ranking, p9_selection, p9_shares)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.not_prose(table(spark, d, "documents"))
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.flagged(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_survivors, p5_found, p6_ranking, p8_found, p9_selection, p9_shares, p10_found, p10_statistics)}
 SQL: dict[str, str] = {}
