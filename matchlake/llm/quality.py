@@ -109,7 +109,7 @@ def _measure(text: str | None) -> tuple:
         ended / max(1, len(lines)),
         hits[lang] / max(1, len(tokens)) if lang else 0.0,
         min(1.0, repeated / size),
-        min(1.0, prose / max(1, size - 0)) if alpha else 0.0,
+        min(1.0, prose / size) if alpha else 0.0,
     )
 
 
@@ -149,7 +149,10 @@ def flagged(documents: DataFrame) -> DataFrame:
         low, mid, high = F.get(points, F.lit(POINTS // 4)), F.get(points, F.lit(POINTS // 2)), F.get(points, F.lit(3 * POINTS // 4))
         return (F.col(s) - mid) / F.greatest((high - low) / 1.349, F.lit(0.005))
 
-    both = both.withColumns({f"z_{s}": z(s) for s in STATISTICS} | {f"pct_{s}": F.size(F.filter(f"q_{s}", lambda x, s=s: x <= F.col(s))) / (POINTS + 1) for s in STATISTICS})
+    def pct(s: str) -> Column:
+        return F.size(F.filter(f"q_{s}", lambda x: x <= F.col(s))) / (POINTS + 1)
+
+    both = both.withColumns({f"z_{s}": z(s) for s in STATISTICS} | {f"pct_{s}": pct(s) for s in STATISTICS})
     tails = F.filter(F.array(*[F.when(F.col(f"z_{s}") * side > TAIL_Z, F.lit(s)) for s, side in TAILS.items()]), lambda x: x.isNotNull())
     return both.withColumn("tails", F.when(F.col("words") == 0, F.array(F.lit("words"))).otherwise(tails)).drop(*[f"q_{s}" for s in STATISTICS])
 
