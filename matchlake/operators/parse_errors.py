@@ -28,7 +28,7 @@ NUMBERS = ["home_shots", "away_shots", "home_shots_on_target", "away_shots_on_ta
 #: Files whose schemas are broadcast after their number was counted.
 SCHEMA_ROWS = 10_000
 
-_B = r"[\s ]*+"
+_B = r"[\s\u00a0]*+"
 
 
 def _field(kind: Column, sep: Column, point: Column) -> Column:
@@ -43,7 +43,7 @@ def _field(kind: Column, sep: Column, point: Column) -> Column:
         return both(F.concat(F.lit(_B), v, F.lit(_B)), F.concat(F.lit(_B), v, F.lit(_B)))
 
     any_text = both(F.concat(F.lit("[^\""), sep, F.lit("]*+")), F.lit('(?:[^"]|"")*+'))
-    name = both(F.concat(F.lit(_B + r"[^\s " + '"'), sep, F.lit("][^\""), sep, F.lit("]*+")), F.lit(_B + r'(?:[^"\s ]|"")(?:[^"]|"")*+'))
+    name = both(F.concat(F.lit(_B + r"[^\s\u00a0" + '"'), sep, F.lit("][^\""), sep, F.lit("]*+")), F.lit(_B + r'(?:[^"\s\u00a0]|"")(?:[^"]|"")*+'))
     empty = value(F.lit(""))
     return F.when(kind == "any", any_text).when(kind == "name", name).when(kind == "goals", value(whole)).when(kind == "number", value(number)).when(kind == "empty", empty)
 
@@ -55,7 +55,7 @@ def _kind(column: Column) -> Column:
 def schemas(lines: DataFrame) -> DataFrame:
     """One row per file: its columns, separator and generated patterns."""
     head = lines.where((F.col("line_no") == 1) & F.col("file_name").isNotNull()).groupBy("file_name").agg(F.min("line").alias("h"))
-    head = head.withColumn("h", F.regexp_replace("h", "^﻿", ""))
+    head = head.withColumn("h", F.regexp_replace("h", "^\ufeff", ""))
     head = head.withColumn("sep", F.when(F.size(F.split("h", ";")) > F.size(F.split("h", ",")), ";").otherwise(","))
     head = head.withColumn("columns", F.transform(F.split("h", F.col("sep")), lambda c: F.lower(F.trim(F.replace(c, F.lit('"'), F.lit(""))))))
     sep, point = F.col("sep"), F.when(F.col("sep") == ";", ",").otherwise(r"\.")
@@ -88,13 +88,13 @@ def classified(lines: DataFrame) -> DataFrame:
     body = lines.where(F.col("line_no").isNull() | (F.col("line_no") != 1)).select("line_id", "file_name", "line_no", "line")
     rows = lookup_join(body, schemas(lines), ["file_name"], limit=SCHEMA_ROWS)
     line = F.col("line")
-    blank = F.coalesce(F.regexp_replace(line, r'[\s ]', ""), F.lit("")) == ""
+    blank = F.coalesce(F.regexp_replace(line, r'[\s\u00a0]', ""), F.lit("")) == ""
     # A pattern in a column keeps its compiled form from line to line of a file; rlike would compile it anew.
     whole = F.expr("regexp_extract(line, whole, 0) <> ''")
     formed = F.expr("regexp_extract(line, formed, 0) <> ''")
     unplayed = F.expr("regexp_extract(line, unplayed, 0) <> ''")
     counted = F.expr("regexp_extract(line, counted, 0) <> ''")
-    hollow = F.regexp_replace(F.replace(line, F.col("sep"), F.lit("")), r'[\s ]|""', "") == ""
+    hollow = F.regexp_replace(F.replace(line, F.col("sep"), F.lit("")), r'[\s\u00a0]|""', "") == ""
     sound = F.expr("size(filter(sound, p -> regexp_like(line, p)))")
     typed = F.expr("size(filter(typed, p -> regexp_like(line, p)))")
     n = F.size("columns")
@@ -125,7 +125,7 @@ def loaded_lines(lines: DataFrame) -> DataFrame:
     # One pass cuts a sound line into its fields; an absolute end anchor keeps a trailing empty field.
     cut = F.when(F.col("sep") == ";", F.regexp_extract_all("line", F.lit(r'(?:^|(?<=;))("(?:[^"]|"")*+"[ \t]*+|[^";]*+)'), 1)).otherwise(F.regexp_extract_all("line", F.lit(r'(?:^|(?<=,))("(?:[^"]|"")*+"[ \t]*+|[^",]*+)'), 1))
     bare = F.transform(cut, lambda x: F.when(x.startswith('"'), F.replace(F.regexp_replace(x, r'^"|"[ \t]*$', ""), F.lit('""'), F.lit('"'))).otherwise(x))
-    rows = rows.withColumn("v", F.transform(bare, lambda x: F.regexp_replace(x, r"^[\s ]+|[\s ]+$", "")))
+    rows = rows.withColumn("v", F.transform(bare, lambda x: F.regexp_replace(x, r"^[\s\u00a0]+|[\s\u00a0]+$", "")))
 
     def text(name: str) -> Column:
         at = F.array_position("columns", F.lit(name)).cast("int")

@@ -91,12 +91,12 @@ b AS (SELECT row_id, date, home, away, home_goals, away_goals, competition, sour
     + FX
     + _PLAYED
     + f"""
-SELECT CAST(date AS DATE) AS day, home, away, origin, row_id, date, home_goals, away_goals, competition, source, completed_at FROM b
+SELECT CAST(CAST(date AS DATE) AS VARCHAR) AS day, home, away, origin, row_id, date, home_goals, away_goals, competition, source, completed_at FROM b
 WHERE completed_at < TIMESTAMP '{CUT}'
 QUALIFY row_number() OVER (PARTITION BY CAST(date AS DATE), home, away ORDER BY origin DESC, row_id DESC) = 1"""
 )
 def training_merge_dedup(spark, d):
-    return M.training_set(_valid(spark, d), M.played_fixtures(table(spark, d, "fixtures")), CUT)
+    return M.training_set(_valid(spark, d), M.played_fixtures(table(spark, d, "fixtures")), CUT).withColumn("day", F.col("day").cast("string"))
 
 
 @query(
@@ -105,10 +105,10 @@ def training_merge_dedup(spark, d):
     + FX
     + _PLAYED
     + """
-SELECT CAST(date AS DATE) AS day, home, away, count(*) AS n_rows, count(DISTINCT (home_goals, away_goals)) AS n_scores FROM b GROUP BY ALL HAVING count(DISTINCT (home_goals, away_goals)) > 1"""
+SELECT CAST(CAST(date AS DATE) AS VARCHAR) AS day, home, away, count(*) AS n_rows, count(DISTINCT (home_goals, away_goals)) AS n_scores FROM b GROUP BY ALL HAVING count(DISTINCT (home_goals, away_goals)) > 1"""
 )
 def source_conflicts(spark, d):
-    return M.score_conflicts(M.training_union(_valid(spark, d), M.played_fixtures(table(spark, d, "fixtures"))))
+    return M.score_conflicts(M.training_union(_valid(spark, d), M.played_fixtures(table(spark, d, "fixtures")))).withColumn("day", F.col("day").cast("string"))
 
 
 @query(
