@@ -38,7 +38,7 @@ MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 STRICT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z$"
 DATE_ONLY_SECONDS = 86_399
 
-_ZONE = r"([Zz]|[+-]\d{2}:?\d{2}|\[[^\]]+\]|[A-Za-z]{2,5})"
+_ZONE = r"([Zz]|[+-]\d{2}:?\d{2}|\[[^\]|]+\]|[A-Za-z]{2,5})"
 _TAIL = rf"(?:(?:[Tt]|,?\s+)(\d{{1,2}})[:.](\d{{2}})(?:[:.](\d{{2}})(?:[.,]\d+)?)?\s*([AaPp][Mm])?\s*{_ZONE}?)?$"
 #: Printed shapes; groups after the date are hour, minute, second, AM or PM, zone.
 SHAPES = {
@@ -62,16 +62,20 @@ def _digits(c: Column) -> Column:
     return c.try_cast("int")
 
 
+#: Parts every shape is brought to, in this order, by one replacement.
+PARTS = ["shape", "p1", "p2", "p3", "hh", "mi", "ss", "ap", "zone"]
+
+
 def _fields(value: Column) -> Column:
-    """struct(shape, a, b, c, sep_groups...) of the first shape that matches; null when none does."""
-    out = F.lit(None)
+    """Array of :data:`PARTS` of the first shape that matches; null when none does."""
+    out = F.lit(None).cast("string")
     for name, pattern in reversed(SHAPES.items()):
-        parts = F.struct(
-            F.lit(name).alias("shape"),
-            *[F.regexp_extract(value, pattern, i).alias(k) for i, k in ((1, "p1"), (3, "p2"), (4, "p3"), (5, "hh"), (6, "mi"), (7, "ss"), (8, "ap"), (9, "zone"))],
-        )
-        out = F.when(value.rlike(pattern), parts).otherwise(out)
-    return F.when(value.rlike(EPOCH), F.struct(F.lit("epoch").alias("shape"), value.alias("p1"), *[F.lit("").alias(k) for k in ("p2", "p3", "hh", "mi", "ss", "ap", "zone")])).otherwise(out)
+        out = F.when(value.rlike(pattern), F.regexp_replace(value, pattern, name + "|$1|$3|$4|$5|$6|$7|$8|$9")).otherwise(out)
+    return F.split(F.when(value.rlike(EPOCH), F.concat(F.lit("epoch|"), value, F.lit("|||||||"))).otherwise(out), r"\|")
+
+
+def _part(array: str, name: str) -> Column:
+    return F.get(array, F.lit(PARTS.index(name)))
 
 
 def _month(c: Column) -> Column:
@@ -150,7 +154,7 @@ def read_timestamps(rows: DataFrame, sources: DataFrame, value: str = "date", so
     text = F.trim(F.col(value))
     d = rows.withColumn(p + "strict", F.coalesce(F.col(value).rlike(STRICT), F.lit(False)))
     d = d.withColumn(p + "f", _fields(text))
-    f = F.col(p + "f")
+    f = {name: _part(p + "f", name) for name in PARTS}
     d = d.withColumn(
         p + "dates",
         F.when(
@@ -167,6 +171,8 @@ def read_timestamps(rows: DataFrame, sources: DataFrame, value: str = "date", so
     )
     d = d.withColumn(p + "readings", F.when(F.size(p + "dates") > 0, F.array_join(F.transform(p + "dates", lambda x: x["r"]), "|")))
 
+    d = _held(d, [p + "f", p + "dates", p + "readings"])
+
     zones = sources.select(F.col("source").alias(p + "src"), F.col("tz_name").alias(p + "tz"), F.upper("date_order").alias(p + "declared")).where(F.col(p + "src").isNotNull())
     zones = zones.groupBy(p + "src").agg(F.min(p + "tz").alias(p + "tz"), F.min(p + "declared").alias(p + "declared"))
     d = d.withColumn(p + "src", F.col(source))
@@ -177,7 +183,6 @@ def read_timestamps(rows: DataFrame, sources: DataFrame, value: str = "date", so
     d = d.withColumn(p + "key", F.coalesce(p + "src", F.lit("")))
     d = lookup_join(d, chosen, [p + "key", p + "readings"])
 
-    f = F.col(p + "f")
     picked = F.filter(p + "dates", lambda x: x["r"] == F.col(p + "reading"))
     date = (
         F.when(f["shape"].isin("year_first", "compact"), _date(_digits(f["p1"]), _digits(f["p2"]), _digits(f["p3"])))
@@ -216,7 +221,7 @@ def read_timestamps(rows: DataFrame, sources: DataFrame, value: str = "date", so
     status = (
         F.when(s.isNotNull(), "ok")
         .when(F.coalesce(text, F.lit("")) == "", "missing")
-        .when(f.isNull(), "unreadable")
+        .when(F.col(p + "f").isNull(), "unreadable")
         .when((f["shape"] == "all_number") & (F.size(p + "dates") > 0) & F.col(p + "reading").isNull(), F.when(F.col(p + "posterior") > 0, "ambiguous").otherwise("impossible"))
         .when(wall.isNull(), "impossible")
         .otherwise("no_zone")
@@ -230,7 +235,18 @@ def read_timestamps(rows: DataFrame, sources: DataFrame, value: str = "date", so
         "posterior": F.col(p + "posterior"),
         "status": status,
     }
-    return d.select(*[F.col("`" + c.replace("`", "``") + "`") for c in rows.columns], *[c.alias(prefix + k) for k, c in made.items()])
+    out = d.select(*[F.col("`" + c.replace("`", "``") + "`") for c in rows.columns], *[c.alias(prefix + k) for k, c in made.items()])
+    return _held(out, [prefix + k for k in made])
+
+
+def _held(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The same rows with ``columns`` passed through a one-row generator.
+
+    Otherwise the optimiser pushes every later filter on them below the steps that compute them, with the whole parse
+    inlined and repeated, and the plan outgrows the driver.
+    """
+    keep = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in columns]
+    return df.select(*keep, F.inline(F.array(F.struct(*columns))))
 
 
 def _stored(seconds: Column) -> Column:
