@@ -41,9 +41,21 @@ def margins(outcomes: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), (-F.col("x")).alias("x"), "n"))
 
 
-def spectral_ranking(outcomes: DataFrame, steps: int = STEPS, tolerance: float = 1e-7) -> DataFrame:
+def _projected(betas: list[float]) -> np.ndarray:
+    """The matrix in the basis: skew-symmetric and tridiagonal."""
+    t = np.diag(betas[:-1], -1)
+    return t - t.T
+
+
+def _settled(betas: list[float], tolerance: float) -> bool:
+    values, vectors = np.linalg.eig(_projected(betas))
+    lead = int(np.argmax(np.abs(values.imag)))
+    return betas[-1] * abs(vectors[-1, lead]) < tolerance * max(abs(values[lead]), 1e-12)
+
+
+def spectral_ranking(outcomes: DataFrame, steps: int = STEPS, tolerance: float = 1e-4) -> DataFrame:
     """(item, strength, met) for every item with an outcome; strengths have mean 0 and deviation 1."""
-    raw = materialize(margins(outcomes), "margins")
+    raw = materialize(margins(materialize(outcomes.select("a", "b", "a_score", "b_score"), "outcomes")), "margins")
     degree = raw.groupBy("i").agg(F.sum(F.col("n") / (F.col("n") + SHRINK)).alias("d"), F.sum("n").alias("met"))
     degree = materialize(degree, "degree")
     scaled = raw.join(degree.select("i", F.col("d").alias("di")), "i").join(degree.select(F.col("i").alias("j"), F.col("d").alias("dj")), "j")
@@ -54,30 +66,21 @@ def spectral_ranking(outcomes: DataFrame, steps: int = STEPS, tolerance: float =
     norm = start.agg(F.sqrt(F.sum(F.col("w") * F.col("w")))).first()[0]
     if not norm:
         return degree.select(F.col("i").alias("item"), F.lit(None).cast("double").alias("strength"), "met")
-    basis = materialize(start.select("i", F.array(F.col("w") / norm).alias("q")), "basis")
-    projected = np.zeros((steps + 1, steps + 1))
-    m = 0
+    basis = start.select("i", F.array(F.col("w") / norm).alias("q"))
+    betas: list[float] = []
     for k in range(steps):
-        product = edges.join(basis.select(F.col("i").alias("j"), F.get("q", F.lit(k)).alias("v")), "j").groupBy("i").agg(F.sum(F.col("x") * F.col("v")).alias("w"))
-        held = materialize(basis.join(product, "i", "left").select("i", "q", F.coalesce("w", F.lit(0.0)).alias("w")), "product")
-        row = held.agg(F.sum(F.col("w") * F.col("w")), *[F.sum(F.col("w") * F.get("q", F.lit(p))) for p in range(k + 1)]).first()
-        coefficients = [float(x) for x in row[1:]]
-        projected[: k + 1, k] = coefficients
-        m = k + 1
-        left = float(row[0]) - sum(c * c for c in coefficients)
-        beta = math.sqrt(max(left, 0.0))
-        if beta < 1e-9 or m == steps:
+        product = edges.join(basis.select(F.col("i").alias("j"), F.element_at("q", -1).alias("v")), "j").groupBy("i").agg(F.sum(F.col("x") * F.col("v")).alias("w"))
+        rest = F.coalesce("w", F.lit(0.0))
+        if betas:  # skew-symmetric: only the last two directions are needed
+            rest = rest + F.lit(betas[-1]) * F.element_at("q", -2)
+        held = materialize(basis.join(product, "i", "left").select("i", "q", rest.alias("w")), "product")
+        beta = float(held.agg(F.sqrt(F.sum(F.col("w") * F.col("w")))).first()[0])
+        betas.append(beta)
+        if beta < 1e-9 or k == steps - 1 or (k >= 7 and _settled(betas, tolerance)):
             break
-        if m >= 6:
-            values, vectors = np.linalg.eig(projected[:m, :m])
-            lead = int(np.argmax(np.abs(values.imag)))
-            if beta * abs(vectors[m - 1, lead]) < tolerance * max(abs(values[lead]), 1e-12):
-                break
-        projected[k + 1, k] = beta
-        rest = F.col("w")
-        for p, c in enumerate(coefficients):
-            rest = rest - F.lit(c) * F.get("q", F.lit(p))
-        basis = held.select("i", F.concat("q", F.array(rest / beta)).alias("q"))
+        basis = held.select("i", F.concat("q", F.array(F.col("w") / beta)).alias("q"))
+    m = len(betas)
+    projected = _projected(betas)
     values, vectors = np.linalg.eig(projected[:m, :m])
     y = vectors[:, int(np.argmax(np.abs(values.imag)))]
     root = 1.0 / F.sqrt("d")  # an item's entries of the scaled matrix grow with the root of its degree
