@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 from matchlake.operators.timestamps import STRICT
 from matchlake.util import lookup_join
 
-#: Levels of the dyadic cut; 2**LEVELS changes of one entity.
-LEVELS = 40
 DAY = 86_400_000_000
 
 
@@ -51,11 +49,13 @@ def _counted(times: DataFrame) -> DataFrame:
 def winners(spans: DataFrame, numbers: DataFrame) -> DataFrame:
     """``(e, number, best)``: the winning version between change ``number`` and the next. numbers(e, t, number)."""
     at = numbers.select("e", F.col("t"), "number")
+    most = numbers.agg(F.max("number")).first()[0]  # the number of changes of one entity fixes the levels of the cut
+    levels = int(most or 0).bit_length() + 1
     cut = spans.join(at.withColumnsRenamed({"t": "lo", "number": "i"}), ["e", "lo"]).join(at.withColumnsRenamed({"t": "hi", "number": "j"}), ["e", "hi"], "left")
     last = numbers.groupBy("e").agg((F.max("number") + 1).alias("end"))
     cut = cut.join(last, "e").select("e", "i", F.coalesce("j", "end").alias("j"), "best")
     # [i, j) as dyadic ranges: at level l the left end is cut where its bit is set, the right end likewise.
-    lv = F.sequence(F.lit(0), F.lit(LEVELS))
+    lv = F.sequence(F.lit(0), F.lit(levels))
 
     def ranges(l):  # noqa: E741
         power = F.call_function("shiftleft", F.lit(1).cast("bigint"), l)
@@ -68,13 +68,15 @@ def winners(spans: DataFrame, numbers: DataFrame) -> DataFrame:
     pieces = pieces.groupBy("e", F.col("r.l").alias("l"), F.col("r.p").alias("p")).agg(F.max("best").alias("best"))
     above = numbers.select("e", "number", F.explode(F.transform(lv, lambda l: F.struct(l.alias("l"), F.floor(F.col("number") / F.call_function("shiftleft", F.lit(1).cast("bigint"), l)).cast("bigint").alias("p")))).alias("r"))  # noqa: E741
     above = above.select("e", "number", F.col("r.l").alias("l"), F.col("r.p").alias("p"))
-    return above.join(pieces, ["e", "l", "p"]).groupBy("e", "number").agg(F.max("best").alias("best"))
+    # Both sides are many times what they are made of, which the planner cannot know: never broadcast them.
+    return above.hint("merge").join(pieces.hint("merge"), ["e", "l", "p"]).groupBy("e", "number").agg(F.max("best").alias("best"))
 
 
 def as_known(events: DataFrame, versions: DataFrame, entity: str, micros: str, version_id: str = "version_id", attributes: list[str] | None = None) -> DataFrame:
     """Left-joins to each event the version of ``entity`` that was valid and known at ``micros`` (UTC microseconds).
 
-    Adds ``version_id`` and the ``attributes`` asked for, named ``known_<attribute>``.
+    Adds ``version_id`` and the ``attributes`` asked for, named ``known_<attribute>``; columns of the input of these
+    names are replaced.
     """
     spans = version_spans(versions, entity, version_id)
     changes = spans.select("e", F.col("lo").alias("t")).union(spans.where("hi is not null").select("e", F.col("hi").alias("t"))).withColumn("change", F.lit(1))
@@ -83,10 +85,12 @@ def as_known(events: DataFrame, versions: DataFrame, entity: str, micros: str, v
     best = winners(spans, _counted(changes))
     wide = best.select(F.col("e"), F.col("number"), F.col("best.id").alias("__id"))
     if attributes:
-        wide = wide.join(versions.select(F.col(version_id).alias("__id"), *[F.col(a).alias(f"known_{a}") for a in attributes]), "__id")
-    keyed = lookup_join(events.withColumns({"e": F.col(entity), "t": F.col(micros)}), numbered, ["e", "t"])
-    out = lookup_join(keyed, wide, ["e", "number"])
-    return out.select(*[F.col("`" + c + "`") for c in events.columns], F.col("__id").alias("version_id"), *[f"known_{a}" for a in attributes or []])
+        wide = wide.join(versions.select(F.col(version_id).alias("__id"), *[F.col(a).alias(f"__known_{a}") for a in attributes]), "__id")
+    keyed = lookup_join(events.withColumns({"__e": F.col(entity), "__t": F.col(micros)}), numbered.toDF("__e", "__t", "__number"), ["__e", "__t"])
+    out = lookup_join(keyed, wide.withColumnsRenamed({"e": "__e", "number": "__number"}), ["__e", "__number"])
+    made = ["version_id", *[f"known_{a}" for a in attributes or []]]
+    kept = [c for c in events.columns if c not in made]
+    return out.select(*[F.col("`" + c.replace("`", "``") + "`") for c in kept], F.col("__id").alias("version_id"), *[F.col(f"__known_{a}").alias(f"known_{a}") for a in attributes or []])
 
 
 def history_versions(history: DataFrame, versions: DataFrame) -> DataFrame:

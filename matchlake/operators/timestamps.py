@@ -148,9 +148,11 @@ def read_timestamps(rows: DataFrame, sources: DataFrame, value: str = "date", so
     ``{prefix}has_time``, ``{prefix}reading``, ``{prefix}posterior`` and ``{prefix}status`` (ok, missing, unreadable,
     impossible, ambiguous, no_zone) to ``rows``.
 
-    ``sources(source, tz_name, date_order)`` gives each source's zone and declared order; both may be null.
+    ``sources(source, tz_name, date_order)`` gives each source's zone and declared order; both may be null. Columns of
+    ``rows`` that have the names made here are replaced.
     """
     p = "__" + prefix
+    rows = rows.drop(*[prefix + k for k in ("seconds", "utc", "strict", "has_time", "reading", "posterior", "status")])
     text = F.trim(F.col(value))
     d = rows.withColumn(p + "strict", F.coalesce(F.col(value).rlike(STRICT), F.lit(False)))
     d = d.withColumn(p + "f", _fields(text))
