@@ -69,7 +69,8 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
 
     Without ``total_tokens`` a mix is as large as its sources' caps allow all shares to be met.
     """
-    sizes = sizes.where("source is not null and tokens > 0 and doc_id is not null")
+    sizes = sizes.select("doc_id", "source", "tokens", "quality").where("source is not null and tokens > 0 and doc_id is not null")
+    targets = targets.select("mix", "source", "target_share", "max_repeats")
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2**52)) + 0.5) / float(2**52)
     keyed = sizes.withColumn("key", -F.log(u) / F.pow(F.greatest(F.col("quality"), F.lit(0.01)), F.lit(2.0)))
     # A monotone map of keys to (0, 1); ranges of it are summed first.

@@ -131,7 +131,7 @@ def sketches(stats: DataFrame) -> DataFrame:
     """Per inferred language (and '' for all together) the quantile points of each statistic, from merged KLL sketches."""
     per = stats.groupBy("inferred").agg(*[F.kll_sketch_agg_double(s, SKETCH_K).alias(s) for s in STATISTICS])
     per = materialize(per, "sketches")
-    pooled = per.agg(*[F.kll_merge_agg_double(s).alias(s) for s in STATISTICS]).where(F.col(STATISTICS[0]).isNotNull()).select(F.lit("").alias("inferred"), *STATISTICS)
+    pooled = per.agg(*[F.kll_merge_agg_double(s).alias(s) for s in STATISTICS], F.count("*").alias("n")).where("n > 0").select(F.lit("").alias("inferred"), *STATISTICS)
     points = F.array(*[F.lit(i / POINTS) for i in range(POINTS + 1)])
     both = per.where("inferred <> ''").unionByName(pooled)
     return both.select("inferred", *[F.kll_sketch_get_quantile_double(F.col(s), points).alias(f"q_{s}") for s in STATISTICS])

@@ -11,7 +11,7 @@ bins reach the driver.
 
 Defined results: outcomes with a null item or score, or of an item with itself, are ignored; items that never met
 another get strength null and stand last by id; ties of strength are ordered by id; repeated outcomes count each; no
-outcomes give null strengths; further columns are ignored. Items of a part of the graph without any link to the rest
+outcomes give null strengths and only level ones strength 0; further columns are ignored. Items of a part of the graph without any link to the rest
 are compared with the rest only through the spectrum, which has no meaning across parts.
 """
 
@@ -28,12 +28,14 @@ from matchlake.util import materialize
 DIRECTIONS = 3600
 STEPS = 30
 SHRINK = 1.0
+#: Level outcomes added before the advantage of the side named first is estimated.
+FEW = 100
 
 
 def margins(outcomes: DataFrame) -> DataFrame:
     """(i, j, x, n): both directions of each pair's margin. outcomes(a, b, a_score, b_score)."""
     met = outcomes.where("a is not null and b is not null and a <> b and a_score is not null and b_score is not null").select("a", "b", F.signum(F.col("a_score") - F.col("b_score")).cast("double").alias("won"))
-    first = met.agg(F.avg("won")).first()[0] or 0.0
+    first = met.agg(F.sum("won") / (F.count("*") + FEW)).first()[0] or 0.0
     flip = F.col("a") > F.col("b")
     won = F.col("won") - F.lit(float(first))
     pairs = met.groupBy(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).agg(F.sum(F.when(flip, -won).otherwise(won)).alias("s"), F.count("*").alias("n"))
@@ -82,6 +84,8 @@ def spectral_ranking(outcomes: DataFrame, steps: int = STEPS, tolerance: float =
     m = len(betas)
     projected = _projected(betas)
     values, vectors = np.linalg.eig(projected[:m, :m])
+    if np.abs(values.imag).max() < 1e-9:
+        return degree.select(F.col("i").alias("item"), F.lit(0.0).alias("strength"), "met")
     y = vectors[:, int(np.argmax(np.abs(values.imag)))]
     root = 1.0 / F.sqrt("d")  # an item's entries of the scaled matrix grow with the root of its degree
     mix = lambda part: sum((F.lit(float(c)) * F.get("q", F.lit(p)) for p, c in enumerate(part)), F.lit(0.0))
@@ -112,9 +116,12 @@ def ranked(items: DataFrame, strengths: DataFrame, item: str) -> DataFrame:
 
     Positions are counted in ranges of strength, then inside each range, so no task sorts all items.
     """
-    both = items.join(strengths.withColumnRenamed("item", item), item, "left").withColumn("met", F.coalesce("met", F.lit(0)))
-    both = materialize(both.withColumn("part", F.when(F.col("strength").isNull(), F.lit(10_000)).otherwise(F.floor((F.lit(5.0) - F.greatest(F.least("strength", F.lit(5.0)), F.lit(-5.0))) * 100))), "ranked")
-    sizes = both.groupBy("part").agg(F.count("*").alias("size"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("size")
-    inside = both.withColumn("inside", F.row_number().over(Window.partitionBy("part").orderBy(F.col("strength").desc_nulls_last(), item)))
-    return inside.join(F.broadcast(before), "part").withColumn("rank", (F.col("before") + F.col("inside")).cast("bigint")).drop("part", "before", "inside")
+    made = ["strength", "met", "rank"]
+    items = items.drop(*made)
+    both = items.join(strengths.select(F.col("item").alias(item), "strength", "met"), item, "left").withColumn("met", F.coalesce("met", F.lit(0)))
+    part = F.when(F.col("strength").isNull(), F.lit(10_000)).otherwise(F.floor((F.lit(5.0) - F.greatest(F.least("strength", F.lit(5.0)), F.lit(-5.0))) * 100))
+    both = materialize(both.withColumn("__part", part), "ranked")
+    sizes = both.groupBy("__part").agg(F.count("*").alias("__size"))  # at most 1,002 ranges
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__size")
+    inside = both.withColumn("__inside", F.row_number().over(Window.partitionBy("__part").orderBy(F.col("strength").desc_nulls_last(), item)))
+    return inside.join(F.broadcast(before), "__part").withColumn("rank", (F.col("__before") + F.col("__inside")).cast("bigint")).drop("__part", "__before", "__inside")
