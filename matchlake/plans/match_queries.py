@@ -547,9 +547,10 @@ bn AS (SELECT outcome, CAST(least(floor(p * 10), 9) AS INTEGER) AS bin, count(*)
 cb AS (SELECT CAST(o.outcome AS INTEGER) AS outcome, CAST(b.bin AS INTEGER) AS bin, coalesce(n, 0) AS n, mean_p, observed FROM (SELECT unnest([0, 1, 2]) AS outcome) o CROSS JOIN (SELECT unnest(range(0, 10)) AS bin) b LEFT JOIN bn ON bn.outcome = o.outcome AND bn.bin = b.bin)"""
 
 
-@query(_FC + _BINS + "\nSELECT outcome, bin, n, round(mean_p, 6) AS mean_p, round(observed, 6) AS observed FROM cb")
+@query(_FC + _BINS + "\nSELECT outcome, bin, n, round(mean_p, 9) AS mean_p, round(observed, 9) AS observed FROM cb")
 def calibration_bins(spark, d):
-    return _rounded(E.calibration_bins(_forecasts(spark, d)), "mean_p", "observed")
+    # Means of six-digit values end in a 5 too often for six digits.
+    return E.calibration_bins(_forecasts(spark, d)).withColumns({c: F.round(c, 9) for c in ("mean_p", "observed")})
 
 
 @query(_FC + _BINS + "\nSELECT round(avg(e), 6) AS ece FROM (SELECT outcome, sum(coalesce(n * abs(mean_p - observed), 0)) / greatest(sum(n), 1) AS e FROM cb GROUP BY outcome)")
