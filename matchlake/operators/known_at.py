@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchlake.operators.timestamps import STRICT
-from matchlake.util import lookup_join
+from matchlake.util import lookup_join, materialize
 
 DAY = 86_400_000_000
 
@@ -82,7 +82,7 @@ def as_known(events: DataFrame, versions: DataFrame, entity: str, micros: str, v
     changes = spans.select("e", F.col("lo").alias("t")).union(spans.where("hi is not null").select("e", F.col("hi").alias("t"))).withColumn("change", F.lit(1))
     asked = events.where(F.col(entity).isNotNull() & F.col(micros).isNotNull()).select(F.col(entity).alias("e"), F.col(micros).alias("t")).withColumn("change", F.lit(0))
     numbered = _counted(changes.union(asked))
-    best = winners(spans, _counted(changes))
+    best = winners(spans, materialize(_counted(changes), "changes"))
     wide = best.select(F.col("e"), F.col("number"), F.col("best.id").alias("__id"))
     if attributes:
         wide = wide.join(versions.select(F.col(version_id).alias("__id"), *[F.col(a).alias(f"__known_{a}") for a in attributes]), "__id")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlake.util import lookup_join
+from matchlake.util import lookup_join, materialize
 
 #: Keys a block of ordinals is meant to hold.
 BLOCK_KEYS = 4096
@@ -35,13 +35,13 @@ def snapshot_changes(rows: DataFrame, series: str, snapshot: str, key: str, vers
     keys = lookup_join(keys, blocks, ["s"], "inner").withColumn("b", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).drop("blocks")
     ordinals = keys.withColumn("o", F.row_number().over(Window.partitionBy("s", "b").orderBy("first", "k")) - 1).select("s", "k", "b", (F.col("o") / 64).cast("int").alias("w"), (F.col("o") % 64).cast("int").alias("bit"))
 
-    order = one.select("s", "n").distinct().withColumn("i", F.row_number().over(Window.partitionBy("s").orderBy("n")))
+    order = materialize(one.select("s", "n").distinct().withColumn("i", F.row_number().over(Window.partitionBy("s").orderBy("n"))), "order")
     words = (
         one.join(ordinals, ["s", "k"])
         .groupBy("s", "b", "w", "n")
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit"))).alias("now"), F.sort_array(F.collect_list(F.struct("bit", "k", "a"))).alias("vec"))
     )
-    words = lookup_join(words, order, ["s", "n"], "inner")
+    words = lookup_join(words, order, ["s", "n"], "inner", held=True)
     word = Window.partitionBy("s", "b", "w").orderBy("i")
     here = words.withColumn("before", F.lag(F.struct("i", "now", "vec")).over(word)).withColumn("next_i", F.lead("i").over(word))
 
@@ -73,7 +73,7 @@ def snapshot_changes(rows: DataFrame, series: str, snapshot: str, key: str, vers
 
     # A word without set bits in the next snapshot has no row there: all its keys are removed.
     ended = here.where(F.col("next_i").isNull() | (F.col("next_i") > F.col("i") + 1)).select("s", (F.col("i") + 1).alias("i"), F.transform("vec", lambda x: x["k"]).alias("ks"))
-    ended = lookup_join(ended, order, ["s", "i"], "inner").select("s", "n", F.lit("removed").alias("kind"), F.explode("ks").alias("k"))
+    ended = lookup_join(ended, order, ["s", "i"], "inner", held=True).select("s", "n", F.lit("removed").alias("kind"), F.explode("ks").alias("k"))
     return within.unionByName(ended).select(F.col("s").alias(series), F.col("n").alias(snapshot), F.col("k").alias(key), F.col("kind").alias("change_kind"))
 
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.util import lookup_join
+from matchlake.util import lookup_join, materialize
 
 # What zone abbreviations mean, in hours east of UTC.
 ABBREVIATIONS = {
@@ -178,7 +178,8 @@ def read_timestamps(rows: DataFrame, sources: DataFrame, value: str = "date", so
     zones = sources.select(F.col("source").alias(p + "src"), F.col("tz_name").alias(p + "tz"), F.upper("date_order").alias(p + "declared")).where(F.col(p + "src").isNotNull())
     zones = zones.groupBy(p + "src").agg(F.min(p + "tz").alias(p + "tz"), F.min(p + "declared").alias(p + "declared"))
     d = d.withColumn(p + "src", F.col(source))
-    d = lookup_join(d, zones, [p + "src"])
+    zones = materialize(zones, "zones")
+    d = lookup_join(d, zones, [p + "src"], held=True)
 
     counts = d.where(F.col(p + "readings").isNotNull()).groupBy(F.coalesce(p + "src", F.lit("")).alias("source_key"), F.col(p + "readings").alias("readings")).agg(F.first(p + "declared", True).alias("declared"), F.count("*").alias("n"))
     chosen = order_posteriors(counts).select(F.col("source_key").alias(p + "key"), F.col("readings").alias(p + "readings"), F.col("reading").alias(p + "reading"), F.col("posterior").alias(p + "posterior"))

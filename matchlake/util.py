@@ -50,8 +50,13 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def lookup_join(big: DataFrame, lookup: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
-    """Join ``lookup`` (unique on ``on``) to ``big``: broadcast when its counted size is within ``limit``, else salted."""
+def lookup_join(big: DataFrame, lookup: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_ROWS, salts: int = SALTS, held: bool = False) -> DataFrame:
+    """Join ``lookup`` (unique on ``on``) to ``big``: broadcast when its counted size is within ``limit``, else salted.
+
+    ``lookup`` is materialised first, so that counting it does not compute it twice, unless it is ``held`` already.
+    """
+    if not held:
+        lookup = materialize(lookup, "lookup")
     if small(lookup, limit):
         return big.join(F.broadcast(lookup), on, how)
     return salted_join(big, lookup, on, how, salts)
