@@ -33,7 +33,7 @@ def fold(text: str) -> str:
     return " ".join("".join(c for c in text if not unicodedata.combining(c)).split())
 
 
-@lru_cache(100_000)
+@lru_cache(10_000)
 def tokens(text: str) -> tuple[tuple[str, bool], ...]:
     """The name's tokens, each with whether a dot cuts it short."""
     text = fold(text)
@@ -75,7 +75,7 @@ def _subsequence(short: str, long: str) -> bool:
     return all(c in it for c in short)
 
 
-@lru_cache(400_000)
+@lru_cache(50_000)
 def token_cost(typed: str, cut: bool, known: str, kind: bool) -> float | None:
     """Cost of ``typed`` standing for ``known``; None when it cannot."""
     if typed == known:
