@@ -649,7 +649,7 @@ def _season_arrays(spark, d) -> simulate.Season:
     import numpy as np
 
     rows = _season(spark, d).orderBy("fixture").toPandas()  # 144 fixtures, a fixed size
-    balance = {int(r["c_custkey"]) - 1: float(r["c_acctbal"]) for r in table(spark, d, "customer").where("c_custkey <= 36").select("c_custkey", "c_acctbal").collect()}
+    balance = {int(r["c_custkey"]) - 1: float(r["c_acctbal"]) for r in table(spark, d, "customer").where("c_custkey between 1 and 36").select("c_custkey", "c_acctbal").collect()}
     b = np.array([balance[i] for i in range(36)]) / 40000
     gap = b[:, None] - b[None, :]
     rates = np.stack([np.stack([np.exp(0.3 - 0.2 * n + gap), np.exp(0.1 + 0.1 * n - gap)], 2) for n in (0, 1)])
@@ -709,3 +709,126 @@ def calibrator_fit(spark, d):
 @query()
 def elo_replay(spark, d):
     return ratings.replay(_known(spark, d), ["2023-07-01 00:00:00", "2024-07-01 00:00:00", CUT])
+
+
+# ---- reports, serving and remaining selections -----------------------------------------------------------------------
+
+
+@query(
+    _SEASON
+    + """, n AS (SELECT unnest([0, 1]) AS neutral), t AS (SELECT CAST(c_custkey - 1 AS INTEGER) AS i, b FROM c WHERE c_custkey BETWEEN 1 AND 36)
+SELECT n.neutral, h.i AS home, a.i AS away, round(exp(0.3 - 0.2 * neutral + (h.b - a.b) / 40000), 6) AS home_rate, round(exp(0.1 + 0.1 * neutral + (a.b - h.b) / 40000), 6) AS away_rate FROM n, t h, t a WHERE h.i <> a.i"""
+)
+def all_pairs_rates(spark, d):
+    t = table(spark, d, "customer").where("c_custkey between 1 and 36").select((F.col("c_custkey") - 1).cast("int").alias("i"), F.col("c_acctbal").cast("double").alias("b"))
+    # 36 teams of one season against each other at home and on neutral ground: 2,520 rows at any size of the data.
+    h, a = t.toDF("home", "hb"), F.broadcast(t.toDF("away", "ab"))
+    pairs = h.join(a, F.col("home") != F.col("away")).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("neutral"))
+    gap = (F.col("hb") - F.col("ab")) / 40000
+    return pairs.select("neutral", "home", "away", F.round(F.exp(0.3 - 0.2 * F.col("neutral") + gap), 6).alias("home_rate"), F.round(F.exp(0.1 + 0.1 * F.col("neutral") - gap), 6).alias("away_rate"))
+
+
+_OPEN = _RATES.replace("SELECT DISTINCT home, away FROM u WHERE competition = 'UCL'", "SELECT DISTINCT home, away FROM fixtures WHERE home_goals IS NULL AND home IS NOT NULL AND away IS NOT NULL")
+
+
+@query(_OPEN + "," + _PMF + f", o AS (SELECT home, away, {_OUT} FROM gr GROUP BY home, away)\nSELECT x.row_id, p_home, p_draw, p_away FROM fixtures x LEFT JOIN o ON x.home_goals IS NULL AND o.home = x.home AND o.away = x.away")
+def fixture_predictions(spark, d):
+    fx = table(spark, d, "fixtures").select("row_id", "home", "away", "home_goals")
+    pairs = fx.where("home_goals is null and home is not null and away is not null").select("home", "away").distinct()
+    out = _rounded(dist.grid_outcomes(dist.grid(_rates(spark, d, pairs), "lh", "la"), ["home", "away"]), "p_home", "p_draw", "p_away")
+    played = fx.where("home_goals is not null").select("row_id", *[F.lit(None).cast("double").alias(c) for c in ("p_home", "p_draw", "p_away")])
+    return fx.where("home_goals is null").join(out, ["home", "away"], "left").select("row_id", "p_home", "p_draw", "p_away").unionByName(played)
+
+
+@query(_RATES + "," + _PMF + f", o AS (SELECT home || '|' || away AS team, {_OUT} FROM gr GROUP BY home, away)\nSELECT 'blank_team' AS rule, count(*) FILTER (WHERE team IS NULL OR trim(team) = '') AS violations FROM o UNION ALL SELECT 'not_finite', count(*) FILTER (WHERE NOT isfinite(p_home) OR NOT isfinite(p_draw) OR NOT isfinite(p_away)) FROM o UNION ALL SELECT 'outside_unit', count(*) FILTER (WHERE least(p_home, p_draw, p_away) < 0 OR greatest(p_home, p_draw, p_away) > 1) FROM o UNION ALL SELECT 'repeated_team', count(team) - count(DISTINCT team) FROM o UNION ALL SELECT 'sum_off', count(*) FILTER (WHERE abs(p_home + p_draw + p_away - 1) > 1e-5) FROM o")
+def probability_checks(spark, d):
+    o = grid_outcomes(spark, d).select(F.concat_ws("|", "home", "away").alias("team"), "p_home", "p_draw", "p_away")
+    off = o.agg(F.lit("sum_off").alias("rule"), F.count_if(F.abs(F.col("p_home") + F.col("p_draw") + F.col("p_away") - 1) > 1e-5).alias("violations"))
+    return validate.probability_report(o, ["p_home", "p_draw", "p_away"]).unionByName(off)
+
+
+@query(
+    V
+    + ","
+    + SIDES
+    + f""", c AS (SELECT team, competition, count(*) AS n FROM s WHERE NOT {EURO} GROUP BY ALL),
+b AS (SELECT team, competition AS league FROM c QUALIFY row_number() OVER (PARTITION BY team ORDER BY n DESC, competition) = 1)
+SELECT u.row_id, coalesce(h.league, 'OTHER') AS home_league, coalesce(a.league, 'OTHER') AS away_league, coalesce(h.league, 'OTHER') <> coalesce(a.league, 'OTHER') AS cross_league
+FROM u LEFT JOIN b h ON h.team = u.home LEFT JOIN b a ON a.team = u.away"""
+)
+def league_lookup(spark, d):
+    u = _unique(spark, d)
+    league = materialize(M.modal_league(u), "league")
+    rows = u.select("row_id", "home", "away").join(league.toDF("home", "hl"), "home", "left").join(league.toDF("away", "al"), "away", "left")
+    other = F.lit("OTHER")
+    return rows.select("row_id", F.coalesce("hl", other).alias("home_league"), F.coalesce("al", other).alias("away_league"), (F.coalesce("hl", other) != F.coalesce("al", other)).alias("cross_league"))
+
+
+@query(
+    _RATES
+    + ","
+    + _PMF
+    + """, cu AS (SELECT home, away, hg, ag, hg * 13 + ag AS cell, round(sum(p) OVER (PARTITION BY home, away ORDER BY hg * 13 + ag), 10) AS c FROM gr),
+d AS (SELECT home, away, CAST(('0x' || substr(md5('3:' || home || ':' || away), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496 AS u FROM rt)
+SELECT d.home, d.away, CAST(least(count(*) FILTER (WHERE c <= u), 168) // 13 AS INTEGER) AS hg, CAST(least(count(*) FILTER (WHERE c <= u), 168) % 13 AS INTEGER) AS ag FROM d JOIN cu ON cu.home = d.home AND cu.away = d.away GROUP BY d.home, d.away"""
+)
+def sampled_scores(spark, d):
+    from matchlake.functions.random import uniform
+
+    cells = dist.grid(_rates(spark, d), "lh", "la").withColumn("cell", F.col("hg") * 13 + F.col("ag"))
+    upto = cells.withColumn("c", F.round(F.sum("p").over(Window.partitionBy("home", "away").orderBy("cell")), 10))
+    drawn = upto.groupBy("home", "away").agg(F.least(F.count_if(F.col("c") <= uniform(F.lit(3), F.col("home"), F.col("away"))), F.lit(168)).alias("at"))
+    return drawn.select("home", "away", F.floor(F.col("at") / 13).cast("int").alias("hg"), (F.col("at") % 13).cast("int").alias("ag"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY expected_rank, team) AS BIGINT) AS place, team, round(expected_rank, 4) AS expected_rank, round(p_top8 * 100, 2) AS top8_pct FROM (" + SQL["league_monte_carlo"] + ")")
+def projected_table(spark, d):
+    # One season has 36 teams, so the order fits one task.
+    return league_monte_carlo(spark, d).select(F.row_number().over(Window.orderBy("expected_rank", "team")).cast("bigint").alias("place"), "team", F.round("expected_rank", 4).alias("expected_rank"), F.round(F.col("p_top8") * 100, 2).alias("top8_pct"))
+
+
+@query()
+def rolling_evaluation(spark, d):
+    """Per fold and model the metrics of forecasts fitted on what was known before the fold, and the model selected."""
+    rows = materialize(_known(spark, d), "known")
+    bounds = E.fold_bounds(rows.where("competition = 'UCL'")).orderBy("fold").collect()  # one row per fold
+    out = None
+    for b in bounds:
+        start, end = str(b["start"]), str(b["end"] or "9999-01-01 00:00:00")
+        test = rows.where((F.col("competition") == "UCL") & (F.col("date") >= F.lit(start).cast("timestamp_ntz")) & (F.col("date") < F.lit(end).cast("timestamp_ntz")))
+        test = test.select("row_id", "home", "away", "home_goals", "away_goals", F.lit(False).alias("neutral"))
+        goal = fit.fit_poisson(rows, start)
+        for ordinal, model in enumerate((goal, fit.fit_baseline(rows, start), fit.fit_low_score(rows, goal, start))):
+            rated = model.rates(test)
+            key = ["row_id", "home_goals", "away_goals"]
+            cells = dist.corrected_grid(rated, ["row_id"], "home_rate", "away_rate", model.rho) if model.rho else dist.grid(rated, "home_rate", "away_rate")
+            f = dist.grid_outcomes(cells, key).withColumns({"model": F.lit(model.model_type), "ordinal": F.lit(ordinal), "fold": F.lit(b["fold"])})
+            out = f if out is None else out.unionByName(f)
+    scores = materialize(E.outcome_metrics(out, ["model", "ordinal", "fold"]), "scores")
+    chosen = E.promoted(scores.where(F.col("fold") < len(bounds) - 1)).select(F.col("model").alias("chosen"))
+    return scores.join(F.broadcast(chosen)).select("fold", "model", "n", "log_loss", "brier", (F.col("model") == F.col("chosen")).alias("chosen"))
+
+
+_SCHEDULE_TEXT = "Matchday 1\nTuesday 8 September 2026\nAlfa Town 1-0 Beta\nnoise line\nGamma vs Delta SK (18:45)\nMatchday 2\nWednesday 14 October 2026\nBeta vs Gamma\n(20:15)\nDelta SK vs Alfa Town"
+_RESULT_TEXT = "Tue Sep 17\n21:00 Alfa (ESP) v Beta (ENG) 3-2 a.e.t. (2-2, 1-1)\nWed Jan 22\nGamma (ITA) v Delta (GER) 1-0\nTue Feb 4 2027\nAlfa (ESP) v Gamma (ITA) 0-0\nMon Jan 5\nBeta (ENG) v Delta (GER) 2-0"
+
+
+def _text(spark, text):
+    return spark.createDataFrame([("inline", i, x) for i, x in enumerate(text.split("\n"), 1)], "file string, line_no int, line string")
+
+
+@query(
+    "SELECT 'ucl-2026-27-' || substr(sha256(home || '|' || away), 1, 16) AS match_id, date, '2026/27' AS season, 'league' AS stage, CAST(matchday AS INTEGER) AS matchday, home, away, CAST(hg AS INTEGER) AS home_goals, CAST(ag AS INTEGER) AS away_goals, CASE WHEN hg IS NULL THEN 'scheduled' ELSE 'finished' END AS status, 'inline' AS source FROM (WITH l AS (SELECT unnest(string_split('"
+    + _SCHEDULE_TEXT.replace("\n", "~")
+    + """', '~')) AS x, unnest(range(1, 11)) AS i),
+k AS (SELECT i, x, last_value(nullif(regexp_extract(x, '^Matchday ([0-9]+)$', 1), '') IGNORE NULLS) OVER w AS matchday, last_value(nullif(regexp_extract(x, '^[A-Z][a-z]+day ([0-9]+ [A-Z][a-z]+ 20[0-9]{2})$', 1), '') IGNORE NULLS) OVER w AS day, lead(x) OVER (ORDER BY i) AS below FROM l WINDOW w AS (ORDER BY i)),
+g AS (SELECT *, regexp_extract(x, '^(.+?) (?:vs|([0-9]+)-([0-9]+)) (.+?)(?: \\(([0-9]{2}:[0-9]{2})\\))?$', ['home', 'hg', 'ag', 'away', 'at']) AS m FROM k WHERE regexp_matches(x, '^(.+?) (?:vs|([0-9]+)-([0-9]+)) (.+?)$') AND matchday IS NOT NULL AND day IS NOT NULL)
+SELECT matchday, m.home AS home, m.away AS away, nullif(m.hg, '') AS hg, nullif(m.ag, '') AS ag, strftime(strptime(day || ' ' || coalesce(nullif(m.at, ''), nullif(regexp_extract(below, '^\\(([0-9]{2}:[0-9]{2})\\)$', 1), ''), '21:00'), '%d %B %Y %H:%M') - INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%SZ') AS date FROM g)"""
+)
+def parse_schedule_locf(spark, d):
+    return parsers.schedule(_text(spark, _SCHEDULE_TEXT))
+
+
+@query()
+def parse_results_rollover(spark, d):
+    return parsers.results(_text(spark, _RESULT_TEXT), "UCL", 2024)
