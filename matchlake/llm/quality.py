@@ -2,6 +2,7 @@
 
 One pass over whole texts gives each document's statistics. Per language, a mergeable quantile sketch of each statistic
 is built; values become percentiles and robust z-scores against the document's language, and the tails are flagged.
+Whether a document is prose is decided by its own share of prose, not by its place among others.
 A document without any common word of a known language is held against the merged sketches of all languages.
 
 A text is cut into blocks at blank lines. A block is running prose when common words and clause words (verbs, pronouns,
@@ -158,5 +159,8 @@ def flagged(documents: DataFrame) -> DataFrame:
 
 
 def not_prose(documents: DataFrame) -> DataFrame:
-    """(doc_id) of documents in a flagged tail of which more than half of the characters are no running prose."""
-    return flagged(documents).where((F.size("tails") > 0) & (F.col("prose_ratio") < 0.5)).select("doc_id")
+    """(doc_id) of documents of which more than half of the characters are no running prose.
+
+    The share is the document's own: tails are relative to the language, and widen with the junk in it.
+    """
+    return statistics(documents).where(F.col("prose_ratio") < 0.5).select("doc_id")

@@ -21,6 +21,11 @@ def test_junk_is_found_and_odd_prose_is_not(spark):
     assert got == {1000 + i for i in range(len(junk))}
 
 
+def test_junk_is_found_however_much_of_it_there_is(spark):
+    tables = ["\n".join(f"{i} ; the cost of {k} planks ; {i * k} ; {i}.50" for i in range(20 + k)) for k in range(60)]
+    assert {r["doc_id"] for r in not_prose(documents(spark, tables)).collect()} == {1000 + k for k in range(60)}
+
+
 def test_statistics_and_repeats(spark):
     df = documents(spark, ["One two. Three", "x" * 300_000])
     got = {r["doc_id"]: r for r in statistics(df.union(df)).collect()}
