@@ -395,9 +395,21 @@ WITH h AS (SELECT row_id, trim(regexp_replace(replace(home, chr(160), ' '), '\s+
 SELECT h.row_id, coalesce(t.name, nfc_normalize(h.t)) AS home FROM h LEFT JOIN (SELECT nickname, min(name) AS name FROM teams WHERE nickname IS NOT NULL GROUP BY nickname) t ON t.nickname = nfc_normalize(h.t)"""
 )
 def alias_normalize(spark, d):
-    aliases = table(spark, d, "teams").where("nickname is not null").groupBy(F.col("nickname").alias("alias")).agg(F.min("name").alias("name"))
-    rows = table(spark, d, "history").select("row_id", "home").where(~F.col("home").contains("\\u"))
-    return parsers.normalised_team(rows, "home", aliases).select("row_id", "home")
+    # The twin decodes no escapes and leaves rows with one out; alias_normalize_all has every row.
+    return _aliased(spark, d, table(spark, d, "history").where(~F.col("home").contains("\\u")))
+
+
+@query()
+def alias_normalize_all(spark, d):
+    return _aliased(spark, d, table(spark, d, "history"))
+
+
+def _aliased(spark, d, rows):
+    return parsers.normalised_team(rows.select("row_id", "home"), "home", _aliases(spark, d)).select("row_id", "home")
+
+
+def _aliases(spark, d):
+    return table(spark, d, "teams").where("nickname is not null").groupBy(F.col("nickname").alias("alias")).agg(F.min("name").alias("name"))
 
 
 # ---- distributions and models ----------------------------------------------------------------------------------------
