@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchlake.llm import leaks, mixing, names, quality, ranking, survivors
+from matchlake.plans import match_queries
 from matchlake.util import materialize, table
 
 
@@ -52,5 +54,13 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.flagged(table(spark, d, "documents"))
 
 
+def team_spellings(spark: SparkSession, d: str) -> DataFrame:
+    """(typed, name) of every spelling in history that refers to a team."""
+    teams = table(spark, d, "teams")
+    return names.all_spellings(table(spark, d, "history"), teams).join(teams.select(F.col("team_id").cast("bigint").alias("team_id"), "name"), "team_id").select("typed", "name")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_survivors, p5_found, p6_ranking, p8_found, p9_selection, p9_shares, p10_found, p10_statistics)}
+# The models of known teams, with sides linked as in p5 instead of by the names' plain forms.
+QUERIES |= {f.__name__: partial(f, spellings=team_spellings) for f in (match_queries.poisson_map_fit, match_queries.low_score_fit, match_queries.elo_replay, match_queries.rolling_evaluation)}
 SQL: dict[str, str] = {}

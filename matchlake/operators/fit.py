@@ -104,21 +104,43 @@ def fit_poisson(rows: DataFrame, cutoff: str, half_life: float = 365.0, prior_ma
         eh, ea = x[home].T @ sign_home, x[away].T @ sign_away
         return float(np.sum(w * (np.exp(eh) + np.exp(ea)) - wh * eh - wa * ea) + 0.5 * np.sum(penalty * (x - centre) ** 2))
 
+    def curvature(v: np.ndarray, mus: list[np.ndarray]) -> np.ndarray:
+        """The Hessian times ``v``; the matrix itself grows with the square of the teams and is never made."""
+        out = penalty * v
+        for index, sign, mu in zip((home, away), (sign_home, sign_away), mus, strict=True):
+            pull = mu * (v[index].T @ sign)
+            for p in range(6):
+                out += sign[p] * np.bincount(index[p], pull, size)
+        return out
+
+    def newton_step(gradient: np.ndarray, free: np.ndarray, mus: list[np.ndarray]) -> np.ndarray:
+        """Conjugate gradients over the free values, scaled by the diagonal."""
+        scale = penalty + sum(np.bincount(index[p], mu, size) for index, mu in zip((home, away), mus, strict=True) for p in range(6))
+        step, r = np.zeros(size), np.where(free, gradient, 0.0)
+        z = r / scale
+        d, rz, goal = z, r @ z, 1e-10 * np.linalg.norm(r)
+        for _ in range(10 * size):
+            if np.linalg.norm(r) <= goal:
+                break
+            q = np.where(free, curvature(d, mus), 0.0)
+            alpha = rz / (d @ q)
+            step, r = step + alpha * d, r - alpha * q
+            z = r / scale
+            d, rz = z + (r @ z) / rz * d, r @ z
+        return step
+
     x, done = centre.copy(), False
     for it in range(max_iter):
-        gradient, hessian = penalty * (x - centre), np.diag(penalty.copy())
+        gradient, mus = penalty * (x - centre), []
         for index, sign, target in ((home, sign_home, wh), (away, sign_away, wa)):
-            mu = w * np.exp(x[index].T @ sign)
+            mus.append(w * np.exp(x[index].T @ sign))
             for p in range(6):
-                gradient += sign[p] * np.bincount(index[p], mu - target, size)
-                for q in range(6):
-                    np.add.at(hessian, (index[p], index[q]), sign[p] * sign[q] * mu)
+                gradient += sign[p] * np.bincount(index[p], mus[-1] - target, size)
         free = ~(((x >= bound) & (gradient < 0)) | ((x <= -bound) & (gradient > 0)))
         if np.max(np.abs(gradient[free]), initial=0.0) < 1e-8 * max(1.0, float(w.sum())):
             done = it > 0
             break
-        step = np.zeros(size)
-        step[free] = np.linalg.solve(hessian[np.ix_(free, free)], gradient[free])
+        step = newton_step(gradient, free, mus)
         scale, now = 1.0, value(x)
         while scale > 1e-8 and value(np.clip(x - scale * step, -bound, bound)) > now:
             scale /= 2

@@ -15,7 +15,7 @@ from matchlake.operators import evaluate as E
 from matchlake.operators import fit, ratings, simulate, standings, validate
 from matchlake.operators import matches as M
 from matchlake.sources import parsers
-from matchlake.util import materialize, table
+from matchlake.util import lookup_join, materialize, table
 
 CUT = "2025-07-01 00:00:00"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -694,20 +694,33 @@ def two_leg_ties(spark, d):
 # ---- fitted models ---------------------------------------------------------------------------------------------------
 
 
-def _known(spark, d):
-    names = table(spark, d, "teams").select("name")
-    return _unique(spark, d).join(names.toDF("home"), "home", "left_semi").join(names.toDF("away"), "away", "left_semi")
+def _normalised(spark, d):
+    """(typed, name) of sides that are a team's name or nickname once escapes, blanks and composition are resolved."""
+    history, teams = table(spark, d, "history"), table(spark, d, "teams").select("name")
+    typed = history.select(F.explode(F.array("home", "away")).alias("typed")).where("typed is not null").distinct()
+    rows = parsers.normalised_team(typed.withColumn("name", F.col("typed")), "name", _aliases(spark, d))
+    return rows.select("typed", "name").join(teams, "name", "left_semi").select("typed", "name")
+
+
+def _known(spark, d, spellings=_normalised):
+    """Matches between known teams under their names; ``spellings`` gives (typed, name), and a side without one is no known team."""
+    names = materialize(spellings(spark, d), "spellings")
+    rows = _valid(spark, d)
+    for side in ("home", "away"):
+        rows = lookup_join(rows, names.toDF(side, f"{side}_name"), [side], "inner", held=True)
+    rows = rows.drop("home", "away").withColumnsRenamed({"home_name": "home", "away_name": "away"}).where("home <> away")
+    return M.one_per_key(rows)
 
 
 @query()
-def poisson_map_fit(spark, d):
-    model = fit.fit_poisson(materialize(_known(spark, d), "known"), CUT)
+def poisson_map_fit(spark, d, spellings=_normalised):
+    model = fit.fit_poisson(materialize(_known(spark, d, spellings), "known"), CUT)
     return model.strengths(spark)
 
 
 @query()
-def low_score_fit(spark, d):
-    rows = materialize(_known(spark, d), "known")
+def low_score_fit(spark, d, spellings=_normalised):
+    rows = materialize(_known(spark, d, spellings), "known")
     model = fit.fit_low_score(rows, fit.fit_poisson(rows, CUT), CUT)
     return spark.createDataFrame([(model.rho, model.intercept, model.advantage)], "rho double, intercept double, advantage double")
 
@@ -719,8 +732,8 @@ def calibrator_fit(spark, d):
 
 
 @query()
-def elo_replay(spark, d):
-    return ratings.replay(_known(spark, d), ["2023-07-01 00:00:00", "2024-07-01 00:00:00", CUT])
+def elo_replay(spark, d, spellings=_normalised):
+    return ratings.replay(materialize(_known(spark, d, spellings), "known"), ["2023-07-01 00:00:00", "2024-07-01 00:00:00", CUT])
 
 
 # ---- reports, serving and remaining selections -----------------------------------------------------------------------
@@ -800,9 +813,9 @@ def projected_table(spark, d):
 
 
 @query()
-def rolling_evaluation(spark, d):
+def rolling_evaluation(spark, d, spellings=_normalised):
     """Per fold and model the metrics of forecasts fitted on what was known before the fold, and the model selected."""
-    rows = materialize(_known(spark, d), "known")
+    rows = materialize(_known(spark, d, spellings), "known")
     bounds = E.fold_bounds(rows.where("competition = 'UCL'")).orderBy("fold").collect()  # one row per fold
     out = None
     for b in bounds:
