@@ -74,7 +74,6 @@ def schemas(lines: DataFrame) -> DataFrame:
         "columns",
         F.concat(F.lit("^("), joined(typed), F.lit(")$")).alias("whole"),
         F.concat(F.lit("^("), joined(nil), F.lit(")$")).alias("unplayed"),
-        F.concat(F.lit("^("), joined(plain), F.lit(")$")).alias("counted"),
         F.transform(F.sequence(F.lit(1), F.size(cols)), lambda n: F.concat(F.lit("^"), joined(F.slice(plain, F.lit(1), n)), F.lit("(?="), sep, F.lit("|$)"))).alias("sound"),
         F.transform(F.sequence(F.lit(1), F.size(cols)), lambda n: F.concat(F.lit("^"), joined(F.slice(typed, F.lit(1), n)), F.lit("(?="), sep, F.lit("|$)"))).alias("typed"),
         _field(F.lit("any"), sep, point).alias("one"),
@@ -91,32 +90,40 @@ def classified(lines: DataFrame) -> DataFrame:
     blank = F.coalesce(F.regexp_replace(line, r'[\s\u00a0]', ""), F.lit("")) == ""
     # A pattern in a column keeps its compiled form from line to line of a file; rlike would compile it anew.
     whole = F.expr("regexp_extract(line, whole, 0) <> ''")
-    formed = F.expr("regexp_extract(line, formed, 0) <> ''")
     unplayed = F.expr("regexp_extract(line, unplayed, 0) <> ''")
-    counted = F.expr("regexp_extract(line, counted, 0) <> ''")
     hollow = F.regexp_replace(F.replace(line, F.col("sep"), F.lit("")), r'[\s\u00a0]|""', "") == ""
     sound = F.expr("size(filter(sound, p -> regexp_like(line, p)))")
     typed = F.expr("size(filter(typed, p -> regexp_like(line, p)))")
     n = F.size("columns")
+    # How many fields are sound, and what follows them: an end, fields beyond the header's, or a field that is broken.
+    rows = rows.withColumn("reach", F.when(~blank & F.col("columns").isNotNull() & ~whole, sound))
+    rows = rows.withColumn("rest", F.expr("substring(line, length(regexp_extract(line, get(sound, reach - 1), 0)) + 1)"))
+    reach, ended = F.col("reach"), F.coalesce(F.col("rest").rlike("^$"), F.lit(False))
+    surplus = F.expr("regexp_like(substring(rest, 2), formed)")
     verdict = (
         F.when(blank, "skipped")
         .when(F.col("columns").isNull(), "no_header")
-        .when(whole, "loaded")
-        .when(~formed, "quoting")
+        .when(reach.isNull(), "loaded")
+        .when((reach == 0) | (~ended & ((reach < n) | ~surplus)), "quoting")
         .when(hollow, "skipped")
-        .when(~counted, "column_count")
+        .when((reach < n) | ~ended, "column_count")
         .when(unplayed, "skipped")
         .otherwise("bad_value")
     )
     rows = rows.withColumn("verdict", verdict)
-    at = F.when(F.col("verdict") == "bad_value", typed).when(F.col("verdict").isin("quoting", "column_count"), sound)
+    at = F.when(F.col("verdict") == "bad_value", typed).when(F.col("verdict").isin("quoting", "column_count"), reach)
     rows = rows.withColumn("broken_field", F.when(at < n, F.get("columns", at)))
     return rows.select("line_id", "file_name", "line_no", "line", "columns", "sep", "verdict", "broken_field")
 
 
+def failures(lines: DataFrame) -> DataFrame:
+    """``(line_id, reason, broken_field)`` of lines that cannot be loaded; no field where there are too many."""
+    return classified(lines).where(F.col("verdict").isin("quoting", "column_count", "bad_value")).select("line_id", F.col("verdict").alias("reason"), "broken_field")
+
+
 def failed_lines(lines: DataFrame) -> DataFrame:
     """``(line_id, reason)`` of lines that cannot be loaded."""
-    return classified(lines).where(F.col("verdict").isin("quoting", "column_count", "bad_value")).select("line_id", F.col("verdict").alias("reason"))
+    return failures(lines).select("line_id", "reason")
 
 
 def loaded_lines(lines: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from matchlake.operators.known_at import history_versions
-from matchlake.operators.parse_errors import failed_lines, loaded_lines
+from matchlake.operators.parse_errors import failed_lines, failures, loaded_lines
 from matchlake.operators.snapshots import fixture_changes
 from matchlake.operators.timestamps import printed_instants
 from matchlake.util import table
@@ -17,6 +17,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return failed_lines(table(spark, d, "raw_results"))
 
 
+def p2_failures(spark: SparkSession, d: str) -> DataFrame:
+    return failures(table(spark, d, "raw_results"))
+
+
 def p2_loaded(spark: SparkSession, d: str) -> DataFrame:
     return loaded_lines(table(spark, d, "raw_results")).drop("completed_at", "retrieved_at", "source", "odds_provider", "odds_semantics", "home_xg", "away_xg", "home_shots_on_target", "away_shots_on_target")
 
@@ -33,7 +37,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return history_versions(table(spark, d, "history"), table(spark, d, "competition_versions"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_loaded, p3_found, p4_found, p7_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_failures, p2_loaded, p3_found, p4_found, p7_found)}
 
 SQL: dict[str, str] = {
     "p3_found": """

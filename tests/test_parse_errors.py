@@ -93,3 +93,13 @@ def test_first_broken_field(spark):
     rows = [(1, "f", 1, "home,away,home_goals,away_goals", ""), (2, "f", 2, "A,B,x,1", ""), (3, "f", 3, 'A,"B,1,1', "")]
     got = {x["line_id"]: (x["verdict"], x["broken_field"]) for x in classified(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {2: ("bad_value", "home_goals"), 3: ("quoting", "away")}
+
+
+def test_failures_name_the_first_broken_field(spark, tmp_path):
+    from matchlake.plans.data_queries import QUERIES
+
+    lines = ["home,away,home_goals,away_goals,odds_home", "A,B,1,0,2.5", "A,B,1,x,y", 'A,B"c,1,0,', "A,B,1", "A,B,1,0,2.5,9", 'A,B,1,0,2.5,9"', " ,B,1,0,", '"A,B,1,0,1']
+    rows = [(i, "f", i + 1, x) for i, x in enumerate(lines)]
+    spark.createDataFrame(rows, "line_id bigint, file_name string, line_no int, line string").write.parquet(f"{tmp_path}/raw_results.parquet")
+    got = {r["line_id"]: (r["reason"], r["broken_field"]) for r in QUERIES["p2_failures"](spark, str(tmp_path)).collect()}
+    assert got == {2: ("bad_value", "away_goals"), 3: ("quoting", "away"), 4: ("column_count", "away_goals"), 5: ("column_count", None), 6: ("quoting", None), 7: ("bad_value", "home"), 8: ("quoting", "home")}
