@@ -7,7 +7,8 @@ A document without any common word of a known language is held against the merge
 
 A text is cut into blocks at blank lines. A block is running prose when common words and clause words (verbs, pronouns,
 conjunctions) are as dense as in sentences, most of its words are whole, and it is not a run of list items or table
-rows; a sentence counts once, further copies of it are repetition.
+rows; a sentence counts once, further copies of it are repetition, those of short ones where they fill more than a
+small share of the text.
 
 Defined results: a null or blank text has zero words and zero prose and is flagged; a single huge line is handled like
 any other text; an unknown or null language is inferred from the text; repeated rows are kept; empty tables give empty
@@ -42,6 +43,9 @@ TAILS = {"symbol_ratio": 1, "digit_ratio": 1, "common_ratio": -1, "repeat_ratio"
 TAIL_Z = 3.5
 SKETCH_K = 400
 POINTS = 200
+#: Sentences under so many characters recur by chance; their copies are repetition beyond this share of the text.
+SHORT = 25
+SHORT_SHARE = 0.05
 
 _LANGS = list(COMMON)
 _COMMON = {k: frozenset(v.split()) for k, v in COMMON.items()}
@@ -70,8 +74,8 @@ def _measure(text: str | None) -> tuple:
     size = len(low)
     lines = [x for x in low.split("\n") if x and not x.isspace()]
     ended = sum(x.rstrip()[-1] in ".!?:;\"'”’)" for x in lines)
-    seen: dict[str, int] = {}
-    prose = repeated = 0
+    seen: set[str] = set()
+    prose = repeated = short = short_prose = 0
     for block in _SPLIT.split(low):
         n = len(block)
         if n < 20:
@@ -87,20 +91,23 @@ def _measure(text: str | None) -> tuple:
         good = sw + 2 * cl >= 0.33 and cl >= 0.02 and whole >= 0.5
         if good and len(rows) >= 4 and sum(bool(_MARK.match(x)) for x in rows) >= 0.6 * len(rows):
             good = False
-        fresh = 0
+        fresh = again = 0
         for s in _SENTENCE.split(block):
             key = " ".join(s.split())
-            if len(key) < 25:
-                fresh += len(s) + 1
-                continue
-            c = seen.get(key, 0)
-            seen[key] = c + 1
-            if c < 2:
-                fresh += len(s) + 1
-            else:
+            known = key in seen
+            seen.add(key)
+            if known and len(key) >= SHORT:
                 repeated += len(s) + 1
+                continue
+            fresh += len(s) + 1
+            if known and key:
+                again += len(s) + 1
+        short += again
         if good:
             prose += min(fresh, n)
+            short_prose += again
+    if short > SHORT_SHARE * size:
+        prose, repeated = prose - short_prose, repeated + short
     return (
         lang,
         len(tokens),
@@ -110,7 +117,7 @@ def _measure(text: str | None) -> tuple:
         ended / max(1, len(lines)),
         hits[lang] / max(1, len(tokens)) if lang else 0.0,
         min(1.0, repeated / size),
-        min(1.0, prose / size) if alpha else 0.0,
+        min(1.0, max(0, prose) / size) if alpha else 0.0,
     )
 
 

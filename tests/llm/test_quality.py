@@ -26,6 +26,14 @@ def test_junk_is_found_however_much_of_it_there_is(spark):
     assert {r["doc_id"] for r in not_prose(documents(spark, tables)).collect()} == {1000 + k for k in range(60)}
 
 
+def test_mere_repetition_is_no_prose(spark):
+    short = "It was so. He did not go. They were not there. "
+    texts = [PROSE * 3, PROSE * 4, "\n\n".join([PROSE] * 3), "It is so ordered. " * 400, short * 3, PROSE, PROSE + "It is so ordered. It is so ordered."]
+    got = {r["doc_id"]: r["prose_ratio"] for r in statistics(documents(spark, texts)).collect()}
+    assert all(got[1000 + i] < 0.5 for i in range(5)) and got[1005] > 0.9 and got[1006] > 0.8
+    assert {r["doc_id"] for r in not_prose(documents(spark, texts)).collect()} == {1000, 1001, 1002, 1003, 1004}
+
+
 def test_statistics_and_repeats(spark):
     df = documents(spark, ["One two. Three", "x" * 300_000])
     got = {r["doc_id"]: r for r in statistics(df.union(df)).collect()}
