@@ -18,6 +18,8 @@ from matchlake.sources import parsers
 from matchlake.util import lookup_join, materialize, table
 
 CUT = "2025-07-01 00:00:00"
+#: Seasons drawn where no twin sets the number, as the reference's published runs.
+SIMULATIONS = 20_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -653,7 +655,16 @@ def _season(spark, d):
 SELECT team, round(avg((pos <= 8)::INT), 6) AS p_top8, round(avg((pos BETWEEN 9 AND 24)::INT), 6) AS p_playoff, round(avg((pos > 24)::INT), 6) AS p_eliminated, round(avg(points), 6) AS expected_points, round(avg(pos), 6) AS expected_rank FROM rk GROUP BY team"""
 )
 def league_monte_carlo(spark, d):
-    scores = simulate.drawn_scores(_season(spark, d), 200, 7)
+    return _league(spark, d, 200)  # as many as the twin draws
+
+
+@query()
+def league_monte_carlo_full(spark, d):
+    return _league(spark, d, SIMULATIONS)
+
+
+def _league(spark, d, n):
+    scores = simulate.drawn_scores(_season(spark, d), n, 7)
     return _rounded(simulate.league_probabilities(scores, 7), "p_top8", "p_playoff", "p_eliminated", "expected_points", "expected_rank")
 
 
@@ -808,8 +819,17 @@ def sampled_scores(spark, d):
 
 @query("SELECT CAST(row_number() OVER (ORDER BY expected_rank, team) AS BIGINT) AS place, team, round(expected_rank, 4) AS expected_rank, round(p_top8 * 100, 2) AS top8_pct FROM (" + SQL["league_monte_carlo"] + ")")
 def projected_table(spark, d):
+    return _projected(league_monte_carlo(spark, d))
+
+
+@query()
+def projected_table_full(spark, d):
+    return _projected(league_monte_carlo_full(spark, d))
+
+
+def _projected(league):
     # One season has 36 teams, so the order fits one task.
-    return league_monte_carlo(spark, d).select(F.row_number().over(Window.orderBy("expected_rank", "team")).cast("bigint").alias("place"), "team", F.round("expected_rank", 4).alias("expected_rank"), F.round(F.col("p_top8") * 100, 2).alias("top8_pct"))
+    return league.select(F.row_number().over(Window.orderBy("expected_rank", "team")).cast("bigint").alias("place"), "team", F.round("expected_rank", 4).alias("expected_rank"), F.round(F.col("p_top8") * 100, 2).alias("top8_pct"))
 
 
 @query()

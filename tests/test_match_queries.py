@@ -26,3 +26,12 @@ def test_every_row_is_normalised_with_its_escapes(spark, tmp_path):
 
     got = {r["row_id"]: r["home"] for r in QUERIES["alias_normalize_all"](spark, d).collect()}
     assert got == {i: brute(x) for i, x in enumerate(homes)}
+
+
+def test_published_places_are_drawn_often_enough(spark, data):
+    got = {r["team"]: r for r in QUERIES["league_monte_carlo_full"](spark, data).collect()}
+    few = {r["team"]: r for r in QUERIES["league_monte_carlo"](spark, data).collect()}
+    assert len(got) == 36 and abs(sum(r["p_top8"] for r in got.values()) - 8) < 1e-4
+    assert all(abs(r["p_top8"] * 20_000 - round(r["p_top8"] * 20_000)) < 0.05 for r in got.values())
+    assert any(abs(r["p_top8"] * 200 - round(r["p_top8"] * 200)) > 0.05 for r in got.values())
+    assert all(abs(got[t]["p_top8"] - r["p_top8"]) < 5 * (0.25 / 200) ** 0.5 for t, r in few.items())
