@@ -451,13 +451,13 @@ def _rates(spark, d, pairs=None):
 
 
 @query(_RATES + "\nSELECT home, away, round(lh, 6) AS lh, round(la, 6) AS la FROM rt")
-def pair_rates(spark, d):
-    return _rates(spark, d).select("home", "away", F.round("lh", 6).alias("lh"), F.round("la", 6).alias("la"))
+def pair_rates(spark, d, pairs=None):
+    return _rates(spark, d, pairs).select("home", "away", F.round("lh", 6).alias("lh"), F.round("la", 6).alias("la"))
 
 
 @query(_RATES + "," + _PMF + "\nSELECT home, away, hg, ag, round(p, 9) AS p FROM gr")
-def score_grid(spark, d):
-    return dist.grid(_rates(spark, d), "lh", "la").select("home", "away", "hg", "ag", F.round("p", 9).alias("p"))
+def score_grid(spark, d, pairs=None):
+    return dist.grid(_rates(spark, d, pairs), "lh", "la").select("home", "away", "hg", "ag", F.round("p", 9).alias("p"))
 
 
 _OUT = "round(sum(CASE WHEN hg > ag THEN p ELSE 0 END), 6) AS p_home, round(sum(CASE WHEN hg = ag THEN p ELSE 0 END), 6) AS p_draw, round(sum(CASE WHEN hg < ag THEN p ELSE 0 END), 6) AS p_away"
@@ -468,8 +468,8 @@ def _rounded(df, *cols):
 
 
 @query(_RATES + "," + _PMF + f"\nSELECT home, away, {_OUT} FROM gr GROUP BY home, away")
-def grid_outcomes(spark, d):
-    return _rounded(dist.grid_outcomes(dist.grid(_rates(spark, d), "lh", "la"), ["home", "away"]), "p_home", "p_draw", "p_away")
+def grid_outcomes(spark, d, pairs=None):
+    return _rounded(dist.grid_outcomes(dist.grid(_rates(spark, d, pairs), "lh", "la"), ["home", "away"]), "p_home", "p_draw", "p_away")
 
 
 @query(
@@ -481,8 +481,8 @@ cm AS (SELECT lam, k, p, coalesce(sum(p) OVER (PARTITION BY lam ORDER BY k ROWS
 SELECT home, away, round(sum(a.p * b.below), 6) AS p_home, round(sum(a.p * b.p), 6) AS p_draw, round(1 - sum(a.p * b.below) - sum(a.p * b.p), 6) AS p_away
 FROM rt JOIN cm a ON a.lam = lh JOIN cm b ON b.lam = la AND b.k = a.k GROUP BY home, away"""
 )
-def skellam_outcomes(spark, d):
-    rows = _rates(spark, d).withColumn("s", dist.skellam(F.col("lh"), F.col("la"), 60))
+def skellam_outcomes(spark, d, pairs=None):
+    rows = _rates(spark, d, pairs).withColumn("s", dist.skellam(F.col("lh"), F.col("la"), 60))
     return _rounded(rows.select("home", "away", "s.*"), "p_home", "p_draw", "p_away")
 
 
@@ -492,13 +492,13 @@ dc AS (SELECT home, away, hg, ag, q / sum(q) OVER (PARTITION BY home, away) AS p
 
 
 @query(_RATES + "," + _PMF + _DC + f"\nSELECT home, away, {_OUT} FROM dc GROUP BY home, away")
-def dixon_coles_grid(spark, d):
-    return _rounded(dist.grid_outcomes(dist.corrected_grid(_rates(spark, d), ["home", "away"], "lh", "la", 0.05), ["home", "away"]), "p_home", "p_draw", "p_away")
+def dixon_coles_grid(spark, d, pairs=None):
+    return _rounded(dist.grid_outcomes(dist.corrected_grid(_rates(spark, d, pairs), ["home", "away"], "lh", "la", 0.05), ["home", "away"]), "p_home", "p_draw", "p_away")
 
 
 @query(_RATES + "," + _PMF + _DC + ",\nmx AS (SELECT home, away, hg, ag, sum(p) AS p FROM (SELECT home, away, hg, ag, 0.35 * p AS p FROM gr UNION ALL SELECT home, away, hg, ag, 0.65 * p FROM dc) GROUP BY ALL)\nSELECT home, away, hg, ag, round(p, 9) AS p FROM mx")
-def ensemble_mixture(spark, d):
-    rates = _rates(spark, d)
+def ensemble_mixture(spark, d, pairs=None):
+    rates = _rates(spark, d, pairs)
     parts = [(dist.grid(rates, "lh", "la"), 0.35), (dist.corrected_grid(rates, ["home", "away"], "lh", "la", 0.05), 0.65)]
     return dist.mixture(parts, ["home", "away"]).withColumn("p", F.round("p", 9))
 
@@ -513,8 +513,8 @@ x AS (SELECT *, exp(ln(greatest(ph, 1e-15)) / exp(0.1) + 0.05) AS xh, exp(ln(gre
 SELECT gr.home, gr.away, hg, ag, round(p * CASE WHEN hg > ag THEN xh / (xh + xd + xa) / greatest(ph, 1e-15) WHEN hg = ag THEN xd / (xh + xd + xa) / greatest(pd, 1e-15) ELSE xa / (xh + xd + xa) / greatest(pa, 1e-15) END, 9) AS p
 FROM gr JOIN x ON x.home = gr.home AND x.away = gr.away"""
 )
-def calibrated_grid(spark, d):
-    return dist.calibrated_grid(dist.grid(_rates(spark, d), "lh", "la"), ["home", "away"], 0.1, (0.05, -0.02)).select("home", "away", "hg", "ag", F.round("p", 9).alias("p"))
+def calibrated_grid(spark, d, pairs=None):
+    return dist.calibrated_grid(dist.grid(_rates(spark, d, pairs), "lh", "la"), ["home", "away"], 0.1, (0.05, -0.02)).select("home", "away", "hg", "ag", F.round("p", 9).alias("p"))
 
 
 _FC = (
@@ -611,8 +611,8 @@ SQL["elo_expected"] = SQL["elo_expected"].replace("CASE WHEN abs(gd) <= 1 THEN 1
 
 
 @query(_RATES + "," + _PMF + f",\nw AS (SELECT home, away, {_OUT} FROM gr GROUP BY home, away)\nUNPIVOT w ON p_home, p_draw, p_away INTO NAME stage VALUE probability".replace(",\nw AS", ",\nwide AS").replace("UNPIVOT w ", "SELECT home, away, stage, probability, round(sqrt(probability * (1 - probability) / 20000), 9) AS mc_se FROM (UNPIVOT wide ") + ")")
-def unpivot_probabilities(spark, d):
-    wide = grid_outcomes(spark, d)
+def unpivot_probabilities(spark, d, pairs=None):
+    wide = grid_outcomes(spark, d, pairs)
     long = wide.unpivot(["home", "away"], ["p_home", "p_draw", "p_away"], "stage", "probability")
     return long.withColumn("mc_se", F.round(F.sqrt(F.col("probability") * (1 - F.col("probability")) / 20000), 9))
 
@@ -777,8 +777,8 @@ def fixture_predictions(spark, d):
 
 
 @query(_RATES + "," + _PMF + f", o AS (SELECT home || '|' || away AS team, {_OUT} FROM gr GROUP BY home, away)\nSELECT 'blank_team' AS rule, count(*) FILTER (WHERE team IS NULL OR trim(team) = '') AS violations FROM o UNION ALL SELECT 'not_finite', count(*) FILTER (WHERE NOT isfinite(p_home) OR NOT isfinite(p_draw) OR NOT isfinite(p_away)) FROM o UNION ALL SELECT 'outside_unit', count(*) FILTER (WHERE least(p_home, p_draw, p_away) < 0 OR greatest(p_home, p_draw, p_away) > 1) FROM o UNION ALL SELECT 'repeated_team', count(team) - count(DISTINCT team) FROM o UNION ALL SELECT 'sum_off', count(*) FILTER (WHERE abs(p_home + p_draw + p_away - 1) > 1e-5) FROM o")
-def probability_checks(spark, d):
-    o = grid_outcomes(spark, d).select(F.concat_ws("|", "home", "away").alias("team"), "p_home", "p_draw", "p_away")
+def probability_checks(spark, d, pairs=None):
+    o = grid_outcomes(spark, d, pairs).select(F.concat_ws("|", "home", "away").alias("team"), "p_home", "p_draw", "p_away")
     off = o.agg(F.lit("sum_off").alias("rule"), F.count_if(F.abs(F.col("p_home") + F.col("p_draw") + F.col("p_away") - 1) > 1e-5).alias("violations"))
     return validate.probability_report(o, ["p_home", "p_draw", "p_away"]).unionByName(off)
 
@@ -808,10 +808,10 @@ def league_lookup(spark, d):
 d AS (SELECT home, away, CAST(('0x' || substr(md5('3:' || home || ':' || away), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496 AS u FROM rt)
 SELECT d.home, d.away, CAST(least(count(*) FILTER (WHERE c <= u), 168) // 13 AS INTEGER) AS hg, CAST(least(count(*) FILTER (WHERE c <= u), 168) % 13 AS INTEGER) AS ag FROM d JOIN cu ON cu.home = d.home AND cu.away = d.away GROUP BY d.home, d.away"""
 )
-def sampled_scores(spark, d):
+def sampled_scores(spark, d, pairs=None):
     from matchlake.functions.random import uniform
 
-    cells = dist.grid(_rates(spark, d), "lh", "la").withColumn("cell", F.col("hg") * 13 + F.col("ag"))
+    cells = dist.grid(_rates(spark, d, pairs), "lh", "la").withColumn("cell", F.col("hg") * 13 + F.col("ag"))
     upto = cells.withColumn("c", F.round(F.sum("p").over(Window.partitionBy("home", "away").orderBy("cell")), 10))
     drawn = upto.groupBy("home", "away").agg(F.least(F.count_if(F.col("c") <= uniform(F.lit(3), F.col("home"), F.col("away"))), F.lit(168)).alias("at"))
     return drawn.select("home", "away", F.floor(F.col("at") / 13).cast("int").alias("hg"), (F.col("at") % 13).cast("int").alias("ag"))
@@ -877,3 +877,13 @@ def parse_schedule_locf(spark, d):
 @query()
 def parse_results_rollover(spark, d):
     return parsers.results(_text(spark, _RESULT_TEXT), "UCL", 2024)
+
+
+# The distribution queries above take the UCL's pairs, as their twins do; these take every pair of the table.
+
+
+def _of_every_pair(f):
+    return lambda spark, d: f(spark, d, _unique(spark, d).select("home", "away").distinct())
+
+
+QUERIES |= {f"{f.__name__}_all": _of_every_pair(f) for f in (pair_rates, score_grid, grid_outcomes, skellam_outcomes, dixon_coles_grid, ensemble_mixture, calibrated_grid, sampled_scores, unpivot_probabilities, probability_checks)}

@@ -35,3 +35,13 @@ def test_published_places_are_drawn_often_enough(spark, data):
     assert all(abs(r["p_top8"] * 20_000 - round(r["p_top8"] * 20_000)) < 0.05 for r in got.values())
     assert any(abs(r["p_top8"] * 200 - round(r["p_top8"] * 200)) > 0.05 for r in got.values())
     assert all(abs(got[t]["p_top8"] - r["p_top8"]) < 5 * (0.25 / 200) ** 0.5 for t, r in few.items())
+
+
+def test_every_pair_gets_rates(spark, data):
+    from matchlake.plans.match_queries import _unique
+
+    pairs = {(r["home"], r["away"]) for r in _unique(spark, data).select("home", "away").collect()}
+    got = {(r["home"], r["away"]): r["lh"] for r in QUERIES["pair_rates_all"](spark, data).collect()}
+    ucl = {(r["home"], r["away"]): r["lh"] for r in QUERIES["pair_rates"](spark, data).collect()}
+    assert set(got) == pairs and len(ucl) < len(got) and all(got[k] == v for k, v in ucl.items())
+    assert QUERIES["grid_outcomes_all"](spark, data).count() == len(pairs)
