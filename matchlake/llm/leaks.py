@@ -1,127 +1,79 @@
 """Evaluation passages leaking into training text (problem 8).
 
 Passages and documents are canonicalised alike: numbers with their units and names become typed placeholders, the
-words many passages share stay. Windows of canonical tokens are hashed once per slot, together with the slot's place
-and what fills it, and hash-joined: windows meet where the same template states the same fact, so a formula many courts
-use and a sentence of the same shape about other facts do not meet. Pairs with several such windows are then aligned on
-their texts: the stretch repeated must be continuous, cover a third of the passage, and its facts must be the
-passage's own.
-
-Documents are scanned where they lie: a bit field of fixed size over the passages' keys lets through the few windows
-that can meet, and only those are shuffled. Candidates' texts are read once more for the alignment.
-
-Defined results: null or empty passages and texts leak nothing; texts shorter than a window neither; the same passage
-under two ids is reported under both; repeated documents are each reported once per doc_id; of several rows of one id
-all are searched; very long texts are searched whole; empty tables give an empty result.
+words of templates stay. The vocabulary is learned from the passages. Windows of five canonical tokens are hashed and
+hash-joined on the template alone, so a sentence meets its template whatever it says. Then the slots are checked: where
+they hold the passage's own facts the texts are aligned, and a continuous stretch of a third of the passage with its own
+facts is a leak; where every fact that recurs is replaced by one and the same other fact, the passage is asked again
+about other facts, which is reported as a kind of its own.
+
+Documents are scanned where they lie, once per block of passages: the index of a block, bounded by the characters of its
+passages, is broadcast, and the join is a lookup in it. No text and no window is shuffled, so no formula, document or
+passage can be hot.
+
+Defined results: null or empty passages and texts leak nothing; a passage without a number or a name has no account of
+its own and leaks nothing; texts shorter than a window neither; the same passage under two ids is reported under both;
+repeated documents are each reported once per doc_id; of several rows of one id all are searched; very long texts are
+searched whole, in overlapping pieces; empty tables give an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.llm.leak_text import best_stretch, leaked, window_keys, words
-from matchlake.llm.quality import COMMON
-from matchlake.util import materialize, small
+from matchlake.llm.leak_text import Index
 
-#: Bits of the field over the passages' keys: 2 MB, whatever their number.
-FIELD_BITS = 1 << 24
-#: A template word occurs in this many passages and in this share of them; the share bounds the vocabulary.
-SHARED, SHARE = 3, 0.005
-#: Distinct windows of a passage a document must meet before the texts are aligned.
-MEETINGS = 4
-#: Candidate documents up to which their ids are broadcast for the second reading.
-CANDIDATES = 200_000
+#: Characters of passages in one block; with them the broadcast index of a block stays below some 40 MB.
+BLOCK_CHARS = 2_000_000
+COLUMNS = "doc_id bigint, item_id bigint, kind string, share double, agreeing int, differing int"
 
 
-def template_words(items: DataFrame) -> dict[str, int]:
-    """Template words and their numbers. At most 1 / SHARE words per word of an average passage: a bounded set."""
+def blocks(items: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[Index]:
+    """The index of each block of passages."""
+    total = items.agg(F.sum(F.length("passage"))).first()[0] or 0
+    n = -(-total // block_chars)
+    part = F.pmod(F.xxhash64("item_id"), F.lit(max(1, n)))
+    for b in range(n):
+        rows = items.where(part == b).orderBy("item_id", "passage").collect()  # a block of bounded size
+        yield Index.of([(r["item_id"], r["passage"]) for r in rows])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame([(w,) for p in pdf["passage"] if p for w in {x for x in words(p) if len(x) > 1 and not x[0].isdigit()}], columns=["word"])
-
-    n = items.count()
-    common = items.select("passage").mapInPandas(run, "word string").groupBy("word").count().where(F.col("count") >= max(SHARED, int(SHARE * n)))
-    found = {r["word"] for r in common.select("word").collect()} | {w for s in COMMON.values() for w in s.split()}
-    return {w: i + 3 for i, w in enumerate(sorted(found))}
 
+def scanned(documents: DataFrame, index: Index) -> DataFrame:
+    """COLUMNS of every passage of a block that a document repeats or asks again."""
+    shared = documents.sparkSession.sparkContext.broadcast(index)
 
-def item_keys(items: DataFrame, code: dict[str, int]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for i, p in zip(pdf["item_id"], pdf["passage"], strict=True):
-                keys, at = window_keys(words(p or ""), code)
-                rows += [(i, k, a) for k, a in zip(keys.astype(np.int64).tolist(), at.tolist(), strict=True)]
-            yield pd.DataFrame(rows, columns=["item_id", "key", "item_at"])
+            rows = [(d, *x) for d, text in zip(pdf["doc_id"], pdf["text"], strict=True) for x in shared.value.scan(text)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")])
 
-    return items.select("item_id", "passage").mapInPandas(run, "item_id bigint, key bigint, item_at int")
+    return documents.mapInPandas(run, COLUMNS)
 
 
-def key_field(keys: DataFrame) -> bytes:
-    """The bit field: bit ``key mod FIELD_BITS`` of every key, built by bitmap aggregation in blocks of fixed size."""
-    bit = F.pmod("key", F.lit(FIELD_BITS)) + 1
-    blocks = keys.groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    field = bytearray(FIELD_BITS // 8)
-    for r in blocks:
-        field[(r["b"] - 1) * 4096 : r["b"] * 4096] = r["bits"]
-    return bytes(field)
+def repeats(documents: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(doc_id, item_id, kind, share, agreeing, differing), one row per document and passage.
 
-
-def document_keys(documents: DataFrame, code: dict[str, int], field: bytes) -> DataFrame:
-    """(doc_id, key, doc_at) of the documents' windows whose bit is set."""
-    shared = documents.sparkSession.sparkContext.broadcast((code, field))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers, raw = shared.value
-        bits = np.unpackbits(np.frombuffer(raw, dtype=np.uint8), bitorder="little").view(bool)
-        mask = np.uint64(FIELD_BITS - 1)
-        for pdf in batches:
-            ids, found, where = [], [], []
-            for d, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                if not text:
-                    continue
-                keys, at = window_keys(words(text), numbers)
-                hit = bits[(keys & mask).astype(np.int64)]
-                if hit.any():
-                    found.append(keys[hit].astype(np.int64))
-                    where.append(at[hit])
-                    ids.append(np.full(int(hit.sum()), d, dtype=np.int64))
-            if ids:
-                yield pd.DataFrame({"doc_id": np.concatenate(ids), "key": np.concatenate(found), "doc_at": np.concatenate(where).astype(np.int32)})
-
-    return documents.where("text is not null and doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id bigint, key bigint, doc_at int")
+    kind is ``leak`` (facts agreeing and differing) or ``reparameterised`` (substitutions kept and broken).
+    """
+    items = items.where("passage is not null and item_id is not null").select("item_id", "passage")
+    texts = documents.where("text is not null and doc_id is not null").select("doc_id", "text")
+    found = documents.sparkSession.createDataFrame([], COLUMNS)
+    for index in blocks(items, block_chars):
+        found = found.union(scanned(texts, index))
+    # Rows of one id may repeat, and a leak outdoes the same question about other facts.
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("kind") == "leak", "share", "agreeing", "differing", "kind")).alias("s"))
+    return best.select("doc_id", "item_id", "s.kind", "s.share", "s.agreeing", "s.differing")
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, share, agreeing, differing): documents that repeat a passage's own account of its facts."""
-    items = items.where("passage is not null and item_id is not null").select("item_id", "passage")
-    code = template_words(items)
-    keys = materialize(item_keys(items, code), "item-keys")
-    met = document_keys(documents, code, key_field(keys)).join(keys, "key")
-    pairs = met.groupBy("doc_id", "item_id").agg(F.count_distinct("item_at").alias("n"), F.sort_array(F.collect_set("doc_at")).alias("at")).where(F.col("n") >= MEETINGS).drop("n")
-    pairs = materialize(pairs, "pairs")
-    ids = pairs.select("doc_id").distinct()
-    texts = documents.where("text is not null").select("doc_id", "text")
-    texts = texts.join(F.broadcast(ids) if small(ids, CANDIDATES) else ids, "doc_id", "left_semi")
-    both = pairs.join(texts, "doc_id").join(items, "item_id")
-    shared = documents.sparkSession.sparkContext.broadcast(code)
+    return repeats(documents, items).where("kind = 'leak'").drop("kind")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers = shared.value
-        for pdf in batches:
-            rows = []
-            for d, i, at, text, passage in zip(pdf["doc_id"], pdf["item_id"], pdf["at"], pdf["text"], pdf["passage"], strict=True):
-                score = best_stretch(words(passage), words(text), [int(a) for a in at], numbers)
-                if leaked(score):
-                    rows.append((d, i, *score))
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "share", "agreeing", "differing"])
-
-    found = both.select("doc_id", "item_id", "at", "text", "passage").mapInPandas(run, "doc_id bigint, item_id bigint, share double, agreeing int, differing int")
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("share", "agreeing", "differing")).alias("s"))
-    return best.select("doc_id", "item_id", "s.*")
+
+def reparameterised(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, share, kept): documents that ask a passage's question again about other facts."""
+    return repeats(documents, items).where("kind = 'reparameterised'").select("doc_id", "item_id", "share", F.col("agreeing").alias("kept"))

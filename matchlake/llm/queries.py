@@ -37,6 +37,10 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+def p8_reparameterised(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.reparameterised(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p9_selection(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(mixing.token_counts(table(spark, d, "documents")), table(spark, d, "mix_targets"))
 
@@ -60,7 +64,7 @@ def team_spellings(spark: SparkSession, d: str) -> DataFrame:
     return names.all_spellings(table(spark, d, "history"), teams).join(teams.select(F.col("team_id").cast("bigint").alias("team_id"), "name"), "team_id").select("typed", "name")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_survivors, p5_found, p6_ranking, p8_found, p9_selection, p9_shares, p10_found, p10_statistics)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_survivors, p5_found, p6_ranking, p8_found, p8_reparameterised, p9_selection, p9_shares, p10_found, p10_statistics)}
 # The models of known teams, with sides linked as in p5 instead of by the names' plain forms.
 QUERIES |= {f.__name__: partial(f, spellings=team_spellings) for f in (match_queries.poisson_map_fit, match_queries.low_score_fit, match_queries.elo_replay, match_queries.rolling_evaluation)}
 SQL: dict[str, str] = {}
