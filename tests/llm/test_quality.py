@@ -1,6 +1,7 @@
 """Text statistics on made-up documents."""
 
-from matchlake.llm.quality import STATISTICS, flagged, not_prose, statistics
+from matchlake.llm import quality
+from matchlake.llm.quality import STATISTICS, block_scales, flagged, judged, not_prose, statistics
 
 PROSE = "The court held that the lease could be renewed only once, because the notice had not been given in time. It was said that the tenant did not know of it when he signed. "
 SCHEMA = "doc_id bigint, text string, lang string, words string"
@@ -29,7 +30,7 @@ def test_junk_is_found_however_much_of_it_there_is(spark):
 def test_mere_repetition_is_no_prose(spark):
     short = "It was so. He did not go. They were not there. "
     texts = [PROSE * 3, PROSE * 4, "\n\n".join([PROSE] * 3), "It is so ordered. " * 400, short * 3, PROSE, PROSE + "It is so ordered. It is so ordered."]
-    got = {r["doc_id"]: r["prose_ratio"] for r in statistics(documents(spark, texts)).collect()}
+    got = {r["doc_id"]: r["prose_ratio"] for r in judged(documents(spark, texts)).collect()}
     assert all(got[1000 + i] < 0.5 for i in range(5)) and got[1005] > 0.9 and got[1006] > 0.8
     assert {r["doc_id"] for r in not_prose(documents(spark, texts)).collect()} == {1000, 1001, 1002, 1003, 1004}
 
@@ -46,3 +47,25 @@ def test_statistics_and_repeats(spark):
 
 def test_empty_table(spark):
     assert not_prose(documents(spark).limit(0)).count() == 0
+
+
+def test_short_blocks_are_judged_together(spark):
+    short = ["He did not go.", "They were not there.", "It was so.", "She had it when he came.", "We could not see why.", "That is what they said.", "He was to stay with us.", "If it is so, why not?"]
+    text = "\n\n".join(short + [f"He said that he was {w} then." for w in "old new red big sad shy wet dry hot odd".split()])
+    assert judged(documents(spark, [text])).where("doc_id = 1000").first()["prose_ratio"] > 0.9
+
+
+def test_the_sketches_decide(spark, monkeypatch):
+    listed = "Of the barge, to the north of a quay: tar, flax, hemp and rope, oak planks, lime; roof slates, cork, the glass, and in store what was old. "
+    docs = documents(spark, [listed * 1 + "\n\n" + listed.replace("barge", "ferry").replace("tar", "ore")])
+    score = [b["score"] for b in statistics(docs).where("doc_id = 1000").first()["blocks"]]
+    assert all(s > quality.FLOOR for s in score)  # the fixed floor alone takes it for prose
+    scale = {r["inferred"]: r for r in block_scales(statistics(docs)).collect()}["en"]
+    assert all(s < scale["middle"] - quality.TAIL_Z * scale["scale"] for s in score)
+    assert [r["doc_id"] for r in not_prose(docs).collect()] == [1000]
+
+
+def test_declared_languages_do_not_matter_and_null_ones_neither(spark):
+    rows = [(1, PROSE, "de", ""), (2, PROSE, None, ""), (3, PROSE, "xx", "")]
+    got = judged(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r["inferred"] for r in got} == {"en"} and len({r["prose_ratio"] for r in got}) == 1
