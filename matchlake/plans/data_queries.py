@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from matchlake.operators.known_at import history_versions
 from matchlake.operators.parse_errors import failed_lines, failures, loaded_lines
 from matchlake.operators.snapshots import fixture_changes
-from matchlake.operators.timestamps import printed_instants
+from matchlake.operators.timestamps import printed_instants, recovered_orders
 from matchlake.util import table
 
 
@@ -33,11 +33,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return printed_instants({"history": table(spark, d, "history"), "fixtures": table(spark, d, "fixtures")}, table(spark, d, "sources"))
 
 
+def p4_undeclared(spark: SparkSession, d: str) -> DataFrame:
+    """How far the mixture recovers each source's order when no declaration is given."""
+    history, fixtures = table(spark, d, "history"), table(spark, d, "fixtures")
+    rows = history.select("date", "source").unionByName(fixtures.select("date", "source"))
+    return recovered_orders(rows, table(spark, d, "sources"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return history_versions(table(spark, d, "history"), table(spark, d, "competition_versions"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_failures, p2_loaded, p3_found, p4_found, p7_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_failures, p2_loaded, p3_found, p4_found, p4_undeclared, p7_found)}
 
 SQL: dict[str, str] = {
     "p3_found": """
