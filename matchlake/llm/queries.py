@@ -25,6 +25,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return names.linked_sides(table(spark, d, "history"), table(spark, d, "teams"))
 
 
+def p5_recall(spark: SparkSession, d: str) -> DataFrame:
+    return names.recall(table(spark, d, "history"), table(spark, d, "teams"))
+
+
 def p6_ranking(spark: SparkSession, d: str) -> DataFrame:
     teams = table(spark, d, "teams")
     matches = survivors.match_survivors(table(spark, d, "history"), teams, table(spark, d, "sources"))
@@ -64,7 +68,7 @@ def team_spellings(spark: SparkSession, d: str) -> DataFrame:
     return names.all_spellings(table(spark, d, "history"), teams).join(teams.select(F.col("team_id").cast("bigint").alias("team_id"), "name"), "team_id").select("typed", "name")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_survivors, p5_found, p6_ranking, p8_found, p8_reparameterised, p9_selection, p9_shares, p10_found, p10_statistics)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_survivors, p5_found, p5_recall, p6_ranking, p8_found, p8_reparameterised, p9_selection, p9_shares, p10_found, p10_statistics)}
 # The models of known teams, with sides linked as in p5 instead of by the names' plain forms.
 QUERIES |= {f.__name__: partial(f, spellings=team_spellings) for f in (match_queries.poisson_map_fit, match_queries.low_score_fit, match_queries.elo_replay, match_queries.rolling_evaluation)}
 SQL: dict[str, str] = {}
