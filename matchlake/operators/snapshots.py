@@ -1,12 +1,13 @@
 """What changed between consecutive full snapshots (problem 3).
 
-Keys of a series get persistent ordinals. Each snapshot then is a compressed bitmap over ordinals: only its non-zero
-64-bit words are kept, one row per ``(series, block, word, snapshot)``, together with the word's column vector, that
-is the compared attributes of its set bits in ordinal order. ``now & ~before`` are the additions, ``before & ~now`` the
+Keys of a series get persistent ordinals: a registry of ``(series, key, ordinal)`` is kept as a table, keys it knows
+keep their number and new ones are appended behind. Each snapshot then is a compressed bitmap over ordinals: only its
+non-zero 64-bit words are kept, one row per ``(series, word, snapshot)``, together with the word's column vector, that is
+the compared attributes of its set bits in ordinal order. ``now & ~before`` are the additions, ``before & ~now`` the
 removals, and where both bits are set the aligned vectors are compared.
 
-A series with many keys is cut into blocks by a hash of the key, so ordinals are ranked inside a block of bounded size
-and no series, however hot, is handled by one task.
+New keys are numbered by first snapshot, then by a hash of the key in BUCKETS, then by key; only the buckets' sizes are
+summed per series, so no series, however hot, is handled by one task.
 
 Defined results: rows with a null series, snapshot or key are ignored (they name no record); within a snapshot the row
 with the largest ``version`` counts and ties are settled by the attributes' order; a series' first snapshot gives
@@ -20,29 +21,55 @@ from pyspark.sql import functions as F
 
 from matchlake.util import lookup_join, materialize
 
-#: Keys a block of ordinals is meant to hold.
-BLOCK_KEYS = 4096
-
-
-def snapshot_changes(rows: DataFrame, series: str, snapshot: str, key: str, version: str, attributes: dict[str, Column], block_keys: int = BLOCK_KEYS) -> DataFrame:
+#: Parts in which the new keys of a snapshot are numbered.
+BUCKETS = 256
+
+
+def ordinals(keys: DataFrame, registry: str | None = None) -> DataFrame:
+    """(s, k, o) of distinct ``keys(s, k, first)``: numbers from 0 in each series.
+
+    With ``registry``, a folder on a file system all executors share, numbers given before are kept and new ones appended
+    there; a run that is repeated finds its own numbers again.
+    """
+    spark = keys.sparkSession
+    held = None
+    if registry is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(registry)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            held = spark.read.parquet(registry)
+    new = keys if held is None else keys.join(held.select("s", "k"), ["s", "k"], "left_anti")
+    new = materialize(new.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(BUCKETS)).cast("int")), "keys")
+    sizes = new.groupBy("s", "first", "b").agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("s").orderBy("first", "b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("s", "first", "b", before.alias("base"))
+    if held is not None:
+        ends = held.groupBy("s").agg((F.max("o") + 1).alias("end"))
+        sizes = sizes.join(ends, "s", "left").withColumn("base", F.col("base") + F.coalesce("end", F.lit(0))).drop("end")
+    inside = F.row_number().over(Window.partitionBy("s", "first", "b").orderBy("k")) - 1
+    numbered = new.withColumn("i", inside).join(sizes, ["s", "first", "b"]).select("s", "k", (F.col("base") + F.col("i")).alias("o"))
+    if registry is None:
+        return materialize(numbered, "ordinals")
+    numbered.write.mode("append").parquet(registry)
+    return spark.read.parquet(registry)
+
+
+def snapshot_changes(rows: DataFrame, series: str, snapshot: str, key: str, version: str, attributes: dict[str, Column], registry: str | None = None) -> DataFrame:
     """``(series, snapshot, key, change_kind)`` with kinds added, removed and changed against the previous snapshot."""
     narrow = rows.select(F.col(series).alias("s"), F.col(snapshot).alias("n"), F.col(key).alias("k"), F.col(version).alias("v"), F.struct(*[c.alias(a) for a, c in attributes.items()]).alias("a"))
     narrow = narrow.where(F.col("s").isNotNull() & F.col("n").isNotNull() & F.col("k").isNotNull())
     one = narrow.groupBy("s", "n", "k").agg(F.max(F.struct("v", "a")).alias("m")).select("s", "n", "k", F.col("m.a").alias("a"))
 
-    keys = one.groupBy("s", "k").agg(F.min("n").alias("first"))
-    blocks = keys.groupBy("s").agg(F.ceil(F.count("*") / block_keys).cast("int").alias("blocks"))
-    keys = lookup_join(keys, blocks, ["s"], "inner").withColumn("b", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).drop("blocks")
-    ordinals = keys.withColumn("o", F.row_number().over(Window.partitionBy("s", "b").orderBy("first", "k")) - 1).select("s", "k", "b", (F.col("o") / 64).cast("int").alias("w"), (F.col("o") % 64).cast("int").alias("bit"))
+    numbers = ordinals(narrow.groupBy("s", "k").agg(F.min("n").alias("first")), registry)
+    numbers = numbers.select("s", "k", F.floor(F.col("o") / 64).alias("w"), (F.col("o") % 64).cast("int").alias("bit"))
 
     order = materialize(one.select("s", "n").distinct().withColumn("i", F.row_number().over(Window.partitionBy("s").orderBy("n"))), "order")
     words = (
-        one.join(ordinals, ["s", "k"])
-        .groupBy("s", "b", "w", "n")
+        one.join(numbers, ["s", "k"])
+        .groupBy("s", "w", "n")
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit"))).alias("now"), F.sort_array(F.collect_list(F.struct("bit", "k", "a"))).alias("vec"))
     )
     words = lookup_join(words, order, ["s", "n"], "inner", held=True)
-    word = Window.partitionBy("s", "b", "w").orderBy("i")
+    word = Window.partitionBy("s", "w").orderBy("i")
     here = words.withColumn("before", F.lag(F.struct("i", "now", "vec")).over(word)).withColumn("next_i", F.lead("i").over(word))
 
     fresh = F.coalesce(F.col("before.i") == F.col("i") - 1, F.lit(False))
@@ -77,6 +104,6 @@ def snapshot_changes(rows: DataFrame, series: str, snapshot: str, key: str, vers
     return within.unionByName(ended).select(F.col("s").alias(series), F.col("n").alias(snapshot), F.col("k").alias(key), F.col("kind").alias("change_kind"))
 
 
-def fixture_changes(fixtures: DataFrame) -> DataFrame:
+def fixture_changes(fixtures: DataFrame, registry: str | None = None) -> DataFrame:
     """Changes of scores and status between an edition's deliveries; case and outer blanks of status do not matter."""
-    return snapshot_changes(fixtures, "edition_id", "snapshot_no", "match_id", "row_id", {"home_goals": F.col("home_goals"), "away_goals": F.col("away_goals"), "status": F.lower(F.trim("status"))})
+    return snapshot_changes(fixtures, "edition_id", "snapshot_no", "match_id", "row_id", {"home_goals": F.col("home_goals"), "away_goals": F.col("away_goals"), "status": F.lower(F.trim("status"))}, registry)
