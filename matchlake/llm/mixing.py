@@ -16,6 +16,7 @@ any partitioning; empty tables give an empty selection.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,8 +29,19 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 SEED = 20
 #: Ranges a source's keys are cut into.
 RANGES = 2048
-#: Texts are tokenised in pieces of at most this many characters, cut at white space, to bound memory.
+#: Texts are tokenised in pieces of about this many characters to bound memory.
 PIECE = 200_000
+#: No token reaches over a change from a character to a blank, so pieces cut there have the tokens of the whole text.
+_CUT = re.compile(r"(?<=\S)(?=\s)")
+
+
+def pieces(text: str, about: int = PIECE) -> Iterator[str]:
+    at = 0
+    while at < len(text):
+        cut = _CUT.search(text, min(at + about, len(text)))
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
 
 
 def token_counts(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -45,16 +57,7 @@ def token_counts(documents: DataFrame, vocabulary: str | None = None) -> DataFra
         bpe = tiktoken.Encoding("mixing", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         def size(text: str | None) -> int:
-            if not text:
-                return 0
-            n, at = 0, 0
-            while at < len(text):
-                end = min(at + PIECE, len(text))
-                if end < len(text):
-                    end = max(text.rfind(" ", at + PIECE // 2, end), at + PIECE // 2)
-                n += len(bpe.encode_ordinary(text[at:end]))
-                at = end
-            return n
+            return sum(len(bpe.encode_ordinary(part)) for part in pieces(text or ""))
 
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "quality": pdf["quality"], "tokens": [size(t) for t in pdf["text"]]})

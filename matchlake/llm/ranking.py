@@ -3,16 +3,19 @@
 Outcomes become a skew-symmetric matrix of normalised margins: for two items the mean of (won - lost), less the mean
 advantage of the side named first, drawn towards zero where they met seldom. The matrix is scaled by its degrees, so
 items that met often do not dominate. A distributed Lanczos iteration builds an orthonormal basis, one sparse product
-per step; the leading singular plane comes from the small projected matrix. In that plane the items lie along a line;
-the direction of the projection is the one whose order agrees with most outcomes.
+and one narrow written column per step, until the leading singular plane of the small projected matrix has settled. In
+that plane the items lie along a line; the direction of the projection is the one whose order agrees with most outcomes.
+
+The iteration ends as soon as the plane has settled, before rounding could bring it a second time, so earlier columns
+are needed once more only for the plane itself. Where the steps end first, ``residual`` says how far the plane is off.
 
 Only the projected matrix, of the size of the number of steps, and a histogram of directions of :data:`DIRECTIONS`
 bins reach the driver.
 
 Defined results: outcomes with a null item or score, or of an item with itself, are ignored; items that never met
 another get strength null and stand last by id; ties of strength are ordered by id; repeated outcomes count each; no
-outcomes give null strengths and only level ones strength 0; further columns are ignored. Items of a part of the graph without any link to the rest
-are compared with the rest only through the spectrum, which has no meaning across parts.
+outcomes give null strengths and only level ones strength 0; further columns are ignored. Items of a part of the graph
+without any link to the rest are compared with the rest only through the spectrum, which has no meaning across parts.
 """
 
 from __future__ import annotations
@@ -23,10 +26,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchlake.util import materialize
+from matchlake.util import materialize, salted_join, small
 
 DIRECTIONS = 3600
-STEPS = 30
+#: Most steps; a plane that has not settled by then is returned with its residual.
+STEPS = 200
+TOLERANCE = 1e-4
 SHRINK = 1.0
 #: Level outcomes added before the advantage of the side named first is estimated.
 FEW = 100
@@ -49,50 +54,63 @@ def _projected(betas: list[float]) -> np.ndarray:
     return t - t.T
 
 
-def _settled(betas: list[float], tolerance: float) -> bool:
+def _residual(betas: list[float]) -> float:
+    """How far the leading plane of the projected matrix is off, against its singular value."""
     values, vectors = np.linalg.eig(_projected(betas))
     lead = int(np.argmax(np.abs(values.imag)))
-    return betas[-1] * abs(vectors[-1, lead]) < tolerance * max(abs(values[lead]), 1e-12)
+    return float(betas[-1] * abs(vectors[-1, lead]) / max(abs(values[lead]), 1e-12))
 
 
-def spectral_ranking(outcomes: DataFrame, steps: int = STEPS, tolerance: float = 1e-4) -> DataFrame:
-    """(item, strength, met) for every item with an outcome; strengths have mean 0 and deviation 1."""
+def spectral_ranking(outcomes: DataFrame, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
+    """(item, strength, met, residual) for every item with an outcome; strengths have mean 0 and deviation 1."""
     raw = materialize(margins(materialize(outcomes.select("a", "b", "a_score", "b_score"), "outcomes")), "margins")
     degree = raw.groupBy("i").agg(F.sum(F.col("n") / (F.col("n") + SHRINK)).alias("d"), F.sum("n").alias("met"))
     degree = materialize(degree, "degree")
-    scaled = raw.join(degree.select("i", F.col("d").alias("di")), "i").join(degree.select(F.col("i").alias("j"), F.col("d").alias("dj")), "j")
+    few = small(degree)  # then a column of the basis is small enough to be broadcast
+
+    def with_items(df: DataFrame, items: DataFrame, on: str) -> DataFrame:
+        return df.join(F.broadcast(items), on) if few else salted_join(df, items, [on], "inner")
+
+    scaled = with_items(raw, degree.select("i", F.col("d").alias("di")), "i")
+    scaled = with_items(scaled, degree.select(F.col("i").alias("j"), F.col("d").alias("dj")), "j")
     edges = materialize(scaled.select("i", "j", (F.col("x") / F.sqrt(F.col("di") * F.col("dj"))).alias("x")), "edges")
 
-    # A fixed pseudo-random start: the same for the same items, in any partitioning.
-    start = degree.select("i", (F.pmod(F.xxhash64("i"), F.lit(2_000_003)) / 1_000_001.5 - 1.0).alias("w"))
+    # The plane lies near the roots of the degrees; a fixed pseudo-random part keeps the start from being level. It is
+    # the same for the same items, in any partitioning.
+    noise = F.pmod(F.xxhash64("i"), F.lit(2_000_003)) / 2_000_003.0
+    start = degree.select("i", (F.sqrt("d") * (1 + noise)).alias("w"))
     norm = start.agg(F.sqrt(F.sum(F.col("w") * F.col("w")))).first()[0]
     if not norm:
-        return degree.select(F.col("i").alias("item"), F.lit(None).cast("double").alias("strength"), "met")
-    basis = start.select("i", F.array(F.col("w") / norm).alias("q"))
+        return degree.select(F.col("i").alias("item"), F.lit(None).cast("double").alias("strength"), "met", F.lit(None).cast("double").alias("residual"))
+    columns = [start.select("i", (F.col("w") / norm).alias("q"))]
     betas: list[float] = []
+    residual = math.inf
     for k in range(steps):
-        product = edges.join(basis.select(F.col("i").alias("j"), F.element_at("q", -1).alias("v")), "j").groupBy("i").agg(F.sum(F.col("x") * F.col("v")).alias("w"))
-        rest = F.coalesce("w", F.lit(0.0))
-        if betas:  # skew-symmetric: only the last two directions are needed
-            rest = rest + F.lit(betas[-1]) * F.element_at("q", -2)
-        held = materialize(basis.join(product, "i", "left").select("i", "q", rest.alias("w")), "product")
-        beta = float(held.agg(F.sqrt(F.sum(F.col("w") * F.col("w")))).first()[0])
+        last = columns[-1].select(F.col("i").alias("j"), F.col("q").alias("v"))
+        part = with_items(edges, last, "j").select("i", (F.col("x") * F.col("v")).alias("w"))
+        if k:  # skew-symmetric: only the last two directions are needed
+            part = part.unionByName(columns[-2].select("i", (F.col("q") * betas[-1]).alias("w")))
+        held = materialize(part.groupBy("i").agg(F.sum("w").alias("w")), "product")
+        beta = float(held.agg(F.sqrt(F.sum(F.col("w") * F.col("w")))).first()[0] or 0.0)
         betas.append(beta)
-        if beta < 1e-9 or k == steps - 1 or (k >= 7 and _settled(betas, tolerance)):
+        residual = _residual(betas) if k else math.inf
+        if beta < 1e-9 or k == steps - 1 or (k >= 3 and residual < tolerance):
             break
-        basis = held.select("i", F.concat("q", F.array(F.col("w") / beta)).alias("q"))
-    m = len(betas)
-    projected = _projected(betas)
-    values, vectors = np.linalg.eig(projected[:m, :m])
+        columns.append(held.select("i", (F.col("w") / beta).alias("q")))
+    values, vectors = np.linalg.eig(_projected(betas))
     if np.abs(values.imag).max() < 1e-9:
-        return degree.select(F.col("i").alias("item"), F.lit(0.0).alias("strength"), "met")
+        return degree.select(F.col("i").alias("item"), F.lit(0.0).alias("strength"), "met", F.lit(0.0).alias("residual"))
     y = vectors[:, int(np.argmax(np.abs(values.imag)))]
+    whole = None
+    for q, c in zip(columns, y, strict=True):
+        one = q.select("i", (F.col("q") * float(c.real)).alias("u"), (F.col("q") * float(c.imag)).alias("v"))
+        whole = one if whole is None else whole.unionByName(one)
     root = 1.0 / F.sqrt("d")  # an item's entries of the scaled matrix grow with the root of its degree
-    mix = lambda part: sum((F.lit(float(c)) * F.get("q", F.lit(p)) for p, c in enumerate(part)), F.lit(0.0))
-    plane = materialize(basis.join(degree, "i").select("i", "met", (mix(y.real) * root).alias("u"), (mix(y.imag) * root).alias("v")), "plane")
+    plane = with_items(whole.groupBy("i").agg(F.sum("u").alias("u"), F.sum("v").alias("v")), degree, "i")
+    plane = materialize(plane.select("i", "met", (F.col("u") * root).alias("u"), (F.col("v") * root).alias("v")), "plane")
 
     a, b = plane.select("i", F.col("u").alias("ui"), F.col("v").alias("vi")), plane.select(F.col("i").alias("j"), F.col("u").alias("uj"), F.col("v").alias("vj"))
-    turned = raw.where("i < j and x <> 0").join(a, "i").join(b, "j")
+    turned = with_items(with_items(raw.where("i < j and x <> 0"), a, "i"), b, "j")
     sign = F.signum("x")
     angle = F.atan2(sign * (F.col("vi") - F.col("vj")), sign * (F.col("ui") - F.col("uj")))
     bins = turned.groupBy(F.pmod(F.floor((angle + math.pi) / (2 * math.pi) * DIRECTIONS), F.lit(DIRECTIONS)).cast("int").alias("bin")).agg(F.sum(F.abs("x") * F.col("n")).alias("w")).collect()
@@ -108,17 +126,17 @@ def spectral_ranking(outcomes: DataFrame, steps: int = STEPS, tolerance: float =
     scored = plane.select(F.col("i").alias("item"), "met", (F.col("u") * math.cos(theta) + F.col("v") * math.sin(theta)).alias("s"))
     stats = scored.agg(F.avg("s"), F.stddev_pop("s")).first()
     deviation = stats[1] or 1.0
-    return scored.select("item", ((F.col("s") - F.lit(stats[0])) / F.lit(deviation)).alias("strength"), "met")
+    return scored.select("item", ((F.col("s") - F.lit(stats[0])) / F.lit(deviation)).alias("strength"), "met", F.lit(residual).alias("residual"))
 
 
 def ranked(items: DataFrame, strengths: DataFrame, item: str) -> DataFrame:
-    """``items`` with strength, met and rank (1 is the strongest).
+    """``items`` with strength, met, residual and rank (1 is the strongest).
 
     Positions are counted in ranges of strength, then inside each range, so no task sorts all items.
     """
-    made = ["strength", "met", "rank"]
+    made = ["strength", "met", "residual", "rank"]
     items = items.drop(*made)
-    both = items.join(strengths.select(F.col("item").alias(item), "strength", "met"), item, "left").withColumn("met", F.coalesce("met", F.lit(0)))
+    both = items.join(strengths.select(F.col("item").alias(item), "strength", "met", "residual"), item, "left").withColumn("met", F.coalesce("met", F.lit(0)))
     part = F.when(F.col("strength").isNull(), F.lit(10_000)).otherwise(F.floor((F.lit(5.0) - F.greatest(F.least("strength", F.lit(5.0)), F.lit(-5.0))) * 100))
     both = materialize(both.withColumn("__part", part), "ranked")
     sizes = both.groupBy("__part").agg(F.count("*").alias("__size"))  # at most 1,002 ranges

@@ -1,11 +1,14 @@
 """Selections against caps, budgets and a plain sort."""
 
+import base64
 import math
+import random
 
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
-from matchlake.llm.mixing import mix, reached_shares, token_counts
+from matchlake.llm.mixing import VOCABULARY, mix, pieces, reached_shares, token_counts
 
 TARGETS = "mix string, source string, target_share double, max_repeats int, tokens string"
 SIZES = "doc_id bigint, source string, tokens bigint, quality double, key string"
@@ -63,3 +66,15 @@ def test_tokens_of_whole_texts(spark):
     got = {r["doc_id"]: r["tokens"] for r in token_counts(docs).collect()}
     assert got[1] == got[2] == 0 and got[3] > 5 and math.isclose(got[0], 100_000, rel_tol=0.01) and got[4] > 10_000
     assert mix(token_counts(docs).limit(0), spark.createDataFrame([("m", "s", 1.0, 1, "")], TARGETS)).count() == 0
+
+
+def test_pieces_have_the_tokens_of_the_whole_text():
+    public = pytest.importorskip("public_tokenizers")
+    with open(public.path(VOCABULARY), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    bpe = tiktoken.Encoding("t", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(4)
+    for _ in range(200):
+        text = "".join(r.choice(["word", "'s", " ", "  ", "\n", "\t ", "12", ",", "é", "x" * 30, "\u00a0", "...", "Über"]) for _ in range(60))
+        parts = list(pieces(text, 7))
+        assert "".join(parts) == text and sum(len(bpe.encode_ordinary(p)) for p in parts) == len(bpe.encode_ordinary(text))

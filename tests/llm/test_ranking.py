@@ -24,6 +24,17 @@ def test_recovers_planted_order_despite_uneven_counts(spark):
     v = np.array([got[i] for i in range(len(s))])
     assert np.corrcoef(np.argsort(np.argsort(-v)), np.arange(len(s)))[0, 1] > 0.9
     assert abs(v.mean()) < 1e-9 and abs(v.std() - 1) < 1e-9
+    assert all(r["residual"] < 1e-4 for r in spectral_ranking(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert spectral_ranking(spark.createDataFrame(rows, SCHEMA), steps=3).first()["residual"] > 1e-4  # an early end is told
+
+
+def test_items_too_many_to_broadcast_give_the_same(spark, monkeypatch):
+    from matchlake.llm import ranking
+
+    df = spark.createDataFrame(outcomes(12, 400)[0], SCHEMA)
+    one = {r["item"]: r["strength"] for r in spectral_ranking(df).collect()}
+    monkeypatch.setattr(ranking, "small", lambda _: False)
+    assert all(abs(one[r["item"]] - r["strength"]) < 1e-9 for r in spectral_ranking(df).collect())
 
 
 def test_plane_agrees_with_a_dense_solution(spark):
