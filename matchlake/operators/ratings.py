@@ -1,20 +1,31 @@
-"""Rating replay: every match reads ratings of strictly earlier instants.
+"""Rating replay: every match reads ratings, leagues and offsets of strictly earlier instants.
 
-The recency of each update depends on the cutoff, so a replay is a fold per cutoff: cutoffs run in parallel, each one
-sequentially over its matches, of which :data:`MOST_MATCHES` bounds the number.
+What a match reads besides ratings does not depend on them and is found for all matches at once: the league of a side is
+the competition of its last domestic match before the instant, its international evidence a sum of decayed counts before
+it; both are as-of lookups in sorted arrays. What remains is a recursion over two vectors, the ratings of teams and the
+offsets of leagues, advanced one instant at a time.
+
+The recursion is sequential by nature and its decay depends on the cutoff, so cutoffs run in parallel and each one is a
+task that holds :data:`MOST_MATCHES` matches at most; more raise. Nothing after a cutoff is read for it.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchlake.operators import matches as M
+from matchlake.util import materialize
+
+MOST_MATCHES = 5_000_000
 
-MOST_MATCHES = 1_000_000
+# Competitions between leagues, and where the offsets of known leagues begin.
+CROSS_LEAGUE = ["UCL", "UCL qualifying", "UEL", "UEL qualifying", "UECL", "UECL qualifying"]
+ASSOCIATION = {"E0": 55.0, "I1": 45.0, "SP1": 42.0, "D1": 38.0, "F1": 20.0, "N1": 14.0, "B1": 5.0, "P1": 0.0, "G1": -22.0, "T1": -22.0, "AUT": -30.0, "NOR": -35.0}
 
 
 @dataclass(frozen=True)
@@ -24,78 +35,161 @@ class RatingConfig:
     home: float = 55.0
     half_life: float = 365.0
     league_k: float = 8.0
+    league_shrink: float = 20.0
     international_shrink: float = 8.0
     min_weight: float = 0.45
 
     def validate(self) -> RatingConfig:
         for name, value in vars(self).items():
-            if isinstance(value, bool) or not (value == value and abs(value) < float("inf")) or value < 0:
-                raise ValueError(f"{name} must be a finite number >= 0")
-        if self.half_life == 0 or self.min_weight > 1:
-            raise ValueError("half_life must be positive and min_weight at most 1")
+            if isinstance(value, bool) or not (value == value and abs(value) < float("inf")) or (value < 0 and name not in ("initial", "home")):
+                raise ValueError(f"{name} must be a finite number, and >= 0")
+        if 0 in (self.k, self.half_life, self.league_shrink, self.international_shrink) or self.min_weight > 1:
+            raise ValueError("k, half_life and the shrinkages must be positive and min_weight at most 1")
         return self
 
 
-COLUMNS = "cutoff string, row_id bigint, date timestamp_ntz, home string, away string, home_rating double, away_rating double, home_offset double, away_offset double, expected double"
+#: One fold gives rows of three kinds; what a kind does not have is null.
+COLUMNS = (
+    "kind string, cutoff string, row_id bigint, date timestamp_ntz, home string, away string, home_rating double, away_rating double, home_league string, away_league string, "
+    "home_offset double, away_offset double, expected double, recency double, name string, rating double, offset double, evidence double, league string"
+)
+MATCH = ["cutoff", "row_id", "date", "home", "away", "home_rating", "away_rating", "home_league", "away_league", "home_offset", "away_offset", "expected", "recency"]
+TEAM = ["cutoff", "name", "rating", "evidence", "league"]
+LEAGUE = ["cutoff", "name", "offset", "evidence"]
 
 
-def replay(rows: DataFrame, cutoffs: list[str], config: RatingConfig | None = None) -> DataFrame:
-    """Pre-match ratings and league offsets of every match before each cutoff."""
+class _Earlier:
+    """What was last known of each of ``n`` owners strictly before an instant."""
+
+    def __init__(self, owner: np.ndarray, at: np.ndarray, instants: int):
+        self.span = instants + 1
+        key = owner.astype(np.int64) * self.span + at
+        self.order = np.argsort(key, kind="stable")  # of one instant the later match counts
+        self.key = key[self.order]
+
+    def _place(self, owner: np.ndarray, at: np.ndarray | int) -> np.ndarray:
+        return np.searchsorted(self.key, owner.astype(np.int64) * self.span + at, "left")
+
+    def last(self, owner: np.ndarray, at: np.ndarray | int) -> np.ndarray:
+        """Index of the last event, -1 without any."""
+        place = self._place(owner, at)
+        begin = self._place(owner, 0)
+        out = np.full(len(owner), -1)
+        has = place > begin
+        out[has] = self.order[place[has] - 1]
+        return out
+
+    def total(self, weight: np.ndarray, owner: np.ndarray, at: np.ndarray | int) -> np.ndarray:
+        """Sum of the weights of the events."""
+        running = np.concatenate([[0.0], np.cumsum(weight[self.order])])
+        return running[self._place(owner, at)] - running[self._place(owner, 0)]
+
+
+def _fold(games: pd.DataFrame, c: RatingConfig) -> pd.DataFrame:
+    """The rows of one cutoff's replay."""
+    games = games.sort_values(["date", "competition", "home", "away", "row_id"], kind="stable").reset_index(drop=True)
+    n = len(games)
+    end = pd.Timestamp(games["cutoff"].iloc[0])
+    age = np.maximum((end - games["date"]).dt.total_seconds().to_numpy(), 0.0) / 86_400
+    recency = np.exp2(-age / c.half_life)
+    instant = np.cumsum(np.concatenate([[0], (games["date"].to_numpy()[1:] != games["date"].to_numpy()[:-1]).astype(int)]))
+    instants = int(instant[-1]) + 1
+    team_of, teams = pd.factorize(pd.concat([games["home"], games["away"]]), sort=True)
+    home, away = team_of[:n], team_of[n:]
+    comp, comps = pd.factorize(games["competition"], sort=True)
+    cross = games["competition"].str.strip().isin(CROSS_LEAGUE).to_numpy()
+    gap = (games["home_goals"] - games["away_goals"]).to_numpy(np.int64)
+    actual = np.where(gap > 0, 1.0, np.where(gap == 0, 0.5, 0.0))
+    size = np.abs(gap)
+    margin = np.where(size <= 1, 1.0, np.where(size == 2, 1.5, (11 + size) / 8))
+
+    domestic = np.flatnonzero(~cross)
+    both = np.concatenate([domestic, domestic])
+    seen = _Earlier(np.concatenate([home[domestic], away[domestic]]), np.concatenate([instant[domestic]] * 2), instants)
+
+    def league_before(team: np.ndarray, at: np.ndarray | int) -> np.ndarray:
+        last = seen.last(team, at)
+        return np.where(last >= 0, comp[both[last]] if len(both) else -1, -1)
+
+    home_league = np.where(cross, league_before(home, instant), comp)
+    away_league = np.where(cross, league_before(away, instant), comp)
+    counted = np.flatnonzero(cross & (home_league >= 0) & (away_league >= 0) & (home_league != away_league))
+    abroad = _Earlier(np.concatenate([home[counted], away[counted]]), np.concatenate([instant[counted]] * 2), instants)
+    weights = np.concatenate([recency[counted]] * 2)
+
+    def trust(evidence: np.ndarray) -> np.ndarray:
+        return c.min_weight + (1 - c.min_weight) * evidence / (evidence + c.international_shrink)
+
+    home_trust = np.where(cross, trust(abroad.total(weights, home, instant)), 1.0)
+    away_trust = np.where(cross, trust(abroad.total(weights, away, instant)), 1.0)
+
+    ratings, offsets, read = _advance(
+        instant, home, away, home_league, away_league, home_trust, away_trust, c.k * recency * margin, np.where(np.isin(np.arange(n), counted), c.league_k * recency, 0.0), recency, actual, cross, comp, comps, len(teams), c
+    )
+    name = lambda league: np.where(league >= 0, np.array([*comps, None], dtype=object)[league], None)
+    out = games[["cutoff", "row_id", "date", "home", "away"]].assign(kind="match", home_league=name(home_league), away_league=name(away_league), recency=recency)
+    out[["home_rating", "away_rating", "home_offset", "away_offset", "expected"]] = read
+    ids = np.arange(len(teams))
+    evidence = abroad.total(weights, ids, instants)
+    finals = pd.DataFrame({"kind": "team", "cutoff": games["cutoff"].iloc[0], "name": teams, "rating": c.initial + ratings * trust(evidence), "evidence": evidence, "league": name(league_before(ids, instants))})
+    born = ~np.isnan(offsets)
+    shared = np.bincount(np.concatenate([home_league[counted], away_league[counted]]), weights, len(comps)) if len(counted) else np.zeros(len(comps))
+    leagues = pd.DataFrame({"kind": "league", "cutoff": games["cutoff"].iloc[0], "name": comps, "offset": offsets, "evidence": shared})[born]
+    return pd.concat([out, finals, leagues], ignore_index=True)[[x.split()[0] for x in COLUMNS.split(", ")]]
+
+
+def _advance(instant, home, away, home_league, away_league, home_trust, away_trust, step, league_step, recency, actual, cross, comp, comps, n_teams, c):
+    """Ratings (as deviations) and offsets after the last instant, and what every match read: both sides' ratings and
+    offsets and the expected score."""
+    ratings = np.zeros(n_teams)
+    offsets, evidence = np.full(len(comps), np.nan), np.zeros(len(comps))
+    prior = np.array([ASSOCIATION.get(x, 0.0) for x in comps])
+    read = np.empty((len(instant), 5))
+    bounds = np.flatnonzero(np.concatenate([[True], instant[1:] != instant[:-1], [True]]))
+    for begin, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        now = slice(begin, stop)
+        h, a, lh, la = home[now], away[now], home_league[now], away_league[now]
+        known = np.append(np.nan_to_num(offsets), 0.0)  # a league that is not known reads the last entry
+        rh, ra, oh, oa = ratings[h] * home_trust[now], ratings[a] * away_trust[now], known[lh], known[la]
+        expected = 1 / (1 + 10.0 ** (-(rh + oh + c.home - ra - oa) / 400))
+        read[now] = np.stack([c.initial + rh, c.initial + ra, oh, oa, expected], 1)
+        surprise = actual[now] - expected
+        np.add.at(ratings, h, step[now] * surprise)
+        np.add.at(ratings, a, -step[now] * surprise)
+        fresh = comp[now][~cross[now]]
+        fresh = fresh[np.isnan(offsets[fresh])]
+        offsets[fresh] = prior[fresh]
+        moves = np.flatnonzero(league_step[now])
+        if len(moves):
+            pull = league_step[now][moves] * surprise[moves]
+            for league, sign in ((lh[moves], 1.0), (la[moves], -1.0)):
+                np.add.at(offsets, league, sign * pull)
+                np.add.at(evidence, league, recency[now][moves])
+        if (len(moves) or len(fresh)) and evidence.sum():
+            offsets -= np.nansum(offsets * evidence) / evidence.sum()
+    return ratings, offsets, read
+
+
+def replay_tables(rows: DataFrame, cutoffs: list[str], config: RatingConfig | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(matches, teams, leagues) of a replay per cutoff.
+
+    matches: what each match before the cutoff read; teams: final rating, drawn to the initial one by how little is known
+    from abroad, evidence and league; leagues: offset and evidence.
+    """
     c = (config or RatingConfig()).validate()
-    league = M.modal_league(rows)
     base = rows.select("row_id", "date", "home", "away", "home_goals", "away_goals", "competition")
-    base = base.join(league.toDF("home", "home_league"), "home").join(league.toDF("away", "away_league"), "away")
     cut = F.explode(F.array(*[F.lit(x) for x in cutoffs])).alias("cutoff")
     each = base.select("*", cut).where(F.col("date") < F.col("cutoff").cast("timestamp_ntz"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > MOST_MATCHES:
             raise ValueError("a replay folds at most MOST_MATCHES matches; split by competition")
-        pdf = pdf.sort_values(["date", "home", "away", "competition", "row_id"], kind="stable")
-        end = pd.Timestamp(pdf["cutoff"].iloc[0])
-        rating: dict[str, float] = {}
-        offset: dict[str, float] = {}
-        evidence: dict[str, float] = {}
-        abroad: dict[str, float] = {}
-        out = []
-        for date, games in pdf.groupby("date", sort=True):
-            recency = 2.0 ** (-max((end - date).total_seconds(), 0.0) / 86_400 / c.half_life)
-            team_moves: dict[str, float] = {}
-            league_moves: dict[str, float] = {}
-            for g in games.itertuples():
-                foreign = g.home_league != g.away_league and "OTHER" not in (g.home_league, g.away_league)
-                r = []
-                for t in (g.home, g.away):
-                    raw = rating.get(t, c.initial)
-                    e = abroad.get(t, 0.0)
-                    trust = c.min_weight + (1 - c.min_weight) * e / (e + c.international_shrink)
-                    r.append(c.initial + (raw - c.initial) * trust if foreign else raw)
-                lo = [offset.get(x, 0.0) for x in (g.home_league, g.away_league)]
-                add = lo if foreign else [0.0, 0.0]
-                expected = 1 / (1 + 10 ** (-((r[0] + add[0]) + c.home - (r[1] + add[1])) / 400))
-                out.append((g.cutoff, g.row_id, date, g.home, g.away, r[0], r[1], lo[0], lo[1], expected))
-                gap = abs(int(g.home_goals) - int(g.away_goals))
-                actual = 1.0 if g.home_goals > g.away_goals else 0.5 if gap == 0 else 0.0
-                size = 1.0 if gap <= 1 else 1.5 if gap == 2 else (11 + gap) / 8
-                delta = c.k * recency * size * (actual - expected)
-                team_moves[g.home] = team_moves.get(g.home, 0.0) + delta
-                team_moves[g.away] = team_moves.get(g.away, 0.0) - delta
-                if foreign:
-                    move = c.league_k * recency * size * (actual - expected)
-                    league_moves[g.home_league] = league_moves.get(g.home_league, 0.0) + move
-                    league_moves[g.away_league] = league_moves.get(g.away_league, 0.0) - move
-                    for t in (g.home, g.away):
-                        abroad[t] = abroad.get(t, 0.0) + 1
-                    for x in (g.home_league, g.away_league):
-                        evidence[x] = evidence.get(x, 0.0) + 1
-            for t, v in team_moves.items():
-                rating[t] = rating.get(t, c.initial) + v
-            for x, v in league_moves.items():
-                offset[x] = offset.get(x, 0.0) + v
-            total = sum(evidence.values())
-            if total:
-                mean = sum(evidence[x] * offset.get(x, 0.0) for x in evidence) / total
-                offset = {x: v - mean for x, v in offset.items()}
-        return pd.DataFrame(out, columns=[x.split()[0] for x in COLUMNS.split(", ")])
-
-    return each.groupBy("cutoff").applyInPandas(fold, COLUMNS)
+        return _fold(pdf, c)
+
+    out = materialize(each.groupBy("cutoff").applyInPandas(fold, COLUMNS), "replay")
+    return tuple(out.where(F.col("kind") == kind).select(*columns) for kind, columns in (("match", MATCH), ("team", TEAM), ("league", LEAGUE)))
+
+
+def replay(rows: DataFrame, cutoffs: list[str], config: RatingConfig | None = None) -> DataFrame:
+    """Pre-match ratings, leagues and offsets of every match before each cutoff."""
+    return replay_tables(rows, cutoffs, config)[0]

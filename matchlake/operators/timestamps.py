@@ -210,6 +210,9 @@ def posteriors(counts: DataFrame, rounds: int = 500) -> DataFrame:
     return counts.groupBy("source_key").applyInPandas(em, "source_key string, candidates string, at int, posterior double, misprint double")
 
 
+MADE = ("seconds", "utc", "strict", "has_time", "reading", "posterior", "status")
+
+
 def read_timestamps(rows: DataFrame, sources: DataFrame, value: str = "date", source: str = "source", prefix: str = "ts_") -> DataFrame:
     """Adds ``{prefix}seconds`` (UTC seconds from 1970), ``{prefix}utc`` (stored form), ``{prefix}strict``,
     ``{prefix}has_time``, ``{prefix}reading``, ``{prefix}posterior`` and ``{prefix}status`` (ok, missing, unreadable,
@@ -218,15 +221,38 @@ def read_timestamps(rows: DataFrame, sources: DataFrame, value: str = "date", so
     ``sources(source, tz_name, date_order)`` gives each source's zone and declared order; both may be null. Columns of
     ``rows`` that have the names made here are replaced.
     """
+    rows = rows.drop(*[prefix + k for k in MADE])
+    strict = F.coalesce(F.col(value).rlike(STRICT), F.lit(False))
+    # Stored dates take the short way, and teach a source's years at the cost of a substring.
+    years = rows.where(strict).select(F.col(source).alias("src"), F.concat(F.lit("ISO:"), F.substring(F.col(value), 1, 4)).alias("candidates"))
+    seconds = F.unix_seconds(F.try_make_timestamp(*[_digits(F.substring(F.col(value), i, n)) for i, n in ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2))], F.substring(F.col(value), 18, 2).try_cast("decimal(16,6)"), F.lit("UTC")))
+    stored = rows.where(strict).withColumn("__seconds", seconds)
+    s = F.col("__seconds")
+    made = {
+        "seconds": s,
+        "utc": _stored(s),
+        "strict": F.lit(True),
+        "has_time": F.pmod(s, F.lit(86_400)) != DATE_ONLY_SECONDS,
+        "reading": F.when(s.isNotNull(), "ISO"),
+        "posterior": F.when(s.isNotNull(), 1.0),
+        "status": F.when(s.isNotNull(), "ok").otherwise("impossible"),
+    }
+    stored = stored.select(*_all(rows), *[c.alias(prefix + k) for k, c in made.items()])
+    return stored.unionByName(read_printed(rows.where(~strict), sources, value, source, prefix, years))
+
+
+def read_printed(rows: DataFrame, sources: DataFrame, value: str = "date", source: str = "source", prefix: str = "ts_", years: DataFrame | None = None) -> DataFrame:
+    """:func:`read_timestamps` of rows whose dates are not in the stored form.
+
+    ``years(src, candidates)`` are further sure values that the mixture learns from.
+    """
     p = "__" + prefix
-    rows = rows.drop(*[prefix + k for k in ("seconds", "utc", "strict", "has_time", "reading", "posterior", "status")])
+    rows = rows.drop(*[prefix + k for k in MADE])
     text = F.trim(F.col(value))
-    d = rows.withColumn(p + "strict", F.coalesce(F.col(value).rlike(STRICT), F.lit(False)))
-    d = _held(d.withColumn(p + "f", F.when(~F.col(p + "strict"), _fields(text))), [p + "strict", p + "f"])
+    d = _held(rows.withColumn(p + "f", _fields(text)), [p + "f"])
     f = {name: _part(p + "f", name) for name in PARTS}
     d = _held(d.withColumn(p + "c", _candidates(f, [_digits(f["p1"]), _digits(f["p2"]), _digits(f["p3"])])), [p + "c"])
     sets = F.when(F.size(p + "c") > 0, F.array_join(F.transform(p + "c", lambda x: F.concat(x["r"], F.lit(":"), x["y"].cast("string"))), "|"))
-    stored = F.when(F.col(p + "strict"), F.concat(F.lit("ISO:"), F.substring(F.col(value), 1, 4)))
     d = _held(d.withColumn(p + "set", sets), [p + "set"])
 
     zones = sources.select(F.col("source").alias(p + "src"), F.col("tz_name").alias(p + "tz"), F.upper("date_order").alias(p + "declared")).where(F.col(p + "src").isNotNull())
@@ -235,10 +261,11 @@ def read_timestamps(rows: DataFrame, sources: DataFrame, value: str = "date", so
     zones = materialize(zones, "zones")
     d = lookup_join(d, zones, [p + "src"], held=True)
 
-    # Stored dates teach a source's years at the cost of a substring.
-    counts = d.select(F.coalesce(p + "src", F.lit("")).alias("source_key"), F.coalesce(p + "set", stored).alias("candidates"), F.col(p + "declared").alias("declared"))
-    counts = counts.where("candidates is not null").groupBy("source_key", "candidates").agg(F.first("declared", True).alias("declared"), F.count("*").alias("n"))
-    chosen = posteriors(counts).select(F.col("source_key").alias(p + "key"), F.col("candidates").alias(p + "set"), F.col("at").alias(p + "pick"), F.col("posterior").alias(p + "posterior"), F.col("misprint").alias(p + "misprint"))
+    counts = d.select(F.col(p + "src").alias("src"), F.col(p + "set").alias("candidates"))
+    counts = (counts if years is None else counts.unionByName(years)).where("candidates is not null").groupBy("src", "candidates").agg(F.count("*").alias("n"))
+    counts = counts.join(zones.select(F.col(p + "src").alias("src"), F.col(p + "declared").alias("declared")), "src", "left")
+    chosen = posteriors(counts.withColumn("source_key", F.coalesce("src", F.lit(""))))
+    chosen = chosen.select(F.col("source_key").alias(p + "key"), F.col("candidates").alias(p + "set"), F.col("at").alias(p + "pick"), F.col("posterior").alias(p + "posterior"), F.col("misprint").alias(p + "misprint"))
     d = d.withColumn(p + "key", F.coalesce(p + "src", F.lit("")))
     d = lookup_join(d, chosen, [p + "key", p + "set"])
 
@@ -263,12 +290,10 @@ def read_timestamps(rows: DataFrame, sources: DataFrame, value: str = "date", so
         .when(offset.isNotNull(), F.unix_seconds(wall) - offset)
         .when(region.isNotNull(), F.unix_seconds(F.to_utc_timestamp(wall, region)))
     )
-    strict_seconds = F.unix_seconds(F.try_make_timestamp(*[_digits(F.substring(F.col(value), i, n)) for i, n in ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2))], F.substring(F.col(value), 18, 2).try_cast("decimal(16,6)"), F.lit("UTC")))
-    d = d.withColumn(p + "seconds", F.when(F.col(p + "strict"), strict_seconds).otherwise(seconds).cast("bigint"))
+    d = d.withColumn(p + "seconds", seconds.cast("bigint"))
 
     s = F.col(p + "seconds")
-    stated = F.col(p + "strict") & (F.pmod(s, F.lit(86_400)) == DATE_ONLY_SECONDS)
-    timed = F.when(s.isNull(), F.lit(None).cast("boolean")).when(F.col(p + "strict"), ~stated).otherwise(has_time | (f["shape"] == "epoch"))
+    timed = F.when(s.isNull(), F.lit(None).cast("boolean")).otherwise(has_time | (f["shape"] == "epoch"))
     status = (
         F.when(s.isNotNull(), "ok")
         .when(F.coalesce(text, F.lit("")) == "", "missing")
@@ -280,16 +305,20 @@ def read_timestamps(rows: DataFrame, sources: DataFrame, value: str = "date", so
     made = {
         "seconds": s,
         "utc": _stored(s),
-        "strict": F.col(p + "strict"),
+        "strict": F.lit(False),
         "has_time": timed,
         "reading": at["r"],
         "posterior": F.col(p + "posterior"),
         "status": status,
     }
-    out = d.select(*[F.col("`" + c.replace("`", "``") + "`") for c in rows.columns], *[c.alias(prefix + k) for k, c in made.items()])
+    out = d.select(*_all(rows), *[c.alias(prefix + k) for k, c in made.items()])
     return _held(out, [prefix + k for k in made])
 
 
+def _all(df: DataFrame) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def _held(df: DataFrame, columns: list[str]) -> DataFrame:
     """The same rows with ``columns`` passed through a one-row generator.
 
@@ -312,7 +341,7 @@ def printed_instants(tables: dict[str, DataFrame], sources: DataFrame) -> DataFr
         part = df.select(F.lit(name).alias("tbl"), "row_id", "date", "source")
         both = part if both is None else both.unionByName(part)
     loose = both.where(F.col("date").isNotNull() & ~F.col("date").rlike(STRICT))
-    return read_timestamps(loose, sources).where(F.col("ts_seconds").isNotNull()).select("tbl", "row_id", F.col("ts_utc").alias("utc"))
+    return read_printed(loose, sources).where(F.col("ts_seconds").isNotNull()).select("tbl", "row_id", F.col("ts_utc").alias("utc"))
 
 
 def recovered_orders(rows: DataFrame, sources: DataFrame) -> DataFrame:
