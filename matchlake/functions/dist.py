@@ -41,13 +41,18 @@ def grid_outcomes(cells: DataFrame, key: list[str], p: str = "p") -> DataFrame:
 
 
 def skellam(home_rate: Column, away_rate: Column, top: int = 260) -> Column:
-    """struct(p_home, p_draw, p_away) of independent goals with full tails, for rates up to 100."""
-    joint = F.zip_with(pmf(home_rate, top), pmf(away_rate, top), lambda a, b: F.struct(a.alias("h"), b.alias("a")))
-    total = F.aggregate(
-        joint,
-        F.struct(F.lit(0.0).alias("home"), F.lit(0.0).alias("draw"), F.lit(0.0).alias("ch"), F.lit(0.0).alias("ca")),
-        lambda s, x: F.struct((s["home"] + x["h"] * s["ca"]).alias("home"), (s["draw"] + x["h"] * x["a"]).alias("draw"), (s["ch"] + x["h"]).alias("ch"), (s["ca"] + x["a"]).alias("ca")),
-    )
+    """struct(p_home, p_draw, p_away) of independent goals with full tails, for rates up to 100.
+
+    One pass over the goals 0 .. top carries both probabilities of a number and of fewer goals.
+    """
+    h, a = F.exp(-home_rate), F.exp(-away_rate)
+    start = F.struct(F.lit(0.0).alias("home"), (h * a).alias("draw"), h.alias("h"), a.alias("a"), a.alias("below"))
+
+    def step(s: Column, k: Column) -> Column:
+        ph, pa = s["h"] * home_rate / k, s["a"] * away_rate / k
+        return F.struct((s["home"] + ph * s["below"]).alias("home"), (s["draw"] + ph * pa).alias("draw"), ph.alias("h"), pa.alias("a"), (s["below"] + pa).alias("below"))
+
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(top)), start, step)
     return F.struct(total["home"].alias("p_home"), total["draw"].alias("p_draw"), F.greatest(F.lit(1.0) - total["home"] - total["draw"], F.lit(0.0)).alias("p_away"))
 
 
@@ -110,3 +115,8 @@ def goal_multiplier(difference: Column) -> Column:
 
 def decay_weight(age_days: Column, half_life: float) -> Column:
     return F.pow(F.lit(2.0), -age_days / half_life)
+
+
+def adjusted_rate(rate: Column, adjustment: Column) -> Column:
+    """A rate moved by ``exp(adjustment)``, kept within [LOW, HIGH]."""
+    return F.exp(F.greatest(F.least(F.log(rate) + adjustment, F.log(F.lit(HIGH))), F.log(F.lit(LOW))))

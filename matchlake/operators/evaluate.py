@@ -10,36 +10,43 @@ from matchlake.functions.dist import outcome
 FLOOR = 1e-15
 
 
-def ranged_position(rows: DataFrame, by: str) -> DataFrame:
-    """Adds ``n``, the 1-based position by (``by``, row_id), counted per date and then inside a date.
+def instants_at(counts: DataFrame, positions: list[int]) -> DataFrame:
+    """(p, date): the instant in which the row at each 0-based position lies when ``counts(date, k)`` are laid in order.
 
-    Only dates and their counts are sorted in one place; no task holds all rows.
+    Days are summed first, so one task sorts calendar days, and then the instants of the days in question.
     """
-    days = rows.groupBy(by).agg(F.count("*").alias("k"))
-    start = days.withColumn("start", F.coalesce(F.sum("k").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(by, "start")
-    inside = rows.withColumn("i", F.row_number().over(Window.partitionBy(by).orderBy("row_id")))
-    return inside.join(start, by).withColumn("n", F.col("start") + F.col("i")).drop("start", "i")
+    rows = counts.withColumn("day", F.col("date").cast("date"))
+    days = rows.groupBy("day").agg(F.sum("k").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.withColumn("before", before).select("*", F.explode(F.array(*[F.lit(p).cast("bigint") for p in positions])).alias("p"))
+    picked = days.where((F.col("before") <= F.col("p")) & (F.col("p") < F.col("before") + F.col("n"))).select("day", "before", "p")
+    upto = F.col("before") + F.sum("k").over(Window.partitionBy("p").orderBy("date"))
+    inside = rows.join(F.broadcast(picked), "day").withColumn("upto", upto)  # one row per position
+    return inside.where("upto > p").groupBy("p").agg(F.min("date").alias("date"))
 
 
-def temporal_split(matches: DataFrame, train_share: float = 0.8, min_train: int = 100, min_holdout: int = 10) -> DataFrame:
+def temporal_split(matches: DataFrame, train_share: float = 0.8, min_train: int = 100, min_holdout: int = 10, max_holdout: int | None = None) -> DataFrame:
     """One row: the split date and how many matches lie before it and from it on; equal times stay together."""
-    days = matches.groupBy("date").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(Window.orderBy("date")))
-    total = matches.agg(F.count("*").alias("total"))
-    at = total.select("total", F.least(F.col("total") - min_holdout, F.greatest(F.lit(min_train), F.floor(F.col("total") * train_share))).alias("at"))
-    days = days.join(F.broadcast(at))  # one row
-    cut = days.where(F.col("upto") > F.col("at")).agg(F.min("date").alias("split_date"), F.first("total").alias("total"))
-    before = matches.join(F.broadcast(cut)).where(F.col("date") < F.col("split_date")).agg(F.count("*").alias("train_rows"))
-    return cut.join(before).select("split_date", "train_rows", (F.col("total") - F.col("train_rows")).alias("holdout_rows"))
+    total = matches.count()
+    at = min(total - min_holdout, max(min_train, int(total * train_share)))
+    if at < 0 or at >= total:
+        return matches.sparkSession.createDataFrame([], "split_date timestamp_ntz, train_rows bigint, holdout_rows bigint")
+    cut = instants_at(matches.groupBy("date").agg(F.count("*").alias("k")), [at]).select(F.col("date").alias("split_date"))
+    before = matches.join(F.broadcast(cut)).where(F.col("date") < F.col("split_date")).agg(F.count("*").alias("train_rows"))  # one row
+    held = F.lit(total) - F.col("train_rows")
+    return cut.join(before).select("split_date", "train_rows", (held if max_holdout is None else F.least(held, F.lit(max_holdout))).alias("holdout_rows"))
 
 
 def fold_bounds(matches: DataFrame, folds: int = 3) -> DataFrame:
     """(fold, start, end): bounds at the quantiles of the distinct dates; the last fold has no end."""
-    dates = matches.select("date").distinct()
+    dates = matches.select("date").distinct().withColumn("k", F.lit(1))
     n = dates.count()
-    at = {int(n * (i + 1) / (folds + 1)): i for i in range(folds)}
-    pos = dates.withColumn("pos", F.row_number().over(Window.orderBy("date")) - 1)
-    picked = pos.where(F.col("pos").isin(*at)).select("date", F.element_at(F.create_map(*[x for k, v in at.items() for x in (F.lit(k), F.lit(v))]), F.col("pos")).alias("fold"))
-    return picked.select("fold", F.col("date").alias("start"), F.lead("date").over(Window.orderBy("fold")).alias("end"))
+    at = [(i, n * (i + 1) // (folds + 1)) for i in range(folds)] if n else []
+    if not at:
+        return matches.sparkSession.createDataFrame([], "fold int, start timestamp_ntz, end timestamp_ntz")
+    named = F.explode(F.array(*[F.struct(F.lit(i).alias("fold"), F.lit(p).cast("bigint").alias("q")) for i, p in at]))
+    picked = instants_at(dates, sorted({p for _, p in at})).select("p", "date", named.alias("f")).where("p = f.q")
+    return picked.select("f.fold", F.col("date").alias("start"), F.lead("date").over(Window.orderBy("f.fold")).alias("end"))  # one row per fold
 
 
 def long_probabilities(forecasts: DataFrame, key: list[str]) -> DataFrame:

@@ -1,147 +1,156 @@
-"""Goal models fitted from sufficient statistics: Spark aggregates once, a small Newton solve follows on the driver.
+"""Models fitted from sufficient statistics: one Spark aggregate for all fits asked for, small solves on the driver.
 
-What reaches the driver is one row per ordered pair of teams that met; :data:`MOST_PAIRS` bounds it and more raise.
+What reaches the driver is one row per ordered pair of teams that met and one per team and competition;
+:data:`MOST_PAIRS` bounds both and more raise. The ratings of low-score models are replayed, and their three parameters
+solved, in one task per cutoff.
 """
 
 from __future__ import annotations
 
-import json
-from dataclasses import asdict, dataclass, field
+import math
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchlake.functions import dist
 from matchlake.operators import matches as M
+from matchlake.operators import ratings
+from matchlake.operators.models import Calibrated, GoalModel, LowScoreModel, Mixture, Model
+from matchlake.util import materialize
 
 MOST_PAIRS = 2_000_000
 BOUNDS = {"intercept": 3.0, "advantage": 1.5, "team": 2.5, "league": 1.5}
+#: What scoring is drawn to: goals of a side without advantage, the advantage, and the matches both count for.
+PRIOR_GOALS, PRIOR_ADVANTAGE, PRIOR_MATCHES = 1.35, 0.15, 10.0
 
 
-@dataclass
-class GoalModel:
-    """Log-linear rates; teams without strengths play at strength 0."""
-
-    intercept: float
-    advantage: float
-    attack: dict[str, float] = field(default_factory=dict)
-    defence: dict[str, float] = field(default_factory=dict)
-    rho: float = 0.0
-    converged: bool = True
-    warnings: list[str] = field(default_factory=list)
-    schema_version: int = 1
-    model_type: str = "poisson"
-
-    def to_json(self) -> str:
-        return json.dumps(asdict(self), sort_keys=True, allow_nan=False)
-
-    @staticmethod
-    def from_json(text: str) -> GoalModel:
-        d = json.loads(text)
-        if d.get("schema_version") != 1 or d.get("model_type") not in ("poisson", "baseline", "prior_only", "low_score"):
-            raise ValueError("unknown model payload")
-        if set(d["attack"]) != set(d["defence"]):
-            raise ValueError("attack and defence name different teams")
-        numbers = [d["intercept"], d["advantage"], d["rho"], *d["attack"].values(), *d["defence"].values()]
-        if not all(np.isfinite(x) for x in numbers):
-            raise ValueError("model values must be finite")
-        return GoalModel(**d)
-
-    def strengths(self, spark: SparkSession) -> DataFrame:
-        """The model as a relation (team, attack, defence)."""
-        rows = [(t, float(self.attack[t]), float(self.defence[t])) for t in sorted(self.attack)]
-        return spark.createDataFrame(rows, "team string, attack double, defence double")
-
-    def rates(self, pairs: DataFrame) -> DataFrame:
-        """Adds ``home_rate`` and ``away_rate`` to ``pairs(home, away, neutral)``."""
-        from matchlake.functions.dist import link_rate
-        from matchlake.util import lookup_join
-
-        s = self.strengths(pairs.sparkSession)
-        rows = lookup_join(pairs, s.toDF("home", "ha", "hd"), ["home"])
-        rows = lookup_join(rows, s.toDF("away", "aa", "ad"), ["away"])
-        z, mu = F.lit(0.0), F.lit(self.intercept)
-        own = F.when(F.coalesce(F.col("neutral"), F.lit(False)), 0.0).otherwise(self.advantage)
-        c = F.coalesce
-        return rows.withColumns({"home_rate": link_rate(mu, own, c("ha", z), c("ad", z)), "away_rate": link_rate(mu, z, c("aa", z), c("hd", z))}).drop("ha", "hd", "aa", "ad")
+@dataclass(frozen=True)
+class Spec:
+    """One goal model to fit on the matches before ``cutoff``."""
 
+    cutoff: str
+    half_life: float = 365.0
+    team_penalty: float = 5.0
+    league_penalty: float = 0.5
+    shot_blend: float = 0.0
+    kind: str = "poisson"
 
-def fit_baseline(rows: DataFrame, cutoff: str, half_life: float = 365.0) -> GoalModel:
-    b = M.baseline_rates(rows, cutoff, half_life).first()
-    return GoalModel(float(b["intercept"]), float(b["advantage"]), model_type="baseline")
+    def validate(self) -> Spec:
+        numbers = (self.half_life, self.team_penalty, self.league_penalty, self.shot_blend)
+        if not all(math.isfinite(x) for x in numbers) or min(numbers[:3]) <= 0 or not 0 <= self.shot_blend <= 1:
+            raise ValueError("half-life and penalties must be finite and positive, the shot blend in [0, 1]")
+        if self.kind not in ("poisson", "baseline"):
+            raise ValueError("kind must be poisson or baseline")
+        return self
 
 
-def fit_poisson(rows: DataFrame, cutoff: str, half_life: float = 365.0, prior_matches: float = 10.0, team_penalty: float = 5.0, league_penalty: float = 0.5, max_iter: int = 50) -> GoalModel:
-    """Maximum a posteriori Poisson strengths of teams and leagues; without convergence the baseline with a warning."""
-    stats = M.pair_statistics(rows, cutoff, half_life)
-    got = stats.limit(MOST_PAIRS + 1).toPandas()
+def _bounded(df: DataFrame) -> pd.DataFrame:
+    got = df.limit(MOST_PAIRS + 1).toPandas()
     if len(got) > MOST_PAIRS:
-        raise ValueError("more ordered pairs than MOST_PAIRS; fit by league")
-    base = fit_baseline(rows, cutoff, half_life)
-    if got.empty:
-        base.model_type = "prior_only"
+        raise ValueError("more rows of statistics than MOST_PAIRS; fit by league")
+    return got
+
+
+def fit_goals(rows: DataFrame, specs: list[Spec], max_iter: int = 50) -> list[GoalModel]:
+    """Baseline or maximum a posteriori Poisson models, all from one pass over the matches."""
+    for s in specs:
+        s.validate()
+    sums: list[Column] = []
+    blends = sorted({s.shot_blend for s in specs})
+    for b in blends:
+        if b and all(c in rows.columns for c in ("home_shots", "away_shots", "home_shots_on_target", "away_shots_on_target")):
+            rows = M.goal_targets(rows, b).withColumnsRenamed({"home_target": f"__h{b}", "away_target": f"__a{b}"})
+        else:
+            rows = rows.withColumns({f"__h{b}": F.col("home_goals").cast("double"), f"__a{b}": F.col("away_goals").cast("double")})
+    for i, s in enumerate(specs):
+        known = F.col("date") < F.lit(s.cutoff).cast("timestamp_ntz")
+        w = F.when(known, dist.decay_weight(M.age_days(s.cutoff), s.half_life))
+        sums += [F.count_if(known).alias(f"n{i}"), F.sum(w).alias(f"w{i}"), F.sum(w * F.col(f"`__h{s.shot_blend}`")).alias(f"h{i}"), F.sum(w * F.col(f"`__a{s.shot_blend}`")).alias(f"a{i}")]
+    pairs = _bounded(rows.groupBy("home", "away").agg(*sums))
+    domestic = M.by_side(rows).where(~M.european(F.col("competition")))
+    cutoffs = sorted({s.cutoff for s in specs})
+    played = [F.count_if(F.col("date") < F.lit(c).cast("timestamp_ntz")).alias(f"c{i}") for i, c in enumerate(cutoffs)]
+    leagues = _bounded(domestic.groupBy("team", "competition").agg(*played))
+    out = []
+    for i, s in enumerate(specs):
+        own = pairs[pairs[f"n{i}"] > 0]
+        stats = pd.DataFrame({"home": own["home"], "away": own["away"], **{c: own[f"{c}{i}"].astype(float) for c in ("n", "w", "h", "a")}})
+        mine = leagues[["team", "competition"]].assign(n=leagues[f"c{cutoffs.index(s.cutoff)}"])
+        mine = mine[mine["n"] > 0].sort_values(["team", "n", "competition"], ascending=[True, False, True]).drop_duplicates("team")
+        out.append(_solved(stats, dict(zip(mine["team"], mine["competition"], strict=True)), s, max_iter))
+    return out
+
+
+def _solved(stats: pd.DataFrame, league_of: dict[str, str], s: Spec, max_iter: int) -> GoalModel:
+    total = float(stats["w"].sum())
+    home_rate = (float(stats["h"].sum()) + PRIOR_MATCHES * PRIOR_GOALS * math.exp(PRIOR_ADVANTAGE)) / (total + PRIOR_MATCHES)
+    away_rate = (float(stats["a"].sum()) + PRIOR_MATCHES * PRIOR_GOALS) / (total + PRIOR_MATCHES)
+    sides = pd.concat([stats[["home", "n", "w"]].set_axis(["team", "n", "w"], axis=1), stats[["away", "n", "w"]].set_axis(["team", "n", "w"], axis=1)]).groupby("team").sum()
+    coverage = {t: [float(r.n), float(r.w)] for t, r in sides.iterrows()}
+    base = GoalModel(math.log(away_rate), math.log(home_rate / away_rate), coverage=coverage, model_type="baseline")
+    if s.kind == "baseline":
+        return base
+    if stats.empty:
+        base.model_type, base.converged = "prior_only", False
         return base
-    league = {r["team"]: r["league"] for r in M.modal_league(M.before(rows, cutoff)).collect()}
-    teams = sorted({*got["home"], *got["away"]})
-    leagues = sorted({league[t] for t in teams})
-    n, k = len(teams), len(leagues)
+    teams = sorted(coverage)
+    names = sorted({league_of.get(t, "OTHER") for t in teams})
+    n, k = len(teams), len(names)
     at = {t: i for i, t in enumerate(teams)}
-    lg = np.array([leagues.index(league[t]) for t in teams])
-    h, a = got["home"].map(at).to_numpy(), got["away"].map(at).to_numpy()
-    w, wh, wa = (got[c].to_numpy(float) for c in ("w", "wh", "wa"))
-    size = 2 + 2 * n + 2 * k
+    place = {x: i for i, x in enumerate(names)}
+    lg = np.array([place[league_of.get(t, "OTHER")] for t in teams])
+    h, a = stats["home"].map(at).to_numpy(), stats["away"].map(at).to_numpy()
+    w, wh, wa = (stats[c].to_numpy(float) for c in ("w", "h", "a"))
+    m, size = len(stats), 2 + 2 * n + 2 * k
     centre = np.zeros(size)
-    centre[:2] = base.intercept, base.advantage
-    penalty = np.concatenate([np.full(2, prior_matches), np.full(2 * n, team_penalty), np.full(2 * k, league_penalty)])
+    centre[:2] = math.log(PRIOR_GOALS), PRIOR_ADVANTAGE
+    penalty = np.concatenate([np.full(2, PRIOR_MATCHES), np.full(2 * n, s.team_penalty), np.full(2 * k, s.league_penalty)])
     bound = np.concatenate([[BOUNDS["intercept"], BOUNDS["advantage"]], np.full(2 * n, BOUNDS["team"]), np.full(2 * k, BOUNDS["league"])])
-    m = len(got)
-    home = np.stack([np.zeros(m, int), np.ones(m, int), 2 + h, 2 + n + a, 2 + 2 * n + lg[h], 2 + 2 * n + k + lg[a]])
-    away = np.stack([np.zeros(m, int), np.zeros(m, int), 2 + a, 2 + n + h, 2 + 2 * n + lg[a], 2 + 2 * n + k + lg[h]])
-    sign_home = np.array([1, 1, 1, -1, 1, -1.0])
-    sign_away = np.array([1, 0, 1, -1, 1, -1.0])
+    # Each rate is a signed sum of six parameters; sparse products are gathers and weighted counts over these indices.
+    zero = np.zeros(m, int)
+    home = np.stack([zero, zero + 1, 2 + h, 2 + n + a, 2 + 2 * n + lg[h], 2 + 2 * n + k + lg[a]])
+    away = np.stack([zero, zero, 2 + a, 2 + n + h, 2 + 2 * n + lg[a], 2 + 2 * n + k + lg[h]])
+    halves = ((home, np.array([1, 1, 1, -1, 1, -1.0]), wh), (away, np.array([1, 0, 1, -1, 1, -1.0]), wa))
 
     def value(x: np.ndarray) -> float:
-        eh, ea = x[home].T @ sign_home, x[away].T @ sign_away
-        return float(np.sum(w * (np.exp(eh) + np.exp(ea)) - wh * eh - wa * ea) + 0.5 * np.sum(penalty * (x - centre) ** 2))
-
-    def curvature(v: np.ndarray, mus: list[np.ndarray]) -> np.ndarray:
-        """The Hessian times ``v``; the matrix itself grows with the square of the teams and is never made."""
-        out = penalty * v
-        for index, sign, mu in zip((home, away), (sign_home, sign_away), mus, strict=True):
-            pull = mu * (v[index].T @ sign)
-            for p in range(6):
-                out += sign[p] * np.bincount(index[p], pull, size)
-        return out
+        return sum(float(np.sum(w * np.exp(e) - target * e)) for e, target in ((x[i].T @ sign, t) for i, sign, t in halves)) + 0.5 * float(np.sum(penalty * (x - centre) ** 2))
+
+    def spread(index: np.ndarray, sign: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return np.bincount(index.ravel(), (sign[:, None] * v).ravel(), size)
 
     def newton_step(gradient: np.ndarray, free: np.ndarray, mus: list[np.ndarray]) -> np.ndarray:
-        """Conjugate gradients over the free values, scaled by the diagonal."""
-        scale = penalty + sum(np.bincount(index[p], mu, size) for index, mu in zip((home, away), mus, strict=True) for p in range(6))
+        """Conjugate gradients over the free values, scaled by the diagonal; the Hessian, which grows with the square of
+        the teams, is never made."""
+        scale = penalty + sum(spread(i, np.abs(sign), mu) for (i, sign, _), mu in zip(halves, mus, strict=True))
         step, r = np.zeros(size), np.where(free, gradient, 0.0)
         z = r / scale
-        d, rz, goal = z, r @ z, 1e-10 * np.linalg.norm(r)
+        d, rz, goal = z, r @ z, 1e-8 * np.linalg.norm(r)
         for _ in range(10 * size):
             if np.linalg.norm(r) <= goal:
                 break
-            q = np.where(free, curvature(d, mus), 0.0)
+            q = penalty * d
+            for (i, sign, _), mu in zip(halves, mus, strict=True):
+                q = q + spread(i, sign, mu * (d[i].T @ sign))
+            q = np.where(free, q, 0.0)
             alpha = rz / (d @ q)
             step, r = step + alpha * d, r - alpha * q
             z = r / scale
             d, rz = z + (r @ z) / rz * d, r @ z
         return step
 
-    x, done = centre.copy(), False
+    x, done = np.zeros(size), False
+    x[:2] = base.intercept, base.advantage
     for it in range(max_iter):
-        gradient, mus = penalty * (x - centre), []
-        for index, sign, target in ((home, sign_home, wh), (away, sign_away, wa)):
-            mus.append(w * np.exp(x[index].T @ sign))
-            for p in range(6):
-                gradient += sign[p] * np.bincount(index[p], mus[-1] - target, size)
+        mus = [w * np.exp(x[i].T @ sign) for i, sign, _ in halves]
+        gradient = penalty * (x - centre) + sum(spread(i, sign, mu - t) for (i, sign, t), mu in zip(halves, mus, strict=True))
         free = ~(((x >= bound) & (gradient < 0)) | ((x <= -bound) & (gradient > 0)))
         if np.max(np.abs(gradient[free]), initial=0.0) < 1e-8 * max(1.0, float(w.sum())):
             done = it > 0
             break
-        step = newton_step(gradient, free, mus)
-        scale, now = 1.0, value(x)
+        step, scale, now = newton_step(gradient, free, mus), 1.0, value(x)
         while scale > 1e-8 and value(np.clip(x - scale * step, -bound, bound)) > now:
             scale /= 2
         x = np.clip(x - scale * step, -bound, bound)
@@ -151,59 +160,194 @@ def fit_poisson(rows: DataFrame, cutoff: str, half_life: float = 365.0, prior_ma
         return base
     attack = {t: float(x[2 + i] + x[2 + 2 * n + lg[i]]) for t, i in at.items()}
     defence = {t: float(x[2 + n + i] + x[2 + 2 * n + k + lg[i]]) for t, i in at.items()}
-    return GoalModel(float(x[0]), float(x[1]), attack, defence)
+    return GoalModel(float(x[0]), float(x[1]), attack, defence, coverage)
 
 
-def fit_low_score(rows: DataFrame, model: GoalModel, cutoff: str, half_life: float = 180.0, penalty: float = 8.0, bound: float = 0.2, rounds: int = 40) -> GoalModel:
-    """Adds the low-score dependence to ``model`` by a one-parameter penalised likelihood.
+def fit_baseline(rows: DataFrame, cutoff: str, half_life: float = 365.0) -> GoalModel:
+    return fit_goals(rows, [Spec(cutoff, half_life, kind="baseline")])[0]
+
 
-    Only the four lowest scores carry information; Spark sums the log-likelihood of a whole grid of candidate values in
-    one pass per refinement.
+def fit_poisson(rows: DataFrame, cutoff: str, max_iter: int = 50, **settings: float) -> GoalModel:
+    """Maximum a posteriori Poisson strengths of teams and leagues; without convergence the baseline with a warning."""
+    return fit_goals(rows, [Spec(cutoff, **settings)], max_iter)[0]
+
+
+# ---- dependence of low scores, ratings and leagues ---------------------------------------------------------------------
+
+LOW_SCORE = {"half_life": 180.0, "team_penalty": 8.0}
+
+
+def low_score_terms(games: pd.DataFrame, penalty: float, bounds: tuple[float, float, float], max_iter: int = 100) -> tuple[np.ndarray, bool]:
+    """(rating, league and dependence coefficients, whether settled) of one cutoff's matches, by damped Newton steps.
+
+    games: base rates ``lh, la``, differences ``e`` and ``l``, scores ``hg, ag`` and weights ``w``.
     """
-    from matchlake.functions.dist import low_score_factor
-
-    data = M.before(rows, cutoff).where("home_goals <= 1 and away_goals <= 1").select("date", "home", "away", "home_goals", "away_goals", F.lit(False).alias("neutral"))
-    data = model.rates(data).withColumn("w", M.decay_weight(M.age_days(cutoff), half_life))
-    low, high = -bound, bound
-    best = 0.0
-    for _ in range(3):
-        grid = np.linspace(low, high, rounds + 1)
-        sums = data.agg(*[F.sum(F.col("w") * F.log(F.greatest(low_score_factor(F.col("home_goals"), F.col("away_goals"), F.col("home_rate"), F.col("away_rate"), F.lit(float(r))), F.lit(1e-300)))).alias(f"r{i}") for i, r in enumerate(grid)]).first()
-        score = [(s or 0.0) - penalty * r * r for s, r in zip(sums, grid, strict=True)]
-        best = float(grid[int(np.argmax(score))])
-        low, high = max(-bound, best - (high - low) / rounds), min(bound, best + (high - low) / rounds)
-    return GoalModel(model.intercept, model.advantage, model.attack, model.defence, best, model.converged, list(model.warnings), 1, "low_score")
-
-
-def fit_calibrator(forecasts: DataFrame, l2: float = 1.0, min_samples: int = 60, max_iter: int = 60) -> tuple[float, float, float] | None:
-    """(log temperature, home offset, draw offset) minimising penalised mean log loss; None without all three outcomes
-    or enough samples. Each gradient and curvature is one Spark aggregate of three log-probabilities."""
-    from matchlake.functions.dist import outcome, tempered
-
-    rows = forecasts.select("p_home", "p_draw", "p_away", outcome(F.col("home_goals"), F.col("away_goals")).alias("seen"))
+    lh0, la0, hg, ag, w = (games[c].to_numpy(float) for c in ("lh", "la", "hg", "ag", "w"))
+    terms = games[["e", "l"]].to_numpy(float)
+    n00, n01, n10, n11 = ((hg == i) & (ag == j) for i in (0, 1) for j in (0, 1))
+    top = np.array(bounds)
+
+    def parts(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        move = np.clip(terms @ x[:2], -5, 5)
+        lh, la, rho = lh0 * np.exp(move), la0 * np.exp(-move), x[2]
+        c = np.where(n00, 1 - lh * la * rho, np.where(n01, 1 + lh * rho, np.where(n10, 1 + la * rho, np.where(n11, 1 - rho, 1.0))))
+        if (c <= 0).any():
+            return math.inf, np.zeros(3), np.eye(3)
+        loss = -np.sum(w * (hg * np.log(lh) - lh + ag * np.log(la) - la + np.log(c))) + penalty * float(x @ x)
+        # Derivatives of the correction by the move and by rho.
+        cm = np.where(n01, lh * rho, np.where(n10, -la * rho, 0.0))
+        cr = np.where(n00, -lh * la, np.where(n01, lh, np.where(n10, la, np.where(n11, -1.0, 0.0))))
+        cmm = np.where(n01, lh * rho, np.where(n10, la * rho, 0.0))
+        cmr = np.where(n01, lh, np.where(n10, -la, 0.0))
+        gm, gr = (hg - lh) - (ag - la) + cm / c, cr / c
+        hmm, hmr, hrr = -lh - la + cmm / c - (cm / c) ** 2, cmr / c - cm * cr / c**2, -((cr / c) ** 2)
+        gradient = np.concatenate([-(terms.T @ (w * gm)), [-np.sum(w * gr)]]) + 2 * penalty * x
+        hessian = np.zeros((3, 3))
+        hessian[:2, :2] = -(terms.T * (w * hmm)) @ terms
+        hessian[:2, 2] = hessian[2, :2] = -(terms.T @ (w * hmr))
+        hessian[2, 2] = -np.sum(w * hrr)
+        return float(loss), gradient, hessian + 2 * penalty * np.eye(3)
+
+    x = np.array([0.0015, 0.0015, 0.0])
+    loss, gradient, hessian = parts(x)
+    if not math.isfinite(loss):
+        return np.zeros(3), False
+    for _ in range(max_iter):
+        free = ~(((x >= top) & (gradient < 0)) | ((x <= -top) & (gradient > 0)))
+        scale = np.sqrt(np.abs(np.diag(hessian)))
+        if np.max(np.abs(gradient[free]) / scale[free], initial=0.0) < 1e-6:
+            return x, True
+        step, ridge = np.zeros(3), 0.0
+        while True:  # a curvature that is not positive is raised until it is
+            part = hessian[np.ix_(free, free)] + ridge * np.diag(scale[free] ** 2)
+            if np.linalg.eigvalsh(part).min() > 0:
+                break
+            ridge = max(1e-3, 4 * ridge)
+        step[free] = np.linalg.solve(part, gradient[free])
+        size = 1.0
+        while size > 1e-10:
+            new = np.clip(x - size * step, -top, top)
+            got = parts(new)
+            if got[0] <= loss:
+                break
+            size /= 2
+        if size <= 1e-10 or np.array_equal(new, x):
+            return x, True
+        x, (loss, gradient, hessian) = new, got
+    return np.zeros(3), False
+
+
+def fit_low_scores(rows: DataFrame, cutoffs: list[str], penalty: float = 8.0, bounds: tuple[float, float, float] = (0.01, 0.01, 0.2), bases: list[GoalModel] | None = None) -> list[LowScoreModel]:
+    """A low-score model per cutoff: its own goal model, ratings replayed up to the cutoff, and three coefficients."""
+    bases = bases or fit_goals(rows, [Spec(c, **LOW_SCORE) for c in cutoffs])
+    games, teams, leagues = ratings.replay_tables(rows, cutoffs)
+    scores = rows.select("row_id", F.col("home_goals").alias("hg"), F.col("away_goals").alias("ag"))
+    every = None
+    for cutoff, base in zip(cutoffs, bases, strict=True):
+        own = games.where(F.col("cutoff") == cutoff).select("cutoff", "row_id", "date", "home", "away", (F.col("home_rating") - F.col("away_rating")).alias("e"), (F.col("home_offset") - F.col("away_offset")).alias("l"))
+        w = dist.decay_weight(F.greatest(M.age_days(cutoff), F.lit(0.0)), LOW_SCORE["half_life"])
+        own = base.rates(own).select("cutoff", "row_id", F.col("home_rate").alias("lh"), F.col("away_rate").alias("la"), "e", "l", w.alias("w"))
+        every = own if every is None else every.unionByName(own)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, ok = low_score_terms(pdf, penalty, bounds)
+        return pd.DataFrame([(pdf["cutoff"].iloc[0], *map(float, x), ok)], columns=["cutoff", "elo", "league", "rho", "ok"])
+
+    solved = {r["cutoff"]: r for r in every.join(scores, "row_id").groupBy("cutoff").applyInPandas(solve, "cutoff string, elo double, league double, rho double, ok boolean").collect()}
+    finals, shared = _bounded(teams), _bounded(leagues)
+    out = []
+    for cutoff, base in zip(cutoffs, bases, strict=True):
+        t, g = finals[finals["cutoff"] == cutoff], shared[shared["cutoff"] == cutoff]
+        r = solved.get(cutoff)
+        model = LowScoreModel(base, dict(zip(t["name"], t["rating"], strict=True)), dict(zip(g["name"], g["offset"], strict=True)), {k: v for k, v in zip(t["name"], t["league"], strict=True) if v is not None})
+        if r is None or not r["ok"] or not base.converged:
+            model.converged = False
+            model.warnings.append("the low-score model did not converge; goals are taken as independent")
+        else:
+            model.elo, model.league, model.rho = r["elo"], r["league"], r["rho"]
+        out.append(model)
+    return out
+
+
+def fit_low_score(rows: DataFrame, cutoff: str, **settings: float) -> LowScoreModel:
+    return fit_low_scores(rows, [cutoff], **settings)[0]
+
+
+# ---- calibration -------------------------------------------------------------------------------------------------------
+
+
+def fit_calibrator(forecasts: DataFrame, l2: float = 1.0, min_samples: int = 60, max_iter: int = 50) -> tuple[float, float, float] | None:
+    """(log temperature, home offset, draw offset) minimising the penalised mean log loss; None without all three
+    outcomes or enough samples.
+
+    Newton steps; gradient and curvature of each come from one Spark aggregate of three log-probabilities.
+    """
+    rows = forecasts.select(*[F.log(F.greatest(c, F.lit(1e-15))).alias(c[2:]) for c in ("p_home", "p_draw", "p_away")], dist.outcome(F.col("home_goals"), F.col("away_goals")).alias("seen"))
+    rows = materialize(rows, "log-probabilities")
     n, kinds = rows.agg(F.count("*"), F.count_distinct("seen")).first()
     if n < min_samples or kinds < 3:
         return None
+    logs = [F.col(c) for c in ("home", "draw", "away")]
+    own = lambda cols: F.when(F.col("seen") == 0, cols[0]).when(F.col("seen") == 1, cols[1]).otherwise(cols[2])
+
+    def parts(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        cold = math.exp(-x[0])
+        offsets = (x[1], x[2], -x[1] - x[2])
+        score = [lp * cold + o for lp, o in zip(logs, offsets, strict=True)]
+        high = F.greatest(*score)
+        raw = [F.exp(v - high) for v in score]
+        total = raw[0] + raw[1] + raw[2]
+        p = [r / total for r in raw]
+        # Each score's derivatives by temperature and the two offsets.
+        d = [[-lp * cold for lp in logs], [F.lit(1.0), F.lit(0.0), F.lit(-1.0)], [F.lit(0.0), F.lit(1.0), F.lit(-1.0)]]
+        mean = [p[0] * r[0] + p[1] * r[1] + p[2] * r[2] for r in d]
+        sums = [F.avg(high + F.log(total) - own(score)).alias("loss")]
+        sums += [F.avg(mean[i] - own(d[i])).alias(f"g{i}") for i in range(3)]
+        for i in range(3):
+            for j in range(i, 3):
+                bent = (p[0] * d[0][0] + p[1] * d[0][1] + p[2] * d[0][2] - own(d[0])) * -1.0 if i == j == 0 else F.lit(0.0)
+                sums.append(F.avg(p[0] * d[i][0] * d[j][0] + p[1] * d[i][1] * d[j][1] + p[2] * d[i][2] * d[j][2] - mean[i] * mean[j] + bent).alias(f"h{i}{j}"))
+        r = rows.agg(*sums).first()
+        hessian = np.array([[r[f"h{min(i, j)}{max(i, j)}"] for j in range(3)] for i in range(3)]) + 2 * l2 / n * np.eye(3)
+        return r["loss"] + l2 * float(x @ x) / n, np.array([r[f"g{i}"] for i in range(3)]) + 2 * l2 * x / n, hessian
 
-    def losses(points: list[np.ndarray]) -> list[float]:
-        out = []
-        for i, (t, a, b) in enumerate(points):
-            p = tempered([F.col("p_home"), F.col("p_draw"), F.col("p_away")], float(t), (float(a), float(b)))
-            own = F.when(F.col("seen") == 0, p[0]).when(F.col("seen") == 1, p[1]).otherwise(p[2])
-            out.append(F.avg(-F.log(F.greatest(own, F.lit(1e-300)))).alias(f"l{i}"))
-        got = rows.agg(*out).first()
-        return [float(v) + l2 * float(x @ x) / n for v, x in zip(got, points, strict=True)]
-
-    bound = np.array([1.0, 2.0, 2.0])
-    x, step = np.zeros(3), np.array([0.25, 0.25, 0.25])
-    value = losses([x])[0]
+    top = np.array([1.0, 2.0, 2.0])
+    x = np.zeros(3)
+    loss, gradient, hessian = parts(x)
     for _ in range(max_iter):
-        trials = [np.clip(x + s * step * e, -bound, bound) for e in np.eye(3) for s in (1, -1)]
-        got = losses(trials)
-        if min(got) < value - 1e-12:
-            value, x = min(got), trials[int(np.argmin(got))]
-        else:
-            step = step / 2
-            if step.max() < 1e-4:
-                break
+        free = ~(((x >= top) & (gradient < 0)) | ((x <= -top) & (gradient > 0)))
+        if np.max(np.abs(gradient[free]), initial=0.0) < 1e-8:
+            break
+        ridge, step, size = 0.0, np.zeros(3), 1.0
+        while np.linalg.eigvalsh(part := hessian[np.ix_(free, free)] + ridge * np.eye(int(free.sum()))).min() <= 0:
+            ridge = max(1e-4, 4 * ridge)
+        step[free] = np.linalg.solve(part, gradient[free])
+        while size > 1e-6 and (got := parts(new := np.clip(x - size * step, -top, top)))[0] > loss:
+            size /= 2
+        if size <= 1e-6:
+            break
+        x, (loss, gradient, hessian) = new, got
     return float(x[0]), float(x[1]), float(x[2])
+
+
+# ---- the model of a decision -------------------------------------------------------------------------------------------
+
+
+def fit_selected(rows: DataFrame, cutoff: str, decision: dict) -> Model:
+    """The model that a selection chose, fitted on all matches before the cutoff and calibrated where that was promoted."""
+    chosen = decision.get("selected_model", "poisson")
+    if chosen in ("poisson", "baseline"):
+        model: Model = fit_goals(rows, [Spec(cutoff, kind=chosen)])[0]
+    elif chosen == "low_score":
+        model = fit_low_score(rows, cutoff)
+    elif chosen == "ensemble":
+        if decision.get("ensemble_weight") is None:
+            raise ValueError("a mixture needs the weight that was validated")
+        goal, base = fit_goals(rows, [Spec(cutoff), Spec(cutoff, **LOW_SCORE)])
+        model = Mixture(goal, fit_low_scores(rows, [cutoff], bases=[base])[0], float(decision["ensemble_weight"]))
+    else:
+        raise ValueError(f"unknown model {chosen}")
+    calibration = decision.get("calibration") or {}
+    if calibration.get("promoted"):
+        model = Calibrated(model, *calibration["values"])
+    return model

@@ -113,7 +113,7 @@ def modal_league(matches: DataFrame) -> DataFrame:
     return teams.join(best, "team", "left").select("team", F.coalesce("m.competition", F.lit("OTHER")).alias("league"))
 
 
-def baseline_rates(matches: DataFrame, cutoff: str, half_life: float = 365.0, prior_matches: float = 10.0, prior_away: float = 1.2, prior_advantage: float = 0.2) -> DataFrame:
+def baseline_rates(matches: DataFrame, cutoff: str, half_life: float = 365.0, prior_matches: float = 10.0, prior_away: float = 1.35, prior_advantage: float = 0.15) -> DataFrame:
     """One row: decayed scoring rates drawn to a prior; intercept is the log away rate, advantage the log ratio."""
     rows = before(matches, cutoff).withColumn("w", decay_weight(age_days(cutoff), half_life))
     sums = rows.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("w"), F.coalesce(F.sum(F.col("w") * F.col("home_goals")), F.lit(0.0)).alias("h"), F.coalesce(F.sum(F.col("w") * F.col("away_goals")), F.lit(0.0)).alias("a"))
@@ -142,32 +142,33 @@ def goal_targets(matches: DataFrame, blend: float = 0.3) -> DataFrame:
     return matches.withColumns({"home_target": target("home"), "away_target": target("away")})
 
 
-def connected_to(pairs: DataFrame, seed: Column, rounds: int = 64) -> DataFrame:
-    """(team) reachable from ``seed`` over ``pairs(home, away)``: a frontier that grows by one join a round."""
+def connected_to(pairs: DataFrame, seed: Column) -> DataFrame:
+    """(team) reachable from ``seed`` over ``pairs(home, away)``: a frontier that grows by one join a round, until it is
+    empty."""
     from matchlake.util import materialize
 
     edges = pairs.select(F.col("home").alias("a"), F.col("away").alias("b")).union(pairs.select(F.col("away").alias("a"), F.col("home").alias("b"))).where("a is not null and b is not null").distinct()
     edges = materialize(edges, "edges")
     found = edges.where(F.col("a") == seed).select(F.col("a").alias("team")).distinct()
     front = found = materialize(found, "found")
-    for _ in range(rounds):
+    while True:
         front = materialize(edges.join(front.withColumnRenamed("team", "a"), "a").select(F.col("b").alias("team")).distinct().join(found, "team", "left_anti"), "front")
         if front.isEmpty():
             return found
         found = materialize(found.union(front), "found")
-    raise ValueError(f"the component is deeper than {rounds} matches")
 
 
 def form_before(matches: DataFrame) -> DataFrame:
-    """Per side and match: matches, points and goals of strictly earlier instants (point-in-time features)."""
-    sides = by_side(matches).withColumn("micros", F.unix_micros(F.col("date").cast("timestamp")))
-    earlier = Window.partitionBy("team").orderBy("micros").rangeBetween(Window.unboundedPreceding, -1)
+    """Per side and match: matches, points and goals of strictly earlier instants (point-in-time features).
+
+    Sums are made inside a team's month and carried over its months, so a team with very many matches is spread.
+    """
     points = F.when(F.col("gf") > F.col("ga"), 3).when(F.col("gf") == F.col("ga"), 1).otherwise(0)
-    return sides.select(
-        "row_id",
-        "team",
-        "date",
-        F.count("*").over(earlier).alias("played_before"),
-        F.coalesce(F.sum(points).over(earlier), F.lit(0)).cast("bigint").alias("points_before"),
-        F.coalesce(F.sum("gf").over(earlier), F.lit(0)).cast("bigint").alias("goals_before"),
-    )
+    sides = by_side(matches).withColumns({"micros": F.unix_micros(F.col("date").cast("timestamp")), "month": F.trunc(F.col("date").cast("date"), "month"), "points": points, "one": F.lit(1)})
+    sums = {"played_before": "one", "points_before": "points", "goals_before": "gf"}
+    months = sides.groupBy("team", "month").agg(*[F.sum(c).alias(f"m_{k}") for k, c in sums.items()])
+    over = Window.partitionBy("team").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    months = months.select("team", "month", *[F.coalesce(F.sum(f"m_{k}").over(over), F.lit(0)).alias(f"b_{k}") for k in sums])
+    inside = Window.partitionBy("team", "month").orderBy("micros").rangeBetween(Window.unboundedPreceding, -1)
+    rows = sides.withColumns({f"i_{k}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for k, c in sums.items()}).join(months, ["team", "month"])
+    return rows.select("row_id", "team", "date", *[(F.col(f"b_{k}") + F.col(f"i_{k}")).cast("bigint").alias(k) for k in sums])

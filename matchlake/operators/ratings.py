@@ -61,10 +61,10 @@ LEAGUE = ["cutoff", "name", "offset", "evidence"]
 class _Earlier:
     """What was last known of each of ``n`` owners strictly before an instant."""
 
-    def __init__(self, owner: np.ndarray, at: np.ndarray, instants: int):
+    def __init__(self, owner: np.ndarray, at: np.ndarray, match: np.ndarray, instants: int):
         self.span = instants + 1
         key = owner.astype(np.int64) * self.span + at
-        self.order = np.argsort(key, kind="stable")  # of one instant the later match counts
+        self.order = np.lexsort((match, key))  # of one instant the later match counts
         self.key = key[self.order]
 
     def _place(self, owner: np.ndarray, at: np.ndarray | int) -> np.ndarray:
@@ -105,7 +105,7 @@ def _fold(games: pd.DataFrame, c: RatingConfig) -> pd.DataFrame:
 
     domestic = np.flatnonzero(~cross)
     both = np.concatenate([domestic, domestic])
-    seen = _Earlier(np.concatenate([home[domestic], away[domestic]]), np.concatenate([instant[domestic]] * 2), instants)
+    seen = _Earlier(np.concatenate([home[domestic], away[domestic]]), np.concatenate([instant[domestic]] * 2), both, instants)
 
     def league_before(team: np.ndarray, at: np.ndarray | int) -> np.ndarray:
         last = seen.last(team, at)
@@ -114,7 +114,7 @@ def _fold(games: pd.DataFrame, c: RatingConfig) -> pd.DataFrame:
     home_league = np.where(cross, league_before(home, instant), comp)
     away_league = np.where(cross, league_before(away, instant), comp)
     counted = np.flatnonzero(cross & (home_league >= 0) & (away_league >= 0) & (home_league != away_league))
-    abroad = _Earlier(np.concatenate([home[counted], away[counted]]), np.concatenate([instant[counted]] * 2), instants)
+    abroad = _Earlier(np.concatenate([home[counted], away[counted]]), np.concatenate([instant[counted]] * 2), np.concatenate([counted] * 2), instants)
     weights = np.concatenate([recency[counted]] * 2)
 
     def trust(evidence: np.ndarray) -> np.ndarray:

@@ -22,7 +22,8 @@ from matchlake.operators import standings
 
 BLOCK = 1024
 TOP = 12
-#: Rank pairs (1-based) that meet in the play-off: seeded and unseeded, and the seeds waiting in the last 16.
+# Fixed values of the competition: rank pairs (1-based) that meet in the play-off, seeded and unseeded, and the seeds
+# waiting in the last 16.
 SEEDED, UNSEEDED, DIRECT = ((15, 16), (9, 10), (13, 14), (11, 12)), ((17, 18), (23, 24), (19, 20), (21, 22)), ((1, 2), (7, 8), (3, 4), (5, 6))
 EVENTS = ["top8", "playoff", "seeded", "unseeded", "eliminated", "round16", "quarterfinal", "semifinal", "final", "champion"]
 
@@ -92,7 +93,9 @@ def two_leg_winner(ties: DataFrame, seed: int) -> DataFrame:
 class Season:
     """What a block needs: teams, fixtures by team index, rates[neutral, home, away, side] and known results.
 
-    ``known`` maps a tie ("po-0" .. "final-0") to ``{"legs": [(first host's goals, guest's goals), ...], "winner": i}``.
+    ``grids[home, away]`` are score grids of the league phase, flattened; without them goals are independent draws from
+    the rates. ``known`` maps a tie ("po-0" .. "final-0") to ``{"legs": [(first host's goals, guest's goals), ...],
+    "winner": i}``.
     """
 
     teams: list[str]
@@ -104,44 +107,88 @@ class Season:
     order: list[int] | None = None
     slots: dict[str, list[int]] = field(default_factory=dict)
     known: dict[str, dict] = field(default_factory=dict)
+    grids: np.ndarray | None = None
 
     def check(self) -> Season:
         n = len(self.teams)
-        if len(set(self.teams)) != n or n != 36:
-            raise ValueError("a season has 36 different teams")
-        if not np.isfinite(self.rates).all() or (self.rates < 0).any() or self.rates.shape != (2, n, n, 2):
+        if len(set(self.teams)) != n or n != 36 or any(not t or t != t.strip() for t in self.teams):
+            raise ValueError("a season has 36 different teams, named without outer blanks")
+        if len(self.home) != 144 or (self.home == self.away).any():
+            raise ValueError("a season has 144 fixtures between different teams")
+        if len({frozenset(p) for p in zip(self.home.tolist(), self.away.tolist(), strict=True)}) != 144:
+            raise ValueError("two teams meet once at most")
+        if (np.bincount(self.home, minlength=n) != 4).any() or (np.bincount(self.away, minlength=n) != 4).any():
+            raise ValueError("every team has four fixtures at home and four away")
+        off = ~np.eye(n, dtype=bool)
+        if self.rates.shape != (2, n, n, 2) or not np.isfinite(self.rates[:, off]).all() or (self.rates[:, off] < 0).any():
             raise ValueError("rates must be finite and >= 0 for every ordered pair")
+        if self.grids is not None:
+            g = self.grids[off]
+            if not np.isfinite(g).all() or (g < 0).any() or not np.allclose(g.sum(-1), 1):
+                raise ValueError("grids must be finite, >= 0 and sum to 1 for every ordered pair")
         if ((self.home_goals < 0) != (self.away_goals < 0)).any():
             raise ValueError("scores are known for both sides or for none")
+        if self.order is not None:
+            self._check_order()
         return self
 
+    def _check_order(self) -> None:
+        """An official order needs the whole league phase and may not contradict its nine keys."""
+        if sorted(self.order) != list(range(len(self.teams))):
+            raise ValueError("the official order names every team once")
+        if (self.home_goals < 0).any():
+            raise ValueError("an official order needs the whole league phase")
+        keys = np.stack(nine_keys(self, self.home_goals[None], self.away_goals[None]), 2)[0][self.order]
+        if any(tuple(keys[i]) < tuple(keys[i + 1]) for i in range(len(keys) - 1)):
+            raise ValueError("the official order contradicts the results")
+
+
+def nine_keys(s: Season, h: np.ndarray, a: np.ndarray) -> list[np.ndarray]:
+    """The nine ranking keys [sim, team] of scores [sim, fixture]."""
+    n = len(s.teams)
+    at_home, on_road = np.eye(n, dtype=np.int64)[s.home], np.eye(n, dtype=np.int64)[s.away]
+    met = at_home.T @ on_road + on_road.T @ at_home
+    win_h, win_a, level = (h > a).astype(int), (a > h).astype(int), (h == a).astype(int)
+    sides = lambda x, y: x @ at_home + y @ on_road
+    points, scored, conceded = sides(3 * win_h + level, 3 * win_a + level), sides(h, a), sides(a, h)
+    keys = [points, scored - conceded, scored, a @ on_road, sides(win_h, win_a), win_a @ on_road]
+    return keys + [k @ met for k in keys[:3]]
+
 
 class _Block:
     def __init__(self, season: Season, seed: int, block: int, size: int):
         self.s, self.size = season, size
         self.rng = np.random.default_rng(np.random.SeedSequence([seed, block]))
 
-    def league(self) -> tuple[np.ndarray, np.ndarray, int]:
-        """(order[sim, place], points[sim, team], ties settled by lot)."""
-        s, n = self.s, len(self.s.teams)
-        rate = s.rates[0, s.home, s.away]
-        goals = self.rng.poisson(rate[None], (self.size, len(s.home), 2))
+    def scores(self) -> tuple[np.ndarray, np.ndarray]:
+        """Goals [sim, fixture] of both sides: observed ones stay, others come from grids or rates."""
+        s = self.s
         seen = s.home_goals >= 0
-        goals[:, seen, 0], goals[:, seen, 1] = s.home_goals[seen], s.away_goals[seen]
-        h, a = goals[..., 0], goals[..., 1]
-        at_home, on_road = np.eye(n, dtype=np.int64)[s.home], np.eye(n, dtype=np.int64)[s.away]
-        met = at_home.T @ on_road + on_road.T @ at_home
-        win_h, win_a, level = (h > a).astype(int), (a > h).astype(int), (h == a).astype(int)
-        sides = lambda x, y: x @ at_home + y @ on_road
-        points, scored, conceded = sides(3 * win_h + level, 3 * win_a + level), sides(h, a), sides(a, h)
-        keys = [points, scored - conceded, scored, a @ on_road, sides(win_h, win_a), win_a @ on_road]
-        keys += [k @ met for k in keys[:3]]
-        lot = self.rng.random((self.size, n))
-        if s.order is not None:
-            return np.tile(np.array(s.order), (self.size, 1)), points, 0
+        h, a = (np.repeat(g[None].astype(np.int64), self.size, 0) for g in (s.home_goals, s.away_goals))
+        open_ = np.flatnonzero(~seen)
+        if s.grids is None:
+            goals = self.rng.poisson(s.rates[0, s.home[open_], s.away[open_]][None], (self.size, len(open_), 2))
+            h[:, open_], a[:, open_] = goals[..., 0], goals[..., 1]
+            return h, a
+        side = int(round(s.grids.shape[-1] ** 0.5))
+        for f in open_.tolist():
+            upto = np.cumsum(s.grids[s.home[f], s.away[f]])
+            cell = np.minimum(np.searchsorted(upto, self.rng.random(self.size) * upto[-1], "right"), side * side - 1)
+            h[:, f], a[:, f] = cell // side, cell % side
+        return h, a
+
+    def league(self) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """(order[sim, place], points[sim, team], groups of teams settled by lot, simulations with one)."""
+        h, a = self.scores()
+        keys = nine_keys(self.s, h, a)
+        lot = self.rng.random(keys[0].shape)
+        if self.s.order is not None:
+            return np.tile(np.array(self.s.order), (self.size, 1)), keys[0], 0, 0
         order = np.lexsort((lot, *[-k for k in reversed(keys)]), axis=1)
         stacked = np.take_along_axis(np.stack(keys, 2), order[:, :, None], 1)
-        return order, points, int((stacked[:, 1:] == stacked[:, :-1]).all(2).sum())
+        same = (stacked[:, 1:] == stacked[:, :-1]).all(2)
+        groups = same & ~np.concatenate([np.zeros((self.size, 1), bool), same[:, :-1]], 1)
+        return order, keys[0], int(groups.sum()), int(same.any(1).sum())
 
     def slots(self, name: str, pairs: tuple, order: np.ndarray) -> np.ndarray:
         """Eight slots: the pairs of ranks, each split at random between the two halves of the bracket."""
@@ -188,7 +235,7 @@ class _Block:
         return np.stack([self.tie(f"{name}-{i}", first[:, i], second[:, i]) for i in range(first.shape[1])], 1)
 
     def run(self) -> pd.DataFrame:
-        order, points, lots = self.league()
+        order, points, groups, tied = self.league()
         n = len(self.s.teams)
         seeded, unseeded = self.slots("seeded", SEEDED, order), self.slots("unseeded", UNSEEDED, order)
         playoff = self.round("po", unseeded, seeded)
@@ -215,16 +262,20 @@ class _Block:
         out["rank_sum"] = np.bincount(order.ravel(), np.tile(np.arange(1, n + 1), self.size), n).astype(np.int64)
         frame = pd.DataFrame(out)
         frame.insert(0, "team", self.s.teams)
-        frame["lots"] = lots / n
+        frame["tie_groups"], frame["tied_simulations"] = groups, tied
         return frame
 
 
 def simulate(spark: SparkSession, season: Season, simulations: int, seed: int, block: int = BLOCK) -> DataFrame:
-    """(team, p_<event>, se_<event>, expected_points, expected_rank) of ``simulations`` runs in blocks of ``block``."""
+    """(team, p_<event>, se_<event>, expected_points, expected_rank, tie_groups, tied_simulations) of ``simulations`` runs
+    in blocks of ``block``; the last two count, for the whole simulation, what lots had to settle."""
+    for name, value, least in (("simulations", simulations, 1), ("seed", seed, 0), ("block", block, 1)):
+        if isinstance(value, bool) or not isinstance(value, int) or value < least:
+            raise ValueError(f"{name} must be a whole number of at least {least}")
     season.check()
     blocks = -(-simulations // block)
     shared = spark.sparkContext.broadcast(season)
-    columns = [*EVENTS, "points", "rank_sum"]
+    columns = [*EVENTS, "points", "rank_sum", "tie_groups", "tied_simulations"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -233,8 +284,29 @@ def simulate(spark: SparkSession, season: Season, simulations: int, seed: int, b
                 yield _Block(shared.value, seed, int(b), size).run()
 
     parts = spark.range(0, blocks, 1, min(blocks, max(1, spark.sparkContext.defaultParallelism * 4)))
-    counts = parts.mapInPandas(run, "team string, " + ", ".join(f"{c} bigint" for c in columns) + ", lots double")
+    counts = parts.mapInPandas(run, "team string, " + ", ".join(f"{c} bigint" for c in columns))
     sums = counts.groupBy("team").agg(*[F.sum(c).alias(c) for c in columns])
     p = {f"p_{e}": F.col(e) / simulations for e in EVENTS}
     se = {f"se_{e}": F.sqrt(F.col(e) / simulations * (1 - F.col(e) / simulations) / simulations) for e in EVENTS}
-    return sums.select("team", *[v.alias(k) for k, v in (p | se).items()], (F.col("points") / simulations).alias("expected_points"), (F.col("rank_sum") / simulations).alias("expected_rank"))
+    return sums.select("team", *[v.alias(k) for k, v in (p | se).items()], (F.col("points") / simulations).alias("expected_points"), (F.col("rank_sum") / simulations).alias("expected_rank"), "tie_groups", "tied_simulations")
+
+
+def diagnostics(season: Season, result: DataFrame, simulations: int, seed: int) -> dict:
+    """What a published simulation says about itself."""
+    lots = result.select("tie_groups", "tied_simulations").first()
+    seen = int((season.home_goals >= 0).sum())
+    warnings = [f"{lots[0]} groups of level teams in {lots[1]} of {simulations} simulations were settled by lot"] if lots[0] else []
+    return {
+        "simulations": simulations,
+        "seed": seed,
+        "block": BLOCK,
+        "observed_matches": seen,
+        "open_matches": len(season.home) - seen,
+        "model_predictions": 2 * 36 * 35,
+        "tie_groups": lots[0],
+        "tied_simulations": lots[1],
+        "score_sampling": "grids" if season.grids is not None else "independent_rates",
+        "conditioned": season.order is not None,
+        "warnings": warnings,
+        "assumptions": ["knockout goals are independent", "extra time at a third of the rates", "shoot-outs are even", "the draw is uniform where it is open", "rates stay fixed"],
+    }

@@ -5,17 +5,20 @@ Averages and sums of real numbers are rounded to six digits on both sides.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchlake.functions import dist
+from matchlake.functions import dist, grids
 from matchlake.operators import evaluate as E
-from matchlake.operators import fit, ratings, simulate, standings, validate
+from matchlake.operators import bracket_state, fit, ratings, selection, simulate, standings, validate
 from matchlake.operators import matches as M
+from matchlake.operators.timestamps import read_timestamps
+from matchlake.plans import forecast
 from matchlake.sources import parsers
-from matchlake.util import lookup_join, materialize, table
+from matchlake.util import lookup_join, materialize, ntz_from_unix, table
 
 CUT = "2025-07-01 00:00:00"
 #: Seasons drawn where no twin sets the number, as the reference's published runs.
@@ -220,9 +223,10 @@ def freshness_flags(spark, d):
     return rows.select("team", "matches", (F.col("matches") < 20).alias("few"), (F.col("latest") < F.lit(CUT).cast("timestamp_ntz") - F.expr("INTERVAL '45' DAY")).alias("stale"))
 
 
-@query(V + "," + SIDES + "\nSELECT name FROM teams WHERE name NOT IN (SELECT team FROM s)")
+@query(V + "," + SIDES + f"\nSELECT name FROM teams WHERE name NOT IN (SELECT team FROM s WHERE competition = 'UCL' AND date < TIMESTAMP '2022-01-01')")
 def missing_teams(spark, d):
-    seen = M.by_side(_unique(spark, d)).select(F.col("team").alias("name"))
+    """Teams without a match of the competition before a cutoff."""
+    seen = M.by_side(M.before(_unique(spark, d), "2022-01-01").where("competition = 'UCL'")).select(F.col("team").alias("name"))
     return table(spark, d, "teams").select("name").join(seen, "name", "left_anti")
 
 
@@ -274,7 +278,7 @@ def competition_counts(spark, d):
 
 _BASE_SQL = f"""
 w AS (SELECT *, pow(2.0, -{AGE} / 365.0) AS w FROM u WHERE date < TIMESTAMP '{CUT}'),
-br AS (SELECT (coalesce(sum(w * home_goals), 0) + 10 * 1.2 * exp(0.2)) / (coalesce(sum(w), 0) + 10) AS home_rate, (coalesce(sum(w * away_goals), 0) + 10 * 1.2) / (coalesce(sum(w), 0) + 10) AS away_rate FROM w)"""
+br AS (SELECT (coalesce(sum(w * home_goals), 0) + 10 * 1.35 * exp(0.15)) / (coalesce(sum(w), 0) + 10) AS home_rate, (coalesce(sum(w * away_goals), 0) + 10 * 1.35) / (coalesce(sum(w), 0) + 10) AS away_rate FROM w)"""
 
 
 @query(V + "," + _BASE_SQL + "\nSELECT round(home_rate, 6) AS home_rate, round(away_rate, 6) AS away_rate, round(ln(away_rate), 6) AS intercept, round(ln(home_rate / away_rate), 6) AS advantage FROM br")
@@ -393,16 +397,11 @@ def match_id_hash(spark, d):
 
 @query(
     r"""
-WITH h AS (SELECT row_id, trim(regexp_replace(replace(home, chr(160), ' '), '\s+', ' ', 'g')) AS t FROM history WHERE NOT contains(home, '\u'))
+WITH d AS (SELECT row_id, CASE WHEN regexp_matches(home, '\\u[0-9a-fA-F]{4}') THEN ('"' || replace(home, '"', '\"') || '"')::JSON ->> '$' ELSE home END AS home FROM history),
+h AS (SELECT row_id, trim(regexp_replace(replace(home, chr(160), ' '), '\s+', ' ', 'g')) AS t FROM d)
 SELECT h.row_id, coalesce(t.name, nfc_normalize(h.t)) AS home FROM h LEFT JOIN (SELECT nickname, min(name) AS name FROM teams WHERE nickname IS NOT NULL GROUP BY nickname) t ON t.nickname = nfc_normalize(h.t)"""
 )
 def alias_normalize(spark, d):
-    # The twin decodes no escapes and leaves rows with one out; alias_normalize_all has every row.
-    return _aliased(spark, d, table(spark, d, "history").where(~F.col("home").contains("\\u")))
-
-
-@query()
-def alias_normalize_all(spark, d):
     return _aliased(spark, d, table(spark, d, "history"))
 
 
@@ -475,14 +474,14 @@ def grid_outcomes(spark, d, pairs=None):
 @query(
     _RATES
     + """,
-kk AS (SELECT unnest(range(0, 60)) AS k),
+kk AS (SELECT unnest(range(0, 261)) AS k),
 lp AS (SELECT lam, k, exp(-lam + k * ln(lam) - lgamma(k + 1)) AS p FROM (SELECT DISTINCT lh AS lam FROM rt UNION SELECT DISTINCT la FROM rt), kk),
 cm AS (SELECT lam, k, p, coalesce(sum(p) OVER (PARTITION BY lam ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM lp)
 SELECT home, away, round(sum(a.p * b.below), 6) AS p_home, round(sum(a.p * b.p), 6) AS p_draw, round(1 - sum(a.p * b.below) - sum(a.p * b.p), 6) AS p_away
 FROM rt JOIN cm a ON a.lam = lh JOIN cm b ON b.lam = la AND b.k = a.k GROUP BY home, away"""
 )
 def skellam_outcomes(spark, d, pairs=None):
-    rows = _rates(spark, d, pairs).withColumn("s", dist.skellam(F.col("lh"), F.col("la"), 60))
+    rows = _rates(spark, d, pairs).withColumn("s", dist.skellam(F.col("lh"), F.col("la")))
     return _rounded(rows.select("home", "away", "s.*"), "p_home", "p_draw", "p_away")
 
 
@@ -517,26 +516,63 @@ def calibrated_grid(spark, d, pairs=None):
     return dist.calibrated_grid(dist.grid(_rates(spark, d, pairs), "lh", "la"), ["home", "away"], 0.1, (0.05, -0.02)).select("home", "away", "hg", "ag", F.round("p", 9).alias("p"))
 
 
+# Forecasts of the UCL's matches, a fold per year: rates use what was known before the year began.
 _FC = (
-    _RATES
+    V
     + ","
-    + _PMF
-    + _DC
+    + SIDES
+    + """,
+fd AS (SELECT DISTINCT year(date) AS fold, make_timestamp(year(date), 1, 1, 0, 0, 0.0) AS start FROM u WHERE competition = 'UCL'),
+fw AS (SELECT fd.fold, u.home_goals, u.away_goals, pow(2.0, -((epoch_us(start) - epoch_us(date)) / 86400000000.0) / 365.0) AS w FROM fd JOIN u ON u.date < fd.start),
+fb AS (SELECT fd.fold, (coalesce(sum(w * home_goals), 0) + 10 * 1.35 * exp(0.15)) / (coalesce(sum(w), 0) + 10) AS home_rate, (coalesce(sum(w * away_goals), 0) + 10 * 1.35) / (coalesce(sum(w), 0) + 10) AS away_rate FROM fd LEFT JOIN fw ON fw.fold = fd.fold GROUP BY fd.fold),
+fs AS (SELECT fd.fold, team, pow(2.0, -((epoch_us(start) - epoch_us(date)) / 86400000000.0) / 365.0) AS w, gf, ga FROM fd JOIN s ON s.date < fd.start),
+fm AS (SELECT fold, sum(w * gf) / sum(w) AS m FROM fs GROUP BY fold),
+ft AS (SELECT fs.fold, team, round(ln((sum(w * gf) + 5 * any_value(m)) / ((sum(w) + 5) * any_value(m))), 9) AS attack, round(-ln((sum(w * ga) + 5 * any_value(m)) / ((sum(w) + 5) * any_value(m))), 9) AS defence FROM fs JOIN fm ON fm.fold = fs.fold GROUP BY fs.fold, team),
+f2 AS (SELECT fold, round(ln(away_rate), 9) AS intercept, round(ln(home_rate / away_rate), 9) AS advantage FROM fb),
+rt AS (SELECT u.row_id, f2.fold, home_goals, away_goals, round(exp(greatest(least(intercept + advantage + coalesce(h.attack, 0) - coalesce(a.defence, 0), ln(100)), ln(1e-6))), 9) AS lh, round(exp(greatest(least(intercept + coalesce(a.attack, 0) - coalesce(h.defence, 0), ln(100)), ln(1e-6))), 9) AS la
+  FROM u JOIN f2 ON f2.fold = year(u.date) LEFT JOIN ft h ON h.fold = f2.fold AND h.team = u.home LEFT JOIN ft a ON a.fold = f2.fold AND a.team = u.away WHERE competition = 'UCL'),"""
+    + _PMF.replace("SELECT home, away, lh, la, CAST", "SELECT row_id, lh, la, CAST")
+    + _DC.replace("SELECT home, away, hg, ag, q / sum(q) OVER (PARTITION BY home, away)", "SELECT row_id, hg, ag, q / sum(q) OVER (PARTITION BY row_id)")
     + f""",
-fo AS (SELECT g.home, g.away, g.ph, g.pd, g.pa, c.dh, c.dd, c.da FROM (SELECT home, away, {_OUT.replace('p_home', 'ph').replace('p_draw', 'pd').replace('p_away', 'pa')} FROM gr GROUP BY home, away) g
-  JOIN (SELECT home, away, {_OUT.replace('p_home', 'dh').replace('p_draw', 'dd').replace('p_away', 'da')} FROM dc GROUP BY home, away) c ON c.home = g.home AND c.away = g.away),
-fc AS (SELECT year(date) AS fold, home_goals, away_goals, lh, la, ph, pd, pa, dh, dd, da, CASE WHEN home_goals > away_goals THEN 0 WHEN home_goals = away_goals THEN 1 ELSE 2 END AS seen
-  FROM u JOIN fo ON fo.home = u.home AND fo.away = u.away JOIN rt ON rt.home = u.home AND rt.away = u.away WHERE competition = 'UCL')"""
+fc AS (SELECT rt.fold, rt.home_goals, rt.away_goals, rt.lh, rt.la, ph, pd, pa, dh, dd, da, CASE WHEN home_goals > away_goals THEN 0 WHEN home_goals = away_goals THEN 1 ELSE 2 END AS seen FROM rt
+  JOIN (SELECT row_id, {_OUT.replace('p_home', 'ph').replace('p_draw', 'pd').replace('p_away', 'pa')} FROM gr GROUP BY row_id) g ON g.row_id = rt.row_id
+  JOIN (SELECT row_id, {_OUT.replace('p_home', 'dh').replace('p_draw', 'dd').replace('p_away', 'da')} FROM dc GROUP BY row_id) c ON c.row_id = rt.row_id)"""
 )
 
 
+def _fold_rates(spark, d):
+    """(row_id, fold, home_goals, away_goals, lh, la) of the UCL's matches, each year's rates from the years before."""
+    u = materialize(_unique(spark, d), "unique")
+    ucl = u.where("competition = 'UCL'").withColumn("fold", F.year("date"))
+    folds = materialize(ucl.select("fold").distinct().withColumn("start", F.make_timestamp_ntz("fold", F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))), "folds")
+    # Every match teaches every later year: as many rows per match as there are years.
+    age = (F.unix_micros(F.col("start").cast("timestamp")) - F.unix_micros(F.col("date").cast("timestamp"))) / 86_400_000_000.0
+    taught = u.join(F.broadcast(folds), F.col("date") < F.col("start")).withColumn("w", M.decay_weight(age, 365.0))
+    sums = taught.groupBy("fold").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("home_goals")).alias("h"), F.sum(F.col("w") * F.col("away_goals")).alias("a"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    base = folds.join(sums, "fold", "left").select("fold", ((zero("h") + 10 * fit.PRIOR_GOALS * F.exp(F.lit(fit.PRIOR_ADVANTAGE))) / (zero("w") + 10)).alias("hr"), ((zero("a") + 10 * fit.PRIOR_GOALS) / (zero("w") + 10)).alias("ar"))
+    base = base.select("fold", F.round(F.log("ar"), 9).alias("mu"), F.round(F.log(F.col("hr") / F.col("ar")), 9).alias("adv"))
+    sides = M.by_side(taught).select("fold", "team", "w", "gf", "ga")
+    per = sides.groupBy("fold", "team").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("gf")).alias("f"), F.sum(F.col("w") * F.col("ga")).alias("a"))
+    mean = per.groupBy("fold").agg((F.sum("f") / F.sum("w")).alias("m"))
+    drawn = lambda c: F.log((F.col(c) + 5 * F.col("m")) / ((F.col("w") + 5) * F.col("m")))
+    s = materialize(per.join(mean, "fold").select("fold", "team", F.round(drawn("f"), 9).alias("attack"), F.round(-drawn("a"), 9).alias("defence")), "strengths")
+    rows = ucl.select("row_id", "fold", "home", "away", "home_goals", "away_goals").join(F.broadcast(base), "fold")  # one row per year
+    rows = lookup_join(rows, s.toDF("fold", "home", "ha", "hd"), ["fold", "home"], held=True)
+    rows = lookup_join(rows, s.toDF("fold", "away", "aa", "ad"), ["fold", "away"], held=True)
+    rates = [dist.link_rate(F.col("mu"), F.col("adv"), zero("ha"), zero("ad")), dist.link_rate(F.col("mu"), F.lit(0.0), zero("aa"), zero("hd"))]
+    return rows.select("row_id", "fold", "home_goals", "away_goals", F.round(rates[0], 9).alias("lh"), F.round(rates[1], 9).alias("la"))
+
+
 def _forecasts(spark, d):
-    rates = materialize(_rates(spark, d), "rates")
-    key = ["home", "away"]
-    own = _rounded(dist.grid_outcomes(dist.grid(rates, "lh", "la"), key), "p_home", "p_draw", "p_away")
-    low = _rounded(dist.grid_outcomes(dist.corrected_grid(rates, key, "lh", "la", 0.05), key), "p_home", "p_draw", "p_away").toDF("home", "away", "dh", "dd", "da")
-    u = _unique(spark, d).where("competition = 'UCL'").select("home", "away", F.year("date").alias("fold"), "home_goals", "away_goals")
-    return u.join(rates, key).join(own, key).join(low, key)
+    def make(pdf):
+        h, a = pdf["lh"].to_numpy(float), pdf["la"].to_numpy(float)
+        own, low = grids.outcomes(grids.grid(h, a)), grids.outcomes(grids.grid(h, a, 0.05))
+        return dict(zip(("p_home", "p_draw", "p_away", "dh", "dd", "da"), [*own.T, *low.T], strict=True))
+
+    names = ["p_home", "p_draw", "p_away", "dh", "dd", "da"]
+    rows = grids.with_columns(_fold_rates(spark, d), ", ".join(f"{c} double" for c in names), make)
+    return materialize(_rounded(rows, *names), "forecasts")
 
 
 @query(
@@ -682,20 +718,46 @@ def _season_arrays(spark, d) -> simulate.Season:
 
 @query()
 def knockout_bracket(spark, d):
-    return simulate.simulate(spark, _season_arrays(spark, d), 20_000, 11)
+    return simulate.simulate(spark, _season_arrays(spark, d), SIMULATIONS, 11)
 
 
 @query()
 def conditioned_bracket(spark, d):
+    """The knockout after a finished league phase, with its draw, one tie that is over and one leg of another."""
+    import numpy as np
+
     season = _season_arrays(spark, d)
-    season.order = list(range(36))
-    season.slots = {"seeded": list(range(8, 16)), "unseeded": list(range(16, 24)), "direct": list(range(8))}
-    season.known = {"po-0": {"legs": [(0, 3), (0, 0)], "winner": 16}, "po-1": {"legs": [(1, 1)]}}
-    season.known["po-0"]["winner"] = 8
-    return simulate.simulate(spark, season, 4_096, 11)
+    rng = np.random.default_rng(11)
+    goals = rng.poisson(season.rates[0, season.home, season.away])
+    season.home_goals, season.away_goals = goals[:, 0], goals[:, 1]
+    keys = [-k[0] for k in simulate.nine_keys(season, goals[None, :, 0], goals[None, :, 1])]
+    order = [season.teams[i] for i in np.lexsort((np.arange(36), *reversed(keys)))]
+    drawn = {key: [order[p[i] - 1] for i in (0, 1) for p in pairs] for key, (_, pairs) in bracket_state.SLOTS.items()}
+    leg = lambda h, a: {"home_goals": h, "away_goals": a, "completed_at": "2027-02-20T22:00:00Z"}
+    ties = {"po-0": {"legs": [leg(0, 3), leg(0, 0)], "winner": drawn["playoff_seeded"][0]}, "po-1": {"legs": [leg(1, 1)]}}
+    state = {"source": "made up", "as_of": "2027-02-21T00:00:00Z", "league_order": order, "ties": ties} | drawn
+    return simulate.simulate(spark, bracket_state.applied(season, state), SIMULATIONS, 11)
+
+
+_LEGS = ", ".join(
+    f"len(list_filter({cdf}, lambda c: c <= CAST(('0x' || substr(md5('5:' || fixture || ':{name}'), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496)) AS g{name}"
+    for cdf, name in (("hc.cdf", "1h"), ("hc.cdf", "2a"), ("ac.cdf", "1a"), ("ac.cdf", "2h"), ("ec.cdf", "ea"), ("fc.cdf", "eb"))
+)
 
 
-@query()
+@query(
+    _SEASON
+    + """,
+lm AS (SELECT DISTINCT unnest([lh, la, lh / 3, la / 3]) AS lam FROM rt), k AS (SELECT unnest(range(0, 12)) AS k),
+cd AS (SELECT lam, k, round(sum(exp(-lam) * pow(lam, k) / factorial(CAST(k AS INTEGER))) OVER (PARTITION BY lam ORDER BY k), 12) AS c FROM lm, k),
+cl AS (SELECT lam, list(c ORDER BY k) AS cdf FROM cd GROUP BY lam),
+g AS (SELECT fixture, home, away, """
+    + _LEGS
+    + """ FROM rt JOIN cl hc ON hc.lam = lh JOIN cl ac ON ac.lam = la JOIN cl ec ON ec.lam = lh / 3 JOIN cl fc ON fc.lam = la / 3),
+t AS (SELECT *, g1h + g2a AS a, g1a + g2h AS b, CAST(('0x' || substr(md5('5:' || fixture || ':coin'), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496 < 0.5 AS coin FROM g),
+e AS (SELECT *, CASE WHEN a = b THEN a + gea ELSE a END AS x, CASE WHEN a = b THEN b + geb ELSE b END AS y FROM t)
+SELECT fixture AS tie, x AS first_goals, y AS second_goals, CASE WHEN x > y OR (x = y AND coin) THEN CAST(home AS VARCHAR) ELSE CAST(away AS VARCHAR) END AS winner FROM e"""
+)
 def two_leg_ties(spark, d):
     r = _season(spark, d)
     ties = r.select(F.col("fixture").alias("tie"), F.col("home").alias("first"), F.col("away").alias("second"), F.col("home_rate").alias("r1h"), F.col("away_rate").alias("r1a"), F.col("away_rate").alias("r2h"), F.col("home_rate").alias("r2a"))
@@ -707,44 +769,81 @@ def two_leg_ties(spark, d):
 
 def _normalised(spark, d):
     """(typed, name) of sides that are a team's name or nickname once escapes, blanks and composition are resolved."""
-    history, teams = table(spark, d, "history"), table(spark, d, "teams").select("name")
-    typed = history.select(F.explode(F.array("home", "away")).alias("typed")).where("typed is not null").distinct()
+    teams = table(spark, d, "teams").select("name")
+    sides = F.explode(F.array("home", "away")).alias("typed")
+    typed = table(spark, d, "history").select(sides).union(table(spark, d, "fixtures").select(sides)).where("typed is not null").distinct()
     rows = parsers.normalised_team(typed.withColumn("name", F.col("typed")), "name", _aliases(spark, d))
     return rows.select("typed", "name").join(teams, "name", "left_semi").select("typed", "name")
 
 
-def _known(spark, d, spellings=_normalised):
-    """Matches between known teams under their names; ``spellings`` gives (typed, name), and a side without one is no known team."""
+def _team_rows(spark, d, spellings=_normalised):
+    """Matches between known teams under their names, whatever form their dates are printed in, one row per day, sides
+    and competition: timed rows before dated ones, then the later row."""
     names = materialize(spellings(spark, d), "spellings")
-    rows = _valid(spark, d)
+    rows = read_timestamps(table(spark, d, "history"), table(spark, d, "sources"))
+    rows = rows.where("ts_seconds is not null and home_goals >= 0 and away_goals >= 0 and trim(competition) <> ''")
     for side in ("home", "away"):
         rows = lookup_join(rows, names.toDF(side, f"{side}_name"), [side], "inner", held=True)
-    rows = rows.drop("home", "away").withColumnsRenamed({"home_name": "home", "away_name": "away"}).where("home <> away")
-    return M.one_per_key(rows)
+    rows = rows.select("row_id", ntz_from_unix(F.col("ts_seconds")).alias("date"), "ts_has_time", F.col("home_name").alias("home"), F.col("away_name").alias("away"), "home_goals", "away_goals", "competition", "source", "completed_at", *_SHOTS)
+    rows = rows.where("home <> away").withColumn("day", F.col("date").cast("date"))
+    key = ["day", "home", "away", "competition"]
+    kept = ["ts_has_time", "row_id", "date", "home_goals", "away_goals", "source", "completed_at", *_SHOTS]
+    best = rows.groupBy(*key).agg(F.max(F.struct(*kept)).alias("m"))
+    return best.select("home", "away", "competition", *[F.col(f"m.{c}").alias(c) for c in kept if c != "ts_has_time"])
+
+
+_SHOTS = ["home_shots", "away_shots", "home_shots_on_target", "away_shots_on_target"]
+
+
+def _known(spark, d, matches=_team_rows):
+    return materialize(matches(spark, d), "known")
 
 
 @query()
-def poisson_map_fit(spark, d, spellings=_normalised):
-    model = fit.fit_poisson(materialize(_known(spark, d, spellings), "known"), CUT)
-    return model.strengths(spark)
+def poisson_map_fit(spark, d, matches=_team_rows):
+    return fit.fit_poisson(_known(spark, d, matches), CUT).strengths(spark)
 
 
 @query()
-def low_score_fit(spark, d, spellings=_normalised):
-    rows = materialize(_known(spark, d, spellings), "known")
-    model = fit.fit_low_score(rows, fit.fit_poisson(rows, CUT), CUT)
-    return spark.createDataFrame([(model.rho, model.intercept, model.advantage)], "rho double, intercept double, advantage double")
+def shot_blend_fit(spark, d, matches=_team_rows):
+    return fit.fit_poisson(_known(spark, d, matches), CUT, shot_blend=0.3).strengths(spark)
+
+
+@query()
+def low_score_fit(spark, d, matches=_team_rows):
+    model = fit.fit_low_score(_known(spark, d, matches), CUT)
+    return spark.createDataFrame([(model.elo, model.league, model.rho, model.base.intercept, model.base.advantage)], "elo double, league double, rho double, intercept double, advantage double")
 
 
 @query()
 def calibrator_fit(spark, d):
-    got = fit.fit_calibrator(materialize(_forecasts(spark, d), "forecasts"))
+    got = fit.fit_calibrator(_forecasts(spark, d))
     return spark.createDataFrame([got] if got else [], "log_temperature double, home_offset double, draw_offset double")
 
 
+REPLAYS = ["2023-07-01 00:00:00", "2024-07-01 00:00:00", CUT]
+
+
 @query()
-def elo_replay(spark, d, spellings=_normalised):
-    return ratings.replay(materialize(_known(spark, d, spellings), "known"), ["2023-07-01 00:00:00", "2024-07-01 00:00:00", CUT])
+def elo_replay(spark, d, matches=_team_rows):
+    return ratings.replay(_known(spark, d, matches), REPLAYS)
+
+
+@query()
+def elo_ratings(spark, d, matches=_team_rows):
+    return ratings.replay_tables(_known(spark, d, matches), REPLAYS)[1]
+
+
+@query()
+def league_offsets(spark, d, matches=_team_rows):
+    return ratings.replay_tables(_known(spark, d, matches), REPLAYS)[2]
+
+
+@query()
+def model_coverage(spark, d, matches=_team_rows):
+    """Teams of the open fixtures that the model knows nothing or little of."""
+    open_ = table(spark, d, "fixtures").where("home_goals is null and home is not null and away is not null").select("home", "away").distinct()
+    return fit.fit_poisson(_known(spark, d, matches), CUT).coverage_warnings(open_)
 
 
 # ---- reports, serving and remaining selections -----------------------------------------------------------------------
@@ -832,26 +931,58 @@ def _projected(league):
     return league.select(F.row_number().over(Window.orderBy("expected_rank", "team")).cast("bigint").alias("place"), "team", F.round("expected_rank", 4).alias("expected_rank"), F.round(F.col("p_top8") * 100, 2).alias("top8_pct"))
 
 
+def _decision(spark, d, matches):
+    return selection.select(_known(spark, d, matches), FORECAST_CUT)
+
+
 @query()
-def rolling_evaluation(spark, d, spellings=_normalised):
+def rolling_evaluation(spark, d, matches=_team_rows):
     """Per fold and model the metrics of forecasts fitted on what was known before the fold, and the model selected."""
-    rows = materialize(_known(spark, d, spellings), "known")
-    bounds = E.fold_bounds(rows.where("competition = 'UCL'")).orderBy("fold").collect()  # one row per fold
-    out = None
-    for b in bounds:
-        start, end = str(b["start"]), str(b["end"] or "9999-01-01 00:00:00")
-        test = rows.where((F.col("competition") == "UCL") & (F.col("date") >= F.lit(start).cast("timestamp_ntz")) & (F.col("date") < F.lit(end).cast("timestamp_ntz")))
-        test = test.select("row_id", "home", "away", "home_goals", "away_goals", F.lit(False).alias("neutral"))
-        goal = fit.fit_poisson(rows, start)
-        for ordinal, model in enumerate((goal, fit.fit_baseline(rows, start), fit.fit_low_score(rows, goal, start))):
-            rated = model.rates(test)
-            key = ["row_id", "home_goals", "away_goals"]
-            cells = dist.corrected_grid(rated, ["row_id"], "home_rate", "away_rate", model.rho) if model.rho else dist.grid(rated, "home_rate", "away_rate")
-            f = dist.grid_outcomes(cells, key).withColumns({"model": F.lit(model.model_type), "ordinal": F.lit(ordinal), "fold": F.lit(b["fold"])})
-            out = f if out is None else out.unionByName(f)
-    scores = materialize(E.outcome_metrics(out, ["model", "ordinal", "fold"]), "scores")
-    chosen = E.promoted(scores.where(F.col("fold") < len(bounds) - 1)).select(F.col("model").alias("chosen"))
-    return scores.join(F.broadcast(chosen)).select("fold", "model", "n", "log_loss", "brier", (F.col("model") == F.col("chosen")).alias("chosen"))
+    got = _decision(spark, d, matches)
+    if got.scores is None:
+        return spark.createDataFrame([], "fold int, purpose string, model string, n bigint, log_loss double, brier double, goal_log_loss double, score_log_loss double, ece double, chosen boolean")
+    return got.scores.select("fold", "purpose", "model", "n", "log_loss", "brier", "goal_log_loss", "score_log_loss", "ece", (F.col("model") == got.selected_model).alias("chosen"))
+
+
+@query()
+def model_decision(spark, d, matches=_team_rows):
+    """One row: what the selection and the general hold-out decide, with the calibration's fate."""
+    report, got = selection.evaluated(_known(spark, d, matches), FORECAST_CUT)
+    c = got.calibration
+    row = (report["selected_model"], report["selection_basis"], got.status, got.ensemble_weight, bool(c["promoted"]), c.get("reason"), json.dumps(got.selection_log_loss, sort_keys=True))
+    return spark.createDataFrame([row], "selected_model string, basis string, status string, ensemble_weight double, calibrated boolean, calibration_reason string, selection_log_loss string")
+
+
+#: What the registered forecast knows.
+FORECAST_CUT = "2027-01-12 00:00:00"
+
+
+def named_sides(spark, d, spellings=_normalised):
+    """(typed, name) of the teams' own names and of all spellings that refer to one."""
+    own = table(spark, d, "teams").where("name is not null").select(F.col("name").alias("typed"), "name")
+    return materialize(spellings(spark, d).unionByName(own).groupBy("typed").agg(F.min("name").alias("name")), "names")
+
+
+def _schedules(spark, d, spellings):
+    return forecast.schedules_as_of(table(spark, d, "fixtures"), table(spark, d, "sources"), named_sides(spark, d, spellings), FORECAST_CUT)
+
+
+@query()
+def known_schedule(spark, d, spellings=_normalised):
+    """Every edition's matches as known at FORECAST_CUT."""
+    return _schedules(spark, d, spellings)
+
+
+@query()
+def season_forecast(spark, d, matches=_team_rows, spellings=_normalised):
+    """The latest season's outcome by the selected model, as of FORECAST_CUT, for the first edition whose schedule is
+    complete; no rows where none is."""
+    schedules = materialize(_schedules(spark, d, spellings), "schedules")
+    whole = forecast.complete_editions(schedules).orderBy(F.col("season").desc(), "edition_id").first()
+    if whole is None:
+        return simulate.simulate(spark, _season_arrays(spark, d), 1, 0).limit(0)
+    schedule = schedules.where(F.col("edition_id") == whole["edition_id"]).drop("edition_id")
+    return forecast.run(spark, _known(spark, d, matches), schedule, FORECAST_CUT, SIMULATIONS, strict=False)[0]
 
 
 _SCHEDULE_TEXT = "Matchday 1\nTuesday 8 September 2026\nAlfa Town 1-0 Beta\nnoise line\nGamma vs Delta SK (18:45)\nMatchday 2\nWednesday 14 October 2026\nBeta vs Gamma\n(20:15)\nDelta SK vs Alfa Town"
@@ -874,7 +1005,21 @@ def parse_schedule_locf(spark, d):
     return parsers.schedule(_text(spark, _SCHEDULE_TEXT))
 
 
-@query()
+_RESULT_LINES = "(SELECT unnest(string_split('" + _RESULT_TEXT.replace("\n", "~") + "', '~')) AS x, unnest(range(1, 9)) AS i)"
+
+
+@query(
+    "WITH l AS "
+    + _RESULT_LINES
+    + """,
+h AS (SELECT i, string_split(x, ' ') AS w FROM l WHERE regexp_matches(x, '^[A-Z][a-z]{2} [A-Z][a-z]{2} [0-9]+( 20[0-9]{2})?$')),
+m AS (SELECT i, CAST(w[3] AS INTEGER) AS dom, TRY_CAST(w[4] AS INTEGER) AS year, month(strptime(w[2], '%b')) AS month FROM h),
+t AS (SELECT *, CASE WHEN year IS NULL AND month < coalesce(lag(month) OVER (ORDER BY i), 7) THEN 1 ELSE 0 END AS turn, count(year) OVER (ORDER BY i) AS part FROM m),
+y AS (SELECT i, dom, month, coalesce(max(year) OVER (PARTITION BY part), 2024) + sum(turn) OVER (PARTITION BY part ORDER BY i) AS year FROM t),
+g AS (SELECT i, regexp_extract(x, '^(?:[0-9:]{5} )?(.+) \\([A-Z]{3}\\) v (.+) \\([A-Z]{3}\\) ([0-9]+-[0-9]+) ?(.*)$', ['home', 'away', 'score', 'tail']) AS p FROM l WHERE regexp_matches(x, ' v ')),
+s AS (SELECT g.i, p.home AS home, p.away AS away, string_split(CASE WHEN regexp_matches(p.tail, 'aet|a\\.e\\.t\\.|pen') THEN regexp_extract(p.tail, '\\(([0-9]+-[0-9]+),', 1) ELSE p.score END, '-') AS score, (SELECT max(y.i) FROM y WHERE y.i < g.i) AS head FROM g)
+SELECT strftime(make_date(CAST(y.year AS INTEGER), y.month, y.dom), '%Y-%m-%d') || 'T23:59:59Z' AS date, home, away, CAST(score[1] AS INTEGER) AS home_goals, CAST(score[2] AS INTEGER) AS away_goals, 'UCL' AS competition, 'inline' AS source FROM s JOIN y ON y.i = s.head"""
+)
 def parse_results_rollover(spark, d):
     return parsers.results(_text(spark, _RESULT_TEXT), "UCL", 2024)
 

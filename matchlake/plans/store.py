@@ -1,93 +1,173 @@
-"""Immutable, hash-verified snapshots of runs: generations behind a pointer, a catalogue, replay checks, export.
+"""Immutable, hash-verified generations of runs behind a pointer, a catalogue of them, replay checks and export.
 
-A generation is written completely, its files are hashed, and only then is the pointer swapped; readers verify the
-hashes before use. Runs that cannot be read are isolated into an issues table, never raised.
+Folders lie on any Hadoop file system, so the driver needs none of the files on its own disk: tables are written and read
+by executors, their files are hashed where they are read, and documents and the pointer go through the file system's
+interface. A generation is written completely and hashed before it gets its name, and only then is the pointer moved;
+readers verify the hashes before use. Runs that cannot be read are isolated into an issues table, never raised.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 import math
-import os
 import re
-import shutil
 import uuid
-from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _NAME = re.compile(r"^[A-Za-z0-9][A-Za-z0-9._-]*$")
+METADATA, POINTER = "metadata.json", "current.json"
 
 
-def write_json(path: Path, value: object) -> None:
-    """UTF-8 JSON without NaN, through a temporary file and a rename."""
-    text = json.dumps(value, ensure_ascii=False, indent=1, sort_keys=True, allow_nan=False)
-    temporary = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
-    temporary.write_text(text, encoding="utf-8")
-    os.replace(temporary, path)
+class Folder:
+    """A folder on a Hadoop file system."""
 
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        jvm = spark._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-def digests(root: Path) -> dict[str, str]:
-    out = {}
-    for p in sorted(x for x in root.rglob("*") if x.is_file() and x.name != "metadata.json" and not x.name.startswith((".", "_"))):
-        h = hashlib.sha256()
-        with p.open("rb") as f:
-            while block := f.read(1 << 20):
-                h.update(block)
-        out[p.relative_to(root).as_posix()] = h.hexdigest()
-    return out
+    def path(self, *parts: str) -> str:
+        return "/".join([self.root, *parts])
 
+    def exists(self, *parts: str) -> bool:
+        return self._fs.exists(self._path(self.path(*parts)))
 
-def publish(root: str, name: str, tables: dict[str, DataFrame], metadata: dict) -> Path:
-    """Write ``tables`` as one generation ``name`` and make it current. A generation is never overwritten."""
+    def folders(self) -> list[str]:
+        if not self.exists():
+            return []
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)) if s.isDirectory())
+
+    def read(self, *parts: str) -> str:
+        try:
+            stream = self._fs.open(self._path(self.path(*parts)))
+        except Exception as e:  # the JVM's own kinds of missing files
+            raise FileNotFoundError(self.path(*parts)) from e
+        try:
+            return bytes(stream.readAllBytes()).decode("utf-8")
+        finally:
+            stream.close()
+
+    def write(self, text: str, *parts: str) -> None:
+        """Through a file of another name that then takes the place of the old one."""
+        path = self._path(self.path(*parts))
+        draft = self._path(path.getParent(), f".{path.getName()}.{uuid.uuid4().hex}")
+        stream = self._fs.create(draft, True)
+        stream.write(bytearray(text.encode("utf-8")))
+        stream.close()
+        jvm = self.spark._jvm
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, path, options)
+
+    def rename(self, old: str, new: str) -> None:
+        if not self._fs.rename(self._path(self.path(old)), self._path(self.path(new))):
+            raise FileExistsError(new)
+
+    def remove(self, name: str) -> None:
+        self._fs.delete(self._path(self.path(name)), True)
+
+    def digests(self, name: str) -> dict[str, str]:
+        """SHA-256 of every file of a generation but its metadata and hidden ones, hashed by the tasks that read them."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.path(name))
+        marker = f"/{name}/"
+        below = F.substring_index(F.col("path"), marker, -1)
+        hashed = files.select(F.url_decode(F.replace(below, F.lit("+"), F.lit("%2B"))).alias("name"), F.sha2("content", 256).alias("digest"))
+        try:
+            rows = hashed.collect()  # one row per file of a run
+        except (PySparkException, Py4JJavaError) as e:
+            raise ValueError(f"{name}: a file cannot be read") from e
+        return {r["name"]: r["digest"] for r in rows if r["name"] != METADATA and not r["name"].split("/")[-1].startswith((".", "_"))}
+
+
+def document(value: object) -> str:
+    """UTF-8 JSON without NaN."""
+    return json.dumps(value, ensure_ascii=False, indent=1, sort_keys=True, allow_nan=False)
+
+
+def _checked(name: str) -> str:
     if not _NAME.match(name):
         raise ValueError("a generation's name has letters, digits, dots, dashes and underscores only")
-    base = Path(root)
-    final, staging = base / name, base / f".staging-{uuid.uuid4().hex}"
-    if final.exists():
+    return name
+
+
+def publish(spark: SparkSession, root: str, name: str, tables: dict[str, DataFrame], metadata: dict, documents: dict[str, object] | None = None, csv: bool = False) -> str:
+    """Write ``tables`` (parquet, or CSV with a header) and JSON ``documents`` as one generation ``name`` and make it
+    current. A generation is never overwritten."""
+    folder = Folder(spark, root)
+    if folder.exists(_checked(name)):
         raise FileExistsError(name)
-    staging.mkdir(parents=True)
+    staging = f".staging-{uuid.uuid4().hex}"
     try:
         for t, df in tables.items():
-            df.write.parquet(str(staging / t))
-        write_json(staging / "metadata.json", metadata | {"run_id": name, "files": digests(staging)})
-        os.replace(staging, final)
+            if csv:
+                df.write.csv(folder.path(staging, t), header=True)
+            else:
+                df.write.parquet(folder.path(staging, t))
+        for d, value in (documents or {}).items():
+            folder.write(document(value), staging, f"{d}.json")
+        folder.write(document(metadata | {"run_id": name, "files": folder.digests(staging)}), staging, METADATA)
+        folder.rename(staging, name)
     except BaseException:
-        shutil.rmtree(staging, ignore_errors=True)
+        folder.remove(staging)
         raise
-    write_json(base / "current.json", {"generation": name})
-    return final
+    folder.write(document({"generation": name}), POINTER)
+    return folder.path(name)
 
 
-def resolve(root: str, name: str | None = None) -> Path:
+def resolve(spark: SparkSession, root: str, name: str | None = None) -> str:
     """Folder of the current or a named generation, after its hashes were verified."""
-    base = Path(root)
-    name = name or json.loads((base / "current.json").read_text())["generation"]
-    if not _NAME.match(name):
-        raise ValueError("not a generation's name")
-    folder = base / name
-    wanted = json.loads((folder / "metadata.json").read_text())["files"]
-    if digests(folder) != wanted:
+    folder = Folder(spark, root)
+    name = _checked(name or json.loads(folder.read(POINTER))["generation"])
+    if folder.digests(name) != json.loads(folder.read(name, METADATA))["files"]:
         raise ValueError(f"{name}: files differ from their recorded hashes")
-    return folder
+    return folder.path(name)
+
+
+def metadata(spark: SparkSession, root: str, name: str) -> dict:
+    return json.loads(Folder(spark, root).read(_checked(name), METADATA))
+
+
+RUN = "run_id string, cutoff string, created_at string, season string, matchday int, model string, state string"
 
 
 def catalogue(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(runs, issues): metadata of every readable generation, and those that are broken with the reason."""
+    """(runs, issues): metadata of every readable generation, and those that are broken with the reason.
+
+    ``state`` is the hash of the run's input tables, the same for runs on the same data.
+    """
+    folder = Folder(spark, root)
     runs, issues = [], []
-    for p in sorted(Path(root).iterdir()):
-        if not p.is_dir() or p.name.startswith("."):
+    for name in folder.folders():
+        if name.startswith("."):
             continue
         try:
-            m = json.loads((p / "metadata.json").read_text())
-            if digests(p) != m["files"]:
+            m = json.loads(folder.read(name, METADATA))
+            if str(m["run_id"]) != name or folder.digests(name) != m["files"]:
                 raise ValueError("hash mismatch")
-            runs.append((p.name, str(m.get("cutoff", "")), str(m.get("created_at", "")), str(m.get("season", ""))))
-        except (OSError, ValueError, KeyError) as e:
-            issues.append((p.name, str(e)))
-    return spark.createDataFrame(runs, "run_id string, cutoff string, created_at string, season string"), spark.createDataFrame(issues, "run_id string, issue string")
+            day = m.get("matchday")
+            state = json.dumps(sorted((k, v) for k, v in m["files"].items() if k.split("/")[0] in ("fixtures", "history", "coverage")))
+            runs.append((name, str(m.get("cutoff", "")), str(m.get("created_at", "")), str(m.get("season", "")), None if day is None else int(day), str(m.get("model", "")), state))
+        except (OSError, ValueError, KeyError, TypeError) as e:
+            issues.append((name, str(e)))
+    return spark.createDataFrame(runs, RUN), spark.createDataFrame(issues, "run_id string, issue string")
+
+
+def run_tables(spark: SparkSession, root: str, runs: DataFrame, table: str = "probabilities") -> DataFrame:
+    """The runs' rows of ``table`` joined with their metadata by run; columns a run lacks are null. Its issues are
+    checked by :func:`catalogue` before."""
+    names = [r["run_id"] for r in runs.select("run_id").collect()]  # runs are published by hand
+    folder = Folder(spark, root)
+    out = None
+    for name in names:
+        if folder.exists(name, table):
+            part = spark.read.parquet(folder.path(name, table)).withColumn("run_id", F.lit(name))
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return None if out is None else runs.drop("state").join(out, "run_id")
 
 
 def headline(runs: DataFrame) -> DataFrame:
@@ -116,15 +196,11 @@ def clean(value: object) -> object:
     return value
 
 
-def export_page(table: DataFrame, template: str, out: str, marker: str = "/*DATA*/", most: int = 10_000) -> None:
-    """Inject a small table as JSON into a page; text that could end a script is escaped."""
+def export_page(spark: SparkSession, payload: object, template: str, out: str, marker: str = "/*DATA*/") -> None:
+    """Inject a payload as JSON into a page; text that could end a script is escaped."""
     if marker not in template:
         raise ValueError("the template has no data marker")
-    rows = table.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError("only small tables are exported to a page")
-    text = json.dumps(clean([r.asDict(True) for r in rows]), ensure_ascii=False, separators=(",", ":"), allow_nan=False, default=str)
+    text = json.dumps(clean(payload), ensure_ascii=False, separators=(",", ":"), allow_nan=False, default=str)
     text = text.replace("</", "<\\/").replace("\u2028", "\\u2028").replace("\u2029", "\\u2029")
-    temporary = Path(out).with_name(f".{Path(out).name}.{uuid.uuid4().hex}")
-    temporary.write_text(template.replace(marker, text, 1), encoding="utf-8")
-    os.replace(temporary, out)
+    folder, name = out.rsplit("/", 1) if "/" in out else (".", out)
+    Folder(spark, folder).write(template.replace(marker, text, 1), name)

@@ -1,11 +1,14 @@
 """Models, simulation, parsers and streaming: invariants and small worked cases."""
 
+from datetime import datetime, timedelta
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from matchlake.functions import dist
-from matchlake.operators import evaluate, fit, ratings, simulate
+from matchlake.functions import dist, grids
+from matchlake.operators import bracket_state, evaluate, fit, models, ratings, simulate
 from matchlake.operators import matches as M
 from matchlake.sources import parsers
 from matchlake.streaming import live
@@ -39,6 +42,18 @@ def test_grid_outcomes_agree_with_full_tails(spark):
     assert tempered.groupBy("k").agg(F.sum("p").alias("s")).where("abs(s - 1) > 1e-12").count() == 0
 
 
+def test_blocks_of_grids_agree_with_expressions(spark):
+    rates = spark.createDataFrame([(1, 1.4, 1.1), (2, 0.2, 3.0), (3, 20.0, 0.01)], "k int, h double, a double")
+    h, a = np.array([1.4, 0.2, 20.0]), np.array([1.1, 3.0, 0.01])
+    for rho in (0.0, 0.04):
+        long = (dist.corrected_grid(rates, ["k"], "h", "a", rho) if rho else dist.grid(rates, "h", "a")).orderBy("k", "hg", "ag").toPandas()["p"].to_numpy().reshape(3, 13, 13)
+        assert np.allclose(grids.grid(h, a, rho), long, atol=1e-12) and not grids.bad(grids.grid(h, a, rho)).any()
+    tempered = dist.calibrated_grid(dist.grid(rates, "h", "a"), ["k"], 0.2, (0.1, 0.0)).orderBy("k", "hg", "ag").toPandas()["p"].to_numpy().reshape(3, 13, 13)
+    assert np.allclose(grids.tempered(grids.grid(h, a), 0.2, (0.1, 0.0)), tempered, atol=1e-9)
+    with pytest.raises(ValueError):
+        grids.grid(np.array([5.0]), np.array([5.0]), 0.2)
+
+
 def test_poisson_fit_recovers_strengths_and_ignores_the_future(spark):
     h = history(spark, 1200)
     rows = M.valid_matches(h)
@@ -47,13 +62,80 @@ def test_poisson_fit_recovers_strengths_and_ignores_the_future(spark):
     future = h.limit(50).withColumn("date", F.lit("2025-06-01T00:00:00Z")).withColumn("home_goals", F.lit(9))
     again = fit.fit_poisson(M.valid_matches(h.unionByName(future)), CUT)
     assert again.attack == pytest.approx(model.attack, abs=1e-9)
-    assert fit.GoalModel.from_json(model.to_json()) == model
+    assert models.from_json(model.to_json()) == model
     assert not fit.fit_poisson(rows, CUT, max_iter=1).converged
     assert fit.fit_poisson(rows.limit(0), CUT).model_type == "prior_only"
     with pytest.raises(ValueError):
-        fit.GoalModel.from_json(model.to_json().replace('"schema_version": 1', '"schema_version": 2'))
-    low = fit.fit_low_score(rows, model, CUT)
-    assert -0.2 <= low.rho <= 0.2
+        models.from_json(model.to_json().replace('"schema_version": 1', '"schema_version": 2'))
+    with pytest.raises(ValueError):
+        fit.fit_poisson(rows, CUT, shot_blend=2.0)
+    base = M.baseline_rates(rows, CUT).first()
+    assert fit.fit_baseline(rows, CUT).intercept == pytest.approx(base["intercept"]) and fit.fit_baseline(rows, CUT).advantage == pytest.approx(base["advantage"])
+
+
+def test_poisson_fit_is_the_minimum_of_its_objective(spark):
+    """Every parameter moved alone raises the penalised likelihood of the matches themselves."""
+    rows = M.valid_matches(history(spark, 300, teams=5))
+    model = fit.fit_poisson(rows, CUT)
+    leagues = {r["team"]: r["league"] for r in M.modal_league(rows).collect()}
+    games = [r for r in rows.withColumn("w", M.decay_weight(M.age_days(CUT), 365.0)).collect()]
+    rates = {(r["home"], r["away"]): (r["home_rate"], r["away_rate"]) for r in model.rates(rows.select("home", "away").distinct()).collect()}
+    residual = {}
+    for g in games:
+        lh, la = rates[g["home"], g["away"]]
+        residual[g["home"]] = residual.get(g["home"], 0) + g["w"] * (lh - g["home_goals"])
+        residual[g["away"]] = residual.get(g["away"], 0) + g["w"] * (la - g["away_goals"])
+    # The attack of a team is a league effect and a deviation: 5 times the deviation balances its residual.
+    for league in set(leagues.values()):
+        own = [t for t in residual if leagues[t] == league]
+        effect = -sum(residual[t] for t in own) / 0.5
+        for t in own:
+            assert model.attack[t] == pytest.approx(effect - residual[t] / 5.0, abs=1e-5)
+
+
+def test_models_nest_and_give_grids(spark):
+    rows = M.valid_matches(history(spark, 800))
+    goal, low = fit.fit_poisson(rows, CUT), fit.fit_low_score(rows, CUT)
+    assert -0.2 <= low.rho <= 0.2 and set(low.ratings) == {f"t{i}" for i in range(8)} and low.ratings["t0"] > low.ratings["t7"]
+    nested = models.Calibrated(models.Mixture(goal, low, 0.3), 0.1, 0.05, -0.02)
+    assert models.from_json(nested.to_json()) == nested
+    pairs = spark.createDataFrame([("t0", "t7", False), ("t7", "t0", True), ("new", "t1", False)], "home string, away string, neutral boolean")
+    for model in (goal, low, models.Mixture(goal, low, 0.3), nested):
+        got = model.grids(pairs)
+        assert got.count() == 3 and all(abs(sum(r["grid"]) - 1) < 1e-9 and min(r["grid"]) >= 0 for r in got.collect())
+        p = {r["home"]: r for r in model.outcomes(pairs).collect()}
+        assert p["t0"]["p_home"] > 0.5 and all(abs(r["p_home"] + r["p_draw"] + r["p_away"] - 1) < 1e-9 for r in p.values())
+    one, two = ({r["home"]: r["home_rate"] for r in m.rates(pairs).collect()} for m in (goal, low))
+    assert {r["home"]: r["home_rate"] for r in nested.rates(pairs).collect()} == pytest.approx({k: 0.3 * one[k] + 0.7 * two[k] for k in one})
+    assert {(r["team"], r["issue"]) for r in goal.coverage_warnings(pairs).collect()} == {("new", "unknown")}
+    drawn = goal.sampled(pairs.limit(1), 4000, 1).agg(F.avg("hg"), F.count("*")).first()
+    assert drawn[1] == 4000 and drawn[0] == pytest.approx(one["t0"], abs=0.12)
+    for bad in ('"weight": 0.3', '"model_type": "mixture"', '"rho"'):
+        with pytest.raises((ValueError, TypeError, KeyError)):
+            models.from_json(nested.to_json().replace(bad, bad.replace("0.3", "1.3").replace("mixture", "x").replace("rho", "r")))
+
+
+def test_low_score_terms_are_a_minimum():
+    rng = np.random.default_rng(2)
+    n = 4000
+    e, l = rng.normal(0, 100, n), rng.normal(0, 30, n)
+    lh, la = np.exp(0.2 + 0.002 * e), np.exp(0.1 - 0.002 * e)
+    hg, ag = rng.poisson(lh), rng.poisson(la)
+    keep = ~(((hg == 0) & (ag == 0)) | ((hg == 1) & (ag == 1))) | (rng.random(n) < 0.9)
+    games = pd.DataFrame({"lh": np.exp(0.2), "la": np.exp(0.1), "e": e, "l": l, "hg": hg, "ag": ag, "w": 1.0})[keep]
+    x, ok = fit.low_score_terms(games, 8.0, (0.01, 0.01, 0.2))
+    assert ok and x[0] == pytest.approx(0.002, abs=3e-4) and abs(x[1]) < 1e-3 and x[2] > 0
+
+    def loss(v):
+        move = v[0] * games["e"] + v[1] * games["l"]
+        a, b = games["lh"] * np.exp(move), games["la"] * np.exp(-move)
+        h, g = games["hg"], games["ag"]
+        c = np.where((h == 0) & (g == 0), 1 - a * b * v[2], np.where((h == 0) & (g == 1), 1 + a * v[2], np.where((h == 1) & (g == 0), 1 + b * v[2], np.where((h == 1) & (g == 1), 1 - v[2], 1))))
+        return float(-np.sum(h * np.log(a) - a + g * np.log(b) - b + np.log(c)) + 8 * np.sum(np.square(v)))
+
+    for i, step in enumerate((1e-5, 1e-5, 1e-3)):
+        for s in (-step, step):
+            assert loss(x + s * np.eye(3)[i]) >= loss(x) - 1e-6
 
 
 def test_calibrator_lowers_loss(spark):
@@ -67,15 +149,88 @@ def test_calibrator_lowers_loss(spark):
     assert fit.fit_calibrator(f.where("home_goals > away_goals")) is None
 
 
+def brute_ratings(games, cutoff):
+    """Match by match, straight from the rules, with every state in a dictionary."""
+    cross = {"UCL", "UEL", "UECL"}
+    rating, league, offset, seen, abroad, out = {}, {}, {}, {}, {}, {}
+    for date in sorted({g["date"] for g in games}):
+        same = [g for g in games if g["date"] == date]
+        recency = 2 ** (-(cutoff - date).total_seconds() / 86400 / 365)
+        moves, pulls, homes = {}, {}, {}
+        for g in sorted(same, key=lambda g: (g["competition"], g["home"], g["away"])):
+            h, a, c = g["home"], g["away"], g["competition"]
+            far = c in cross
+            lh, la = (league.get(h), league.get(a)) if far else (c, c)
+            weight = lambda t: 0.45 + 0.55 * abroad.get(t, 0) / (abroad.get(t, 0) + 8) if far else 1
+            rh, ra = ((rating.get(t, 1500) - 1500) * weight(t) for t in (h, a))
+            oh, oa = offset.get(lh, 0), offset.get(la, 0)
+            expected = 1 / (1 + 10 ** (-(rh + oh + 55 - ra - oa) / 400))
+            out[g["row_id"]] = (1500 + rh, 1500 + ra, lh, la, oh, oa, expected)
+            gap = abs(g["home_goals"] - g["away_goals"])
+            surprise = (1 if g["home_goals"] > g["away_goals"] else 0.5 if gap == 0 else 0) - expected
+            delta = 24 * recency * (1 if gap < 2 else 1.5 if gap == 2 else (11 + gap) / 8) * surprise
+            moves.setdefault(h, []).append(delta)
+            moves.setdefault(a, []).append(-delta)
+            if far and lh and la and lh != la:
+                pulls.setdefault(lh, []).append((8 * recency * surprise, h))
+                pulls.setdefault(la, []).append((-8 * recency * surprise, a))
+            elif not far:
+                homes[h] = homes[a] = c
+        for t, d in moves.items():
+            rating[t] = rating.get(t, 1500) + sum(d)
+        for c in {g["competition"] for g in same} - cross - offset.keys():
+            offset[c] = {"E0": 55.0, "N1": 14.0}.get(c, 0.0)
+        for c, d in pulls.items():
+            offset[c] = offset[c] + sum(x for x, _ in d)
+            seen[c] = seen.get(c, 0) + recency * len(d)
+            for _, t in d:
+                abroad[t] = abroad.get(t, 0) + recency
+        league.update(homes)
+        if sum(seen.values()):
+            mean = sum(offset[c] * seen.get(c, 0) for c in offset) / sum(seen.values())
+            offset = {c: v - mean for c, v in offset.items()}
+    return out, rating, offset, league, abroad
+
+
+def rated_games(spark, n=250):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(n):
+        h, a = rng.choice(9, 2, replace=False)
+        comp = "UCL" if i % 3 == 0 else ("E0", "N1", "X")[h % 3]
+        rows.append((i, datetime(2023, 1, 1) + timedelta(days=int(i // 2)), f"t{h}", f"t{a}", int(rng.integers(0, 5)), int(rng.integers(0, 5)), comp))
+    return spark.createDataFrame(rows, "row_id bigint, date timestamp_ntz, home string, away string, home_goals int, away_goals int, competition string")
+
+
+def test_ratings_follow_their_rules(spark):
+    games = rated_games(spark)
+    cut = "2023-04-20 00:00:00"
+    matches, teams, leagues = ratings.replay_tables(games, [cut, "2023-02-01 00:00:00"])
+    known = [r.asDict() for r in games.where(F.col("date") < F.lit(cut).cast("timestamp_ntz")).collect()]
+    out, rating, offset, league, abroad = brute_ratings(known, datetime(2023, 4, 20))
+    got = {r["row_id"]: r for r in matches.where(F.col("cutoff") == cut).collect()}
+    assert set(got) == set(out) and len(out) > 150
+    for i, (rh, ra, lh, la, oh, oa, e) in out.items():
+        r = got[i]
+        assert (r["home_league"], r["away_league"]) == (lh, la)
+        assert [r["home_rating"], r["away_rating"], r["home_offset"], r["away_offset"], r["expected"]] == pytest.approx([rh, ra, oh, oa, e], abs=1e-6)
+    trust = lambda t: 0.45 + 0.55 * abroad.get(t, 0) / (abroad.get(t, 0) + 8)
+    assert {r["name"]: r["rating"] for r in teams.where(F.col("cutoff") == cut).collect()} == pytest.approx({t: 1500 + (v - 1500) * trust(t) for t, v in rating.items()}, abs=1e-6)
+    assert {r["name"]: r["league"] for r in teams.where(F.col("cutoff") == cut).collect() if r["league"]} == league
+    assert {r["name"]: r["offset"] for r in leagues.where(F.col("cutoff") == cut).collect()} == pytest.approx(offset, abs=1e-6)
+
+
 def test_ratings_read_only_the_past(spark):
-    rows = M.valid_matches(history(spark, 200))
-    one = {r["row_id"]: r for r in ratings.replay(rows, [CUT]).collect()}
-    shuffled = {r["row_id"]: r for r in ratings.replay(rows.orderBy(F.rand(3)), [CUT]).collect()}
-    assert len(one) == 200 and all(one[k]["home_rating"] == pytest.approx(shuffled[k]["home_rating"]) for k in one)
-    first = min(r["date"] for r in one.values())
-    assert all(r["home_rating"] == 1500 for r in one.values() if r["date"] == first)
+    games = rated_games(spark)
+    cut, change = "2023-04-20 00:00:00", "2023-03-01 00:00:00"
+    later = F.col("date") >= F.lit(change).cast("timestamp_ntz")
+    other = games.withColumns({"competition": F.when(later, "N1").otherwise(F.col("competition")), "home_goals": F.when(later, 9).otherwise(F.col("home_goals"))})
+    one, two = ({r["row_id"]: tuple(r)[5:12] for r in ratings.replay(g.orderBy(F.rand(3)), [cut]).where(F.col("date") < F.lit(change).cast("timestamp_ntz")).collect()} for g in (games, other))
+    assert one.keys() == two.keys() and len(one) > 100
+    assert all(x[2:4] == two[k][2:4] and [*x[:2], *x[4:]] == pytest.approx([*two[k][:2], *two[k][4:]], abs=1e-9) for k, x in one.items())
     with pytest.raises(ValueError):
         ratings.RatingConfig(k=-1).validate()
+    assert ratings.replay(games.limit(0), [cut]).count() == 0
 
 
 def season(known=None):
@@ -98,18 +253,96 @@ def test_simulation_conserves_places_and_is_partition_free(spark):
     assert got.where("p_champion > p_final or abs(p_top8 + p_playoff + p_eliminated - 1) > 1e-9").count() == 0
 
 
-def test_observed_scores_and_known_ties_are_kept(spark):
+def finished():
+    s = season()
+    rng = np.random.default_rng(1)
+    s.home_goals, s.away_goals = rng.integers(0, 4, 144), rng.integers(0, 4, 144)
+    keys = [-k[0] for k in simulate.nine_keys(s, s.home_goals[None], s.away_goals[None])]
+    return s, [s.teams[i] for i in np.lexsort((np.arange(36), *reversed(keys)))]
+
+
+def drawn_state(order, **ties):
+    drawn = {key: [order[p[i] - 1] for i in (0, 1) for p in pairs] for key, (_, pairs) in bracket_state.SLOTS.items()}
+    return {"source": "s", "as_of": "2027-03-01T00:00:00Z", "league_order": order, "ties": ties} | drawn
+
+
+def leg(h, a, at="2027-02-20T22:00:00Z"):
+    return {"home_goals": h, "away_goals": a, "completed_at": at}
+
+
+def test_observed_scores_and_official_state_are_kept(spark):
     s = season()
     s.home_goals, s.away_goals = np.zeros(144, int), np.zeros(144, int)
     got = {r["team"]: r["expected_points"] for r in simulate.simulate(spark, s, 50, 1).collect()}
     assert set(got.values()) == {8.0}
-    s = season({f"po-{i}": {"legs": [(0, 1), (0, 0)], "winner": 8 + i} for i in range(8)})
-    s.order = list(range(36))
-    s.slots = {"seeded": list(range(8, 16)), "unseeded": list(range(16, 24)), "direct": list(range(8))}
-    assert {r["team"] for r in simulate.simulate(spark, s, 64, 1).collect() if r["p_round16"] == 1} == {f"T{i:02d}" for i in range(16)}
-    s.known["po-0"]["winner"] = 16
+    s, order = finished()
+    state = drawn_state(order)
+    state["ties"] = {f"po-{i}": {"legs": [leg(0, 1), leg(0, 0)], "winner": state["playoff_seeded"][i]} for i in range(8)}
+    got = simulate.simulate(spark, bracket_state.applied(s, state), 64, 1).collect()
+    assert {r["team"] for r in got if r["p_round16"] == 1} == set(state["playoff_seeded"]) | set(order[:8]) and got[0]["tie_groups"] == 0
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        lambda s: s.pop("source"),
+        lambda s: s.update(as_of="2028-01-01T00:00:00Z"),
+        lambda s: s["league_order"].reverse(),
+        lambda s: s["league_order"].pop(),
+        lambda s: s["playoff_seeded"].reverse(),
+        lambda s: s["ties"].update({"po-9": {}}),
+        lambda s: s["ties"].update({"po-0": {"legs": [leg(1, 0), leg(1, 0)]}}),
+        lambda s: s["ties"].update({"po-0": {"legs": [leg(1, 0)], "winner": "T00"}}),
+        lambda s: s["ties"].update({"po-0": {"legs": [leg(1.5, 0)]}}),
+        lambda s: s["ties"].update({"po-0": {"legs": [leg(1, 0, "2027-02-20")]}}),
+        lambda s: s["ties"].update({"po-0": {"legs": [leg(1, 0, "2027-03-20T00:00:00Z")]}}),
+        lambda s: s["ties"].update({"r16-0": {"legs": [leg(1, 0)]}}),
+        lambda s: s["ties"].update({"final-0": {"legs": [leg(1, 0), leg(1, 0)]}}),
+    ],
+)
+def test_states_that_cannot_be_true_raise(change):
+    s, order = finished()
+    state = drawn_state(order)
+    change(state)
+    with pytest.raises(ValueError):
+        bracket_state.applied(s, state, "2027-04-01T00:00:00Z")
+
+
+def test_a_winner_that_contradicts_the_score_raises(spark):
+    s, order = finished()
+    state = drawn_state(order)
+    state["ties"] = {"po-0": {"legs": [leg(0, 1), leg(0, 0)], "winner": state["playoff_unseeded"][0]}}
     with pytest.raises(Exception, match="contradicts"):
-        simulate.simulate(spark, s, 8, 1).collect()
+        simulate.simulate(spark, bracket_state.applied(s, state), 8, 1).collect()
+
+
+def test_seasons_and_arguments_are_checked(spark):
+    for name, value in (("home_goals", np.where(np.arange(144) == 0, 1, -1)), ("rates", np.full((2, 36, 36, 2), -1.0)), ("teams", ["x"] * 36), ("order", list(range(36)))):
+        s = season()
+        setattr(s, name, value)
+        with pytest.raises(ValueError):
+            s.check()
+    s = season()
+    s.home, s.away = s.away.copy(), s.home.copy()
+    s.home[0], s.away[0] = s.away[0], s.home[0]
+    with pytest.raises(ValueError):
+        s.check()
+    for bad in ({"simulations": 0}, {"simulations": True}, {"seed": -1}, {"block": 0}):
+        with pytest.raises(ValueError):
+            simulate.simulate(spark, season(), **({"simulations": 10, "seed": 1} | bad))
+
+
+def test_league_draws_come_from_the_grid(spark):
+    s = season()
+    s.grids = np.zeros((36, 36, 169))
+    s.grids[..., 3 * 13 + 1] = 1.0  # every home side wins 3-1
+    got = simulate.simulate(spark, s, 40, 1)
+    assert {r["expected_points"] for r in got.collect()} == {12.0}
+    said = simulate.diagnostics(s, got, 40, 1)
+    assert said["score_sampling"] == "grids" and said["tied_simulations"] == 40 and said["warnings"]
+    s.grids[0, 1] = 0.5
+    with pytest.raises(ValueError):
+        s.check()
 
 
 def lines(spark, text, file="f"):
