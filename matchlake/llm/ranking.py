@@ -143,3 +143,21 @@ def ranked(items: DataFrame, strengths: DataFrame, item: str) -> DataFrame:
     before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__size")
     inside = both.withColumn("__inside", F.row_number().over(Window.partitionBy("__part").orderBy(F.col("strength").desc_nulls_last(), item)))
     return inside.join(F.broadcast(before), "__part").withColumn("rank", (F.col("__before") + F.col("__inside")).cast("bigint")).drop("__part", "__before", "__inside")
+
+
+def agreement(outcomes: DataFrame, held: str) -> DataFrame:
+    """(held_out, spectral, win_share): decided outcomes for which ``held`` is true, and the shares of them won by the
+    item that stands higher in the ranking, or in the mean margin, of the other outcomes; equal or unknown items count
+    half."""
+    known = outcomes.where(~F.col(held)).select("a", "b", "a_score", "b_score")
+    test = outcomes.where(F.col(held) & (F.col("a_score") != F.col("b_score")) & F.col("a").isNotNull() & F.col("b").isNotNull())
+    sides = F.array(F.struct(F.col("a").alias("i"), F.signum(F.col("a_score") - F.col("b_score")).alias("m")), F.struct(F.col("b").alias("i"), F.signum(F.col("b_score") - F.col("a_score")).alias("m")))
+    simple = known.where("a_score is not null and b_score is not null").select(F.inline(sides)).groupBy("i").agg(F.avg("m").alias("simple"))
+    both = materialize(spectral_ranking(known).select(F.col("item").alias("i"), "strength").join(simple, "i", "left"), "strengths")
+    few = small(both)
+    for side in ("a", "b"):
+        own = both.toDF(side, f"s_{side}", f"m_{side}")
+        test = test.join(F.broadcast(own), side, "left") if few else salted_join(test, own, [side])
+    sign = F.signum(F.col("a_score") - F.col("b_score"))
+    share = lambda x: F.avg((1 + F.coalesce(F.signum(F.col(f"{x}_a") - F.col(f"{x}_b")) * sign, F.lit(0.0))) / 2)
+    return test.agg(F.count("*").alias("held_out"), share("s").alias("spectral"), share("m").alias("win_share"))

@@ -22,6 +22,7 @@ from matchlake.util import lookup_join
 
 DAY = 86_400
 KEY = ["day", "home_id", "away_id", "competition"]
+NUMBERS = ["home_shots", "away_shots", "home_shots_on_target", "away_shots_on_target", "odds_home", "odds_draw", "odds_away"]
 
 
 def survivors(rows: DataFrame, key: list[str], order: list[Column], attributes: dict[str, tuple[Column, Column]], extra: list[Column] | None = None) -> DataFrame:
@@ -34,7 +35,7 @@ def survivors(rows: DataFrame, key: list[str], order: list[Column], attributes:
 def match_rows(history: DataFrame, teams: DataFrame, sources: DataFrame, spellings: DataFrame | None = None) -> DataFrame:
     """``history`` with ``ts_seconds``, ``ts_has_time``, ``day``, ``home_id``, ``away_id`` and ``priority``."""
     names = spellings if spellings is not None else all_spellings(history, teams)
-    rows = read_timestamps(history.select("row_id", "date", "home", "away", "home_goals", "away_goals", "competition", "source", "home_shots", "away_shots", "odds_home", "odds_draw", "odds_away", "retrieved_at"), sources)
+    rows = read_timestamps(history.select("row_id", "date", "home", "away", "home_goals", "away_goals", "competition", "source", *[c for c in NUMBERS if c in history.columns], "retrieved_at"), sources)
     rows = rows.drop("ts_utc", "ts_reading", "ts_posterior", "ts_status")
     trust = sources.where("source is not null").groupBy("source").agg((-F.min("trust_rank")).alias("priority"))
     rows = lookup_join(rows, trust, ["source"])
@@ -79,12 +80,11 @@ def match_survivors(history: DataFrame, teams: DataFrame, sources: DataFrame, sp
         {
             "source": (always, F.col("source")),
             "score": (goals, F.struct("home_goals", "away_goals")),
-            "home_shots": (usable_number(F.col("home_shots")), F.col("home_shots")),
-            "away_shots": (usable_number(F.col("away_shots")), F.col("away_shots")),
+            **{c: (usable_number(F.col(c)), F.col(c)) for c in NUMBERS[:4] if c in rows.columns},
             "odds": (whole_odds, F.struct("odds_home", "odds_draw", "odds_away")),
             "timed": (F.col("ts_has_time"), F.col("ts_seconds")),
             "any_time": (always, F.col("ts_seconds")),
         },
         [F.min("row_id").alias("group_row_id"), F.count("*").alias("n_rows")],
     )
-    return out.select("group_row_id", "n_rows", *KEY, "source", F.coalesce("timed", "any_time").alias("seconds"), "score.*", "home_shots", "away_shots", "odds.*")
+    return out.select("group_row_id", "n_rows", *KEY, "source", F.coalesce("timed", "any_time").alias("seconds"), "score.*", *[c for c in NUMBERS[:4] if c in rows.columns], "odds.*")
