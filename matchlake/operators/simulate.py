@@ -108,6 +108,7 @@ class Season:
     slots: dict[str, list[int]] = field(default_factory=dict)
     known: dict[str, dict] = field(default_factory=dict)
     grids: np.ndarray | None = None
+    balanced: bool = True  # four fixtures at home and four away each; eight in all otherwise
 
     def check(self) -> Season:
         n = len(self.teams)
@@ -117,8 +118,9 @@ class Season:
             raise ValueError("a season has 144 fixtures between different teams")
         if len({frozenset(p) for p in zip(self.home.tolist(), self.away.tolist(), strict=True)}) != 144:
             raise ValueError("two teams meet once at most")
-        if (np.bincount(self.home, minlength=n) != 4).any() or (np.bincount(self.away, minlength=n) != 4).any():
-            raise ValueError("every team has four fixtures at home and four away")
+        at_home, away = np.bincount(self.home, minlength=n), np.bincount(self.away, minlength=n)
+        if (at_home + away != 8).any() or (self.balanced and (at_home != 4).any()):
+            raise ValueError("every team has eight fixtures, four of them at home")
         off = ~np.eye(n, dtype=bool)
         if self.rates.shape != (2, n, n, 2) or not np.isfinite(self.rates[:, off]).all() or (self.rates[:, off] < 0).any():
             raise ValueError("rates must be finite and >= 0 for every ordered pair")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from matchlake.operators.known_at import history_versions
-from matchlake.operators.parse_errors import failed_lines, failures, loaded_lines
+from matchlake.operators.parse_errors import GOALS, NUMBERS, TEXT, failed_lines, failures, loaded_lines
 from matchlake.operators.snapshots import fixture_changes
 from matchlake.operators.timestamps import printed_instants, recovered_orders
 from matchlake.util import table
@@ -22,7 +22,7 @@ def p2_failures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_loaded(spark: SparkSession, d: str) -> DataFrame:
-    return loaded_lines(table(spark, d, "raw_results")).drop("completed_at", "retrieved_at", "source", "odds_provider", "odds_semantics", "home_xg", "away_xg", "home_shots_on_target", "away_shots_on_target")
+    return loaded_lines(table(spark, d, "raw_results"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +46,36 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_failures, p2_loaded, p3_found, p4_found, p4_undeclared, p7_found)}
 
+
+def _field(sep: str) -> str:
+    return f'(?:"(?:[^"]|"")*"[ \\t]*|[^"{sep}]*)'
+
+
+# Lines cut into fields: ``v`` are the bare values of a line whose quoting is sound.
+_BLANK = r"[\s\x{A0}]"
+_LINES = rf"""
+WITH hd AS (SELECT file_name, replace(min(line), chr(65279), '') AS h FROM raw_results WHERE line_no = 1 AND file_name IS NOT NULL GROUP BY file_name),
+hs AS (SELECT file_name, h, CASE WHEN len(string_split(h, ';')) > len(string_split(h, ',')) THEN ';' ELSE ',' END AS sep FROM hd),
+hc AS (SELECT file_name, sep, list_transform(string_split(h, sep), lambda x: lower(trim(replace(x, '"', '')))) AS cols FROM hs),
+b AS (SELECT r.line_id, r.file_name, r.line_no, r.line, sep, cols FROM raw_results r JOIN hc ON hc.file_name = r.file_name
+  WHERE (line_no IS NULL OR line_no <> 1) AND regexp_replace(coalesce(line, ''), '{_BLANK}', '', 'g') <> ''),
+f AS (SELECT *, CASE sep WHEN ';' THEN regexp_full_match(line, '(?s){_field(';')}(?:;{_field(';')})*') ELSE regexp_full_match(line, '(?s){_field(',')}(?:,{_field(',')})*') END AS formed FROM b),
+x AS (SELECT *, CASE sep WHEN ';' THEN regexp_extract_all(';' || line, '(?s);({_field(';')})', 1) ELSE regexp_extract_all(',' || line, '(?s),({_field(',')})', 1) END AS raw FROM f),
+w AS (SELECT *, list_transform(raw, lambda q: regexp_replace(CASE WHEN q[1] = '"' THEN replace(regexp_replace(q, '^"|"[ \t]*$', '', 'g'), '""', '"') ELSE q END, '^{_BLANK}+|{_BLANK}+$', '', 'g')) AS v FROM x),
+t AS (SELECT *, {", ".join(f"coalesce(v[list_position(cols, '{c}')], '') AS c_{c}" for c in (*TEXT, *GOALS, *NUMBERS))},
+  CASE sep WHEN ';' THEN ',' ELSE '\.' END AS point FROM w),
+k AS (SELECT *, CASE WHEN NOT formed THEN 'quoting' WHEN len(list_filter(v, lambda q: q <> '')) = 0 THEN 'skipped' WHEN len(v) <> len(cols) THEN 'column_count'
+  WHEN c_home_goals = '' AND c_away_goals = '' THEN 'skipped'
+  WHEN c_home = '' OR c_away = '' OR {" OR ".join(f"NOT regexp_full_match(c_{c}, '[0-9]+(?:' || point || '0+)?')" for c in GOALS)}
+    OR {" OR ".join(f"NOT regexp_full_match(c_{c}, '(?:[0-9]+(?:' || point || '[0-9]+)?)?')" for c in NUMBERS)} THEN 'bad_value' ELSE 'loaded' END AS verdict FROM t)"""
+_NUMBER = "TRY_CAST(CASE sep WHEN ';' THEN replace(c_{0}, ',', '.') ELSE c_{0} END AS DOUBLE)"
+
 SQL: dict[str, str] = {
+    "p2_found": _LINES + "\nSELECT line_id, verdict AS reason FROM k WHERE verdict IN ('quoting', 'column_count', 'bad_value')",
+    "p2_loaded": _LINES
+    + "\nSELECT line_id, file_name, line_no, "
+    + ", ".join([f"nullif(c_{c}, '') AS {c}" for c in TEXT] + [f"CAST({_NUMBER.format(c)} AS INTEGER) AS {c}" for c in GOALS] + [f"{_NUMBER.format(c)} AS {c}" for c in NUMBERS])
+    + " FROM k WHERE verdict = 'loaded'",
     "p3_found": """
 WITH one AS (
   SELECT edition_id, snapshot_no, match_id, home_goals, away_goals, lower(trim(status)) AS status FROM fixtures

@@ -53,11 +53,10 @@ def schedule_as_of(fixtures: DataFrame, sources: DataFrame, spellings: DataFrame
 
 
 def complete_editions(schedules: DataFrame) -> DataFrame:
-    """(edition_id, season) of editions with a whole schedule: 36 teams with four matches at home and four away."""
-    sides = schedules.select("edition_id", "season", F.posexplode(F.array("home", "away")).alias("away", "team"))
-    teams = sides.groupBy("edition_id", "team").agg(F.count("*").alias("n"), F.sum("away").alias("away"), F.max("season").alias("season"))
-    fine = F.bool_and((F.col("n") == 8) & (F.col("away") == 4))
-    return teams.groupBy("edition_id").agg(F.max("season").alias("season"), F.count("*").alias("teams"), fine.alias("fine")).where("teams = 36 and fine").select("edition_id", "season")
+    """(edition_id, season) of editions with a whole schedule: 36 teams with eight matches each."""
+    sides = schedules.select("edition_id", "season", F.explode(F.array("home", "away")).alias("team"))
+    teams = sides.groupBy("edition_id", "team").agg(F.count("*").alias("n"), F.max("season").alias("season"))
+    return teams.groupBy("edition_id").agg(F.max("season").alias("season"), F.count("*").alias("teams"), F.bool_and(F.col("n") == 8).alias("fine")).where("teams = 36 and fine").select("edition_id", "season")
 
 
 def training(matches: DataFrame, schedule: DataFrame, cutoff: str) -> DataFrame:
@@ -106,8 +105,9 @@ def coverage_report(history: DataFrame, teams: DataFrame, cutoff: str) -> tuple[
 def run(spark: SparkSession, matches: DataFrame, schedule: DataFrame, cutoff: str, simulations: int = 20_000, seed: int = 42, kind: str = "auto", state: dict | None = None, folds: int = 3, strict: bool = True) -> tuple[DataFrame, dict, dict]:
     """(probabilities, metadata, the rest of what is published) of a forecast as of the cutoff.
 
-    Sources that disagree about a score raise where ``strict``; else the schedule, then the later row counts, and the
-    metadata say how many there are.
+    Sources that disagree about a score, and teams without four matches at home and four away, raise where ``strict``;
+    else the schedule, then the later row counts, the metadata say how many scores are disputed, and venues may have
+    been switched.
     """
     if isinstance(simulations, bool) or not isinstance(simulations, int) or simulations < 100:
         raise ValueError("at least 100 simulations are needed")
@@ -127,6 +127,7 @@ def run(spark: SparkSession, matches: DataFrame, schedule: DataFrame, cutoff: st
         decision = {"selected_model": report["selected_model"], "ensemble_weight": rolling.ensemble_weight, "calibration": rolling.calibration}
     model = fit.fit_selected(history, cutoff, decision)
     season = season_of(schedule, model)
+    season.balanced = strict
     if state is not None:
         season = bracket_state.applied(season, state, cutoff)
     result = materialize(simulate.simulate(spark, season, simulations, seed), "probabilities")
@@ -146,6 +147,7 @@ def run(spark: SparkSession, matches: DataFrame, schedule: DataFrame, cutoff: st
         "seed": seed,
         "known_results": played[1],
         "disputed_scores": disputed,
+        "strict": strict,
         "history_matches": n,
         "latest_training_match": str(history.agg(F.max("date")).first()[0]),
         "evaluation": store.clean(report),
@@ -166,6 +168,7 @@ def reproduce(spark: SparkSession, root: str, name: str) -> dict:
     meta, folder = store.metadata(spark, root, name), store.Folder(spark, root)
     model = from_payload(json.loads(folder.read(name, "model.json")))
     season = season_of(spark.read.parquet(f"{path}/fixtures"), model)
+    season.balanced = meta["strict"]
     if folder.exists(name, "knockout.json"):
         season = bracket_state.applied(season, json.loads(folder.read(name, "knockout.json")), meta["cutoff"])
     fresh = simulate.simulate(spark, season, meta["simulations"], meta["seed"])
