@@ -149,13 +149,13 @@ def connected_to(pairs: DataFrame, seed: Column) -> DataFrame:
 
     edges = pairs.select(F.col("home").alias("a"), F.col("away").alias("b")).union(pairs.select(F.col("away").alias("a"), F.col("home").alias("b"))).where("a is not null and b is not null").distinct()
     edges = materialize(edges, "edges")
-    found = edges.where(F.col("a") == seed).select(F.col("a").alias("team")).distinct()
-    front = found = materialize(found, "found")
+    front = found = materialize(edges.where(F.col("a") == seed).select(F.col("a").alias("team")).distinct(), "front")
     while True:
-        front = materialize(edges.join(front.withColumnRenamed("team", "a"), "a").select(F.col("b").alias("team")).distinct().join(found, "team", "left_anti"), "front")
+        # A team reached in an earlier round is in one of the fronts, which are read as they were written.
+        front = materialize(edges.join(front.withColumnRenamed("team", "a"), "a", "left_semi").select(F.col("b").alias("team")).distinct().join(found, "team", "left_anti"), "front")
         if front.isEmpty():
             return found
-        found = materialize(found.union(front), "found")
+        found = found.union(front)
 
 
 def form_before(matches: DataFrame) -> DataFrame:

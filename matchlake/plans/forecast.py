@@ -150,6 +150,7 @@ def run(spark: SparkSession, matches: DataFrame, schedule: DataFrame, cutoff: st
         "strict": strict,
         "history_matches": n,
         "latest_training_match": str(history.agg(F.max("date")).first()[0]),
+        "data_state": {"fixtures": store.fingerprint(schedule), "history": store.fingerprint(history)},
         "evaluation": store.clean(report),
         "diagnostics": said,
         "warnings": sorted({*warnings, *thin, *said["warnings"]}),
@@ -197,7 +198,8 @@ def page_payload(spark: SparkSession, root: str) -> dict:
     open_ = model.outcomes(fixtures.where("home_goals is null").select("match_id", "home", "away")).select("match_id", "p_home", "p_draw", "p_away", "home_rate", "away_rate")
     games = fixtures.join(open_, "match_id", "left").orderBy("matchday", "date", "home")
     rows = lambda df: [r.asDict(True) for r in df.collect()]  # noqa: E731  36 teams, 144 matches, runs by hand
-    return {"run": name, "cutoff": meta["cutoff"], "teams": rows(own), "matches": rows(games), "history": rows(history), "model": model_summary(meta), "warnings": meta.get("warnings", [])[:12], "issues": rows(issues)}
+    picks = {"champion": [r["team"] for r in own.limit(2).collect()], "top8": own.orderBy(F.col("p_top8").desc(), "team").first()["team"]}
+    return {"run": name, "picks": picks, "cutoff": meta["cutoff"], "teams": rows(own), "matches": rows(games), "history": rows(history), "model": model_summary(meta), "warnings": meta.get("warnings", [])[:12], "issues": rows(issues)}
 
 
 def model_summary(meta: dict) -> dict:

@@ -432,17 +432,19 @@ pt AS (SELECT * FROM pm UNION ALL SELECT lam, 12, greatest(1 - sum(p), 0) FROM p
 gr AS (SELECT home, away, lh, la, CAST(a.k AS INTEGER) AS hg, CAST(b.k AS INTEGER) AS ag, a.p * b.p AS p FROM rt JOIN pt a ON a.lam = lh JOIN pt b ON b.lam = la)"""
 
 
-def _strengths(spark, d):
-    sides = M.by_side(M.before(_unique(spark, d), CUT)).withColumn("w", M.decay_weight(M.age_days(CUT), 365.0)).select("team", "w", "gf", "ga")
-    mean = sides.agg((F.sum(F.col("w") * F.col("gf")) / F.sum("w")).alias("m")).first()[0] or 1.0
-    drawn = lambda c: F.log((F.sum(F.col("w") * F.col(c)) + 5 * mean) / ((F.sum("w") + 5) * mean))
-    return sides.groupBy("team").agg(F.round(drawn("gf"), 9).alias("attack"), F.round(-drawn("ga"), 9).alias("defence"))
+def _strengths(unique):
+    sides = M.by_side(M.before(unique, CUT)).withColumn("w", M.decay_weight(M.age_days(CUT), 365.0)).select("team", "w", "gf", "ga")
+    per = materialize(sides.groupBy("team").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("gf")).alias("f"), F.sum(F.col("w") * F.col("ga")).alias("a")), "sides")
+    mean = per.agg(F.sum("f") / F.sum("w")).first()[0] or 1.0
+    drawn = lambda c: F.log((F.col(c) + 5 * mean) / ((F.col("w") + 5) * mean))
+    return per.select("team", F.round(drawn("f"), 9).alias("attack"), F.round(-drawn("a"), 9).alias("defence"))
 
 
 def _rates(spark, d, pairs=None):
-    base = M.baseline_rates(_unique(spark, d), CUT).first()
-    s = _strengths(spark, d)
-    pairs = pairs if pairs is not None else _unique(spark, d).where("competition = 'UCL'").select("home", "away").distinct()
+    unique = materialize(_unique(spark, d), "unique")
+    base = M.baseline_rates(unique, CUT).first()
+    s = _strengths(unique)
+    pairs = pairs if pairs is not None else unique.where("competition = 'UCL'").select("home", "away").distinct()
     rows = pairs.join(s.toDF("home", "ha", "hd"), "home", "left").join(s.toDF("away", "aa", "ad"), "away", "left")
     mu, adv, c, z = F.lit(round(base["intercept"], 9)), F.lit(round(base["advantage"], 9)), F.coalesce, F.lit(0.0)
     rates = [dist.link_rate(mu, adv, c("ha", z), c("ad", z)), dist.link_rate(mu, z, c("aa", z), c("hd", z))]

@@ -53,11 +53,14 @@ class Folder:
             stream.close()
 
     def write(self, text: str, *parts: str) -> None:
+        self.write_bytes(text.encode("utf-8"), *parts)
+
+    def write_bytes(self, content: bytes, *parts: str) -> None:
         """Through a file of another name that then takes the place of the old one."""
         path = self._path(self.path(*parts))
         draft = self._path(path.getParent(), f".{path.getName()}.{uuid.uuid4().hex}")
         stream = self._fs.create(draft, True)
-        stream.write(bytearray(text.encode("utf-8")))
+        stream.write(bytearray(content))
         stream.close()
         jvm = self.spark._jvm
         options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
@@ -84,6 +87,13 @@ class Folder:
         return {r["name"]: r["digest"] for r in rows if r["name"] != METADATA and not r["name"].split("/")[-1].startswith((".", "_"))}
 
 
+def fingerprint(df: DataFrame) -> str:
+    """The same for tables of the same rows, in whatever order and files."""
+    h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
+    r = df.agg(F.count("*"), F.bit_xor(h), F.sum(F.pmod(h, F.lit(2**31)))).first()
+    return "-".join(str(x) for x in r)
+
+
 def document(value: object) -> str:
     """UTF-8 JSON without NaN."""
     return json.dumps(value, ensure_ascii=False, indent=1, sort_keys=True, allow_nan=False)
@@ -138,7 +148,7 @@ RUN = "run_id string, cutoff string, created_at string, season string, matchday
 def catalogue(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(runs, issues): metadata of every readable generation, and those that are broken with the reason.
 
-    ``state`` is the hash of the run's input tables, the same for runs on the same data.
+    ``state`` names the run's input data, the same for runs on the same rows; without it cutoff and matchday do.
     """
     folder = Folder(spark, root)
     runs, issues = [], []
@@ -150,7 +160,7 @@ def catalogue(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
             if str(m["run_id"]) != name or folder.digests(name) != m["files"]:
                 raise ValueError("hash mismatch")
             day = m.get("matchday")
-            state = json.dumps(sorted((k, v) for k, v in m["files"].items() if k.split("/")[0] in ("fixtures", "history", "coverage")))
+            state = json.dumps(m["data_state"], sort_keys=True) if m.get("data_state") else f"{m.get('cutoff')}|{day}"
             runs.append((name, str(m.get("cutoff", "")), str(m.get("created_at", "")), str(m.get("season", "")), None if day is None else int(day), str(m.get("model", "")), state))
         except (OSError, ValueError, KeyError, TypeError) as e:
             issues.append((name, str(e)))

@@ -33,7 +33,6 @@ def local_session(cpus: int | None = None, **extra: str) -> SparkSession:
         "spark.sql.shuffle.partitions": str(n),
         "spark.driver.memory": "12g",
         "spark.driver.host": "127.0.0.1",
-        "spark.sql.warehouse.dir": "/tmp/matchlake-warehouse",
     } | extra
     spark = build_session(master=f"local[{n}]", **conf)
     spark.sparkContext.setLogLevel("ERROR")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -14,6 +15,7 @@ BROADCAST_ROWS = 20_000
 SALTS = 8
 
 _own_dirs: dict[str, str] = {}
+_scratch: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,13 +35,31 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dirs[app]
 
 
+def scratch(spark: SparkSession) -> str:
+    """The application's own folder under the shared one; :func:`release` and the end of the driver remove it."""
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        _scratch[app] = f"{shared_dir(spark)}/matchlake-{app}-{uuid.uuid4().hex[:8]}"
+        atexit.register(release, spark)
+    return _scratch[app]
+
+
+def release(spark: SparkSession) -> None:
+    """Removes what the application materialised; results that still read it must have been written before."""
+    context = spark.sparkContext
+    if context._jsc is None or context.applicationId not in _scratch:
+        return
+    path = context._jvm.org.apache.hadoop.fs.Path(_scratch.pop(context.applicationId))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` as parquet under the shared folder and read it again.
 
     Cuts the lineage with files every executor can read, so losing an executor costs no recomputation.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)

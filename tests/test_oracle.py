@@ -36,9 +36,55 @@ def test_same_rows(spark, data, name):
     assert rows[0] == rows[1]
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES.keys() - SQL.keys()))
-def test_runs(spark, data, name):
-    assert QUERIES[name](spark, data).count() >= 0
+def _unit(df, *columns):
+    return all(0 <= x <= 1 for c in columns for x in df[c])
+
+
+def _season(df):
+    places = {"p_top8": 8, "p_playoff": 16, "p_eliminated": 12}
+    return len(df) == 36 and all(abs(df[c].sum() - n) < 1e-3 for c, n in places.items()) and _unit(df, *places)
+
+
+def _champions(df):
+    return len(df) in (0, 36) and (df.empty or (_season(df) and abs(df["p_champion"].sum() - 1) < 1e-9 and abs(df["expected_rank"].sum() - 666) < 1e-6))
+
+
+#: What must hold of queries that have no twin.
+INVARIANTS = {
+    "p2_failures": lambda q, df: set(df["reason"]) <= {"quoting", "column_count", "bad_value"} and set(df["line_id"]) == set(q("p2_found")["line_id"]),
+    "p4_found": lambda q, df: df["utc"].str.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ").all() and not df.duplicated(["tbl", "row_id"]).any(),
+    "p4_undeclared": lambda q, df: (df["ambiguous"] + df["misread"] <= 0.1 * df["values"] + 5).all(),
+    "league_monte_carlo_full": lambda q, df: _season(df),
+    "projected_table_full": lambda q, df: sorted(df["place"]) == list(range(1, 37)),
+    "knockout_bracket": lambda q, df: _champions(df),
+    "conditioned_bracket": lambda q, df: _champions(df) and (df["p_round16"] == 1).sum() >= 9,
+    "season_forecast": lambda q, df: _champions(df),
+    "poisson_map_fit": lambda q, df: abs(df["attack"]).max() <= 4 and not df["team"].duplicated().any(),
+    "shot_blend_fit": lambda q, df: abs(df["attack"]).max() <= 4 and set(df["team"]) == set(q("poisson_map_fit")["team"]),
+    "low_score_fit": lambda q, df: abs(df["rho"][0]) <= 0.2 and abs(df["elo"][0]) <= 0.01,
+    "calibrator_fit": lambda q, df: len(df) <= 1 and (df.empty or abs(df["log_temperature"][0]) <= 1),
+    "elo_replay": lambda q, df: _unit(df, "expected") and not df.duplicated(["cutoff", "row_id"]).any() and (df["date"].astype(str) < df["cutoff"]).all(),
+    "elo_ratings": lambda q, df: df["rating"].between(1000, 2000).all(),
+    "league_offsets": lambda q, df: (df.assign(x=df["offset"] * df["evidence"]).groupby("cutoff")["x"].sum().abs() < 1e-6).all(),
+    "model_coverage": lambda q, df: set(df["issue"]) <= {"unknown", "sparse"},
+    "rolling_evaluation": lambda q, df: df.empty or (len(df) == 12 and _unit(df, "ece") and (df["log_loss"] > 0).all() and df.groupby("fold")["n"].nunique().eq(1).all()),
+    "model_decision": lambda q, df: len(df) == 1 and df["selected_model"][0] in ("poisson", "baseline", "low_score", "ensemble"),
+    "known_schedule": lambda q, df: not df.duplicated(["edition_id", "match_id"]).any() and (df["home_goals"].isna() == (df["status"] == "scheduled")).all(),
+}
+
+
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES.keys() - SQL.keys() if not n.endswith("_all")))
+def test_invariants(spark, data, name):
+    assert INVARIANTS[name](lambda other: QUERIES[other](spark, data).toPandas(), QUERIES[name](spark, data).toPandas())
+
+
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.endswith("_all")))
+def test_every_pair_holds_the_pairs_of_one_competition(spark, data, name):
+    every, some = QUERIES[name](spark, data), QUERIES[name.removesuffix("_all")](spark, data)
+    if "home" in every.columns:
+        assert some.exceptAll(every.select(*some.columns)).count() == 0 and every.count() > some.count()
+    else:
+        assert every.agg({"violations": "sum"}).first()[0] == 0
 
 
 def test_the_rest_imports_without_the_llm_subpackage():
