@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from matchlake.llm import leaks, mixing, names, quality, ranking, survivors
 from matchlake.operators import matches, standings
 from matchlake.plans import match_queries
-from matchlake.util import lookup_join, materialize, ntz_from_unix, table
+from matchlake.util import lookup_join, materialize, ntz_from_unix, scratch, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -24,16 +24,23 @@ _survivors: dict[tuple[str, str], DataFrame] = {}
 def shared_survivors(spark: SparkSession, d: str) -> DataFrame:
     """The survivors of p1 over a folder's tables, built once per application and read by every query that starts from
     them."""
-    key = spark.sparkContext.applicationId, d
+    key = scratch(spark), d  # released folders take what was shared with them
     if key not in _survivors:
         _survivors[key] = materialize(survivors.match_survivors(table(spark, d, "history"), table(spark, d, "teams"), table(spark, d, "sources")), "survivors")
     return _survivors[key]
 
 
-def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
+def any_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """The shared survivors where they exist already, else a plan of its own, of which only what is read is computed."""
+    if (scratch(spark), d) in _survivors:
+        return shared_survivors(spark, d)
     return survivors.match_survivors(table(spark, d, "history"), table(spark, d, "teams"), table(spark, d, "sources"))
 
 
+def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
+    return shared_survivors(spark, d)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return names.linked_sides(table(spark, d, "history"), table(spark, d, "teams"))
 
@@ -44,7 +51,7 @@ def p5_recall(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_ranking(spark: SparkSession, d: str) -> DataFrame:
     teams = table(spark, d, "teams")
-    outcomes = shared_survivors(spark, d).select(F.col("home_id").alias("a"), F.col("away_id").alias("b"), F.col("home_goals").alias("a_score"), F.col("away_goals").alias("b_score"))
+    outcomes = any_survivors(spark, d).select(F.col("home_id").alias("a"), F.col("away_id").alias("b"), F.col("home_goals").alias("a_score"), F.col("away_goals").alias("b_score"))
     strengths = ranking.spectral_ranking(outcomes)
     return ranking.ranked(teams.select(F.col("team_id").cast("bigint").alias("team_id"), "name"), strengths, "team_id")
 
@@ -103,7 +110,7 @@ def standings_curated(spark: SparkSession, d: str) -> DataFrame:
 def p6_agreement(spark: SparkSession, d: str) -> DataFrame:
     """(held_out, spectral, win_share): decided matches of a half kept back by a hash of their day and sides, and the
     shares of them that the ranking of the other half and its teams' mean margins foresee."""
-    rows = shared_survivors(spark, d).select(F.col("home_id").alias("a"), F.col("away_id").alias("b"), F.col("home_goals").alias("a_score"), F.col("away_goals").alias("b_score"), (F.xxhash64("day", "home_id", "away_id") % 2 == 0).alias("held"))
+    rows = any_survivors(spark, d).select(F.col("home_id").alias("a"), F.col("away_id").alias("b"), F.col("home_goals").alias("a_score"), F.col("away_goals").alias("b_score"), (F.xxhash64("day", "home_id", "away_id") % 2 == 0).alias("held"))
     return ranking.agreement(materialize(rows, "outcomes"), "held")
 
 
