@@ -1027,10 +1027,12 @@ def parse_results_rollover(spark, d):
 
 
 # The distribution queries above take the UCL's pairs, as their twins do; these take every pair of the table.
+EVERY_PAIR = (pair_rates, score_grid, grid_outcomes, skellam_outcomes, dixon_coles_grid, ensemble_mixture, calibrated_grid, sampled_scores, unpivot_probabilities, probability_checks)
 
 
 def _of_every_pair(f):
     return lambda spark, d: f(spark, d, _unique(spark, d).select("home", "away").distinct())
 
 
-QUERIES |= {f"{f.__name__}_all": _of_every_pair(f) for f in (pair_rates, score_grid, grid_outcomes, skellam_outcomes, dixon_coles_grid, ensemble_mixture, calibrated_grid, sampled_scores, unpivot_probabilities, probability_checks)}
+QUERIES |= {f"{f.__name__}_all": _of_every_pair(f) for f in EVERY_PAIR}
+SQL |= {f"{f.__name__}_all": SQL[f.__name__].replace("SELECT DISTINCT home, away FROM u WHERE competition = 'UCL'", "SELECT DISTINCT home, away FROM u") for f in EVERY_PAIR}
