@@ -16,9 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.llm.names import all_spellings
+from matchlake.llm.names import SPELLINGS, all_spellings
 from matchlake.operators.timestamps import read_timestamps
-from matchlake.util import lookup_join
+from matchlake.util import lookup_join, materialize
 
 DAY = 86_400
 KEY = ["day", "home_id", "away_id", "competition"]
@@ -34,13 +34,13 @@ def survivors(rows: DataFrame, key: list[str], order: list[Column], attributes:
 
 def match_rows(history: DataFrame, teams: DataFrame, sources: DataFrame, spellings: DataFrame | None = None) -> DataFrame:
     """``history`` with ``ts_seconds``, ``ts_has_time``, ``day``, ``home_id``, ``away_id`` and ``priority``."""
-    names = spellings if spellings is not None else all_spellings(history, teams)
+    names = materialize(spellings if spellings is not None else all_spellings(history, teams), "names")
     rows = read_timestamps(history.select("row_id", "date", "home", "away", "home_goals", "away_goals", "competition", "source", *[c for c in NUMBERS if c in history.columns], "retrieved_at"), sources)
     rows = rows.drop("ts_utc", "ts_reading", "ts_posterior", "ts_status")
     trust = sources.where("source is not null").groupBy("source").agg((-F.min("trust_rank")).alias("priority"))
     rows = lookup_join(rows, trust, ["source"])
-    rows = lookup_join(rows, names.select(F.col("typed").alias("home"), F.col("team_id").alias("home_id")), ["home"])
-    rows = lookup_join(rows, names.select(F.col("typed").alias("away"), F.col("team_id").alias("away_id")), ["away"])
+    rows = lookup_join(rows, names.select(F.col("typed").alias("home"), F.col("team_id").alias("home_id")), ["home"], limit=SPELLINGS, held=True)
+    rows = lookup_join(rows, names.select(F.col("typed").alias("away"), F.col("team_id").alias("away_id")), ["away"], limit=SPELLINGS, held=True)
     return rows.withColumn("day", F.floor(F.col("ts_seconds") / DAY))
 
 
