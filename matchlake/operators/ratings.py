@@ -18,7 +18,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchlake.operators import matches as M
 from matchlake.util import materialize
 
 MOST_MATCHES = 5_000_000
@@ -85,9 +84,18 @@ class _Earlier:
         return running[self._place(owner, at)] - running[self._place(owner, 0)]
 
 
+def _checked(games: pd.DataFrame) -> pd.DataFrame:
+    """The matches of a replay; a row that is no complete match raises, since every later rating would depend on it."""
+    needed = games[["date", "home", "away", "home_goals", "away_goals", "competition"]]
+    named = games["home"].fillna("").str.strip().ne("") & games["away"].fillna("").str.strip().ne("") & games["home"].ne(games["away"])
+    if needed.isna().any(axis=None) or not named.all() or (games[["home_goals", "away_goals"]] < 0).any(axis=None):
+        raise ValueError("a replay needs complete matches between two named sides")
+    return games
+
+
 def _fold(games: pd.DataFrame, c: RatingConfig) -> pd.DataFrame:
     """The rows of one cutoff's replay."""
-    games = games.sort_values(["date", "competition", "home", "away", "row_id"], kind="stable").reset_index(drop=True)
+    games = _checked(games).sort_values(["date", "competition", "home", "away", "row_id"], kind="stable").reset_index(drop=True)
     n = len(games)
     end = pd.Timestamp(games["cutoff"].iloc[0])
     age = np.maximum((end - games["date"]).dt.total_seconds().to_numpy(), 0.0) / 86_400

@@ -43,11 +43,10 @@ def drawn_scores(fixtures: DataFrame, simulations: int, seed: int) -> DataFrame:
 
     fixtures(fixture, home, away, home_rate, away_rate, home_goals, away_goals).
     """
-    spark = fixtures.sparkSession
     rows = fixtures.withColumns({"ch": cumulative(F.col("home_rate")), "ca": cumulative(F.col("away_rate"))})
-    sims = spark.range(simulations).withColumnRenamed("id", "sim")
-    # Every simulation plays every fixture: the product is the result itself, the fixtures are one season's.
-    each = sims.join(F.broadcast(rows)) if rows.limit(10_001).count() <= 10_000 else sims.crossJoin(rows)
+    # Every simulation plays every fixture: each fixture is written out once per simulation, spread before that.
+    rows = rows.repartition(fixtures.sparkSession.sparkContext.defaultParallelism, "fixture")
+    each = rows.withColumn("sim", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(simulations - 1).cast("bigint"))))
     u = lambda side: uniform(F.lit(seed), F.col("sim"), F.col("fixture"), F.lit(side))
     return each.select("sim", "fixture", "home", "away", F.coalesce("home_goals", inverse_cdf(F.col("ch"), u("h"))).alias("home_goals"), F.coalesce("away_goals", inverse_cdf(F.col("ca"), u("a"))).alias("away_goals"))
 

@@ -1,9 +1,10 @@
-"""Schemas of the match history and of schedules."""
+"""Schema of the match history."""
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# The columns records are exchanged in.
 CORE = ["date", "home", "away", "home_goals", "away_goals", "competition", "source"]
 OPTIONAL_NUMBERS = ["home_shots", "away_shots", "home_shots_on_target", "away_shots_on_target", "odds_home", "odds_draw", "odds_away", "home_xg", "away_xg"]
 HISTORY = T.StructType(
@@ -11,8 +12,3 @@ HISTORY = T.StructType(
     + [T.StructField(c, T.DoubleType()) for c in OPTIONAL_NUMBERS]
     + [T.StructField("odds_provider", T.StringType()), T.StructField("odds_semantics", T.StringType()), T.StructField("completed_at", T.TimestampNTZType())]
 )
-FIXTURES = T.StructType(
-    [T.StructField(c, T.StringType()) for c in ("match_id", "date", "season", "stage")]
-    + [T.StructField("matchday", T.IntegerType()), T.StructField("home", T.StringType()), T.StructField("away", T.StringType())]
-    + [T.StructField("home_goals", T.IntegerType()), T.StructField("away_goals", T.IntegerType()), T.StructField("status", T.StringType()), T.StructField("source", T.StringType())]
-)

@@ -231,6 +231,9 @@ def test_ratings_read_only_the_past(spark):
     with pytest.raises(ValueError):
         ratings.RatingConfig(k=-1).validate()
     assert ratings.replay(games.limit(0), [cut]).count() == 0
+    for column, bad in (("home_goals", F.lit(None).cast("int")), ("away_goals", F.lit(-1)), ("home", F.lit(" ")), ("away", F.col("home"))):
+        with pytest.raises(Exception, match="complete matches"):
+            ratings.replay(games.withColumn(column, F.when(F.col("row_id") == 5, bad).otherwise(F.col(column))), [cut]).count()
 
 
 def season(known=None):

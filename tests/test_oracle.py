@@ -45,7 +45,7 @@ def _season(df):
     return len(df) == 36 and all(abs(df[c].sum() - n) < 1e-3 for c, n in places.items()) and _unit(df, *places)
 
 
-def _champions(df):
+def _bracket(df):
     return len(df) in (0, 36) and (df.empty or (_season(df) and abs(df["p_champion"].sum() - 1) < 1e-9 and abs(df["expected_rank"].sum() - 666) < 1e-6))
 
 
@@ -56,9 +56,9 @@ INVARIANTS = {
     "p4_undeclared": lambda q, df: (df["ambiguous"] + df["misread"] <= 0.1 * df["values"] + 5).all(),
     "league_monte_carlo_full": lambda q, df: _season(df),
     "projected_table_full": lambda q, df: sorted(df["place"]) == list(range(1, 37)),
-    "knockout_bracket": lambda q, df: _champions(df),
-    "conditioned_bracket": lambda q, df: _champions(df) and (df["p_round16"] == 1).sum() >= 9,
-    "season_forecast": lambda q, df: _champions(df),
+    "knockout_bracket": lambda q, df: _bracket(df),
+    "conditioned_bracket": lambda q, df: _bracket(df) and (df["p_round16"] == 1).sum() >= 9,
+    "season_forecast": lambda q, df: _bracket(df),
     "poisson_map_fit": lambda q, df: abs(df["attack"]).max() <= 4 and not df["team"].duplicated().any(),
     "shot_blend_fit": lambda q, df: abs(df["attack"]).max() <= 4 and set(df["team"]) == set(q("poisson_map_fit")["team"]),
     "low_score_fit": lambda q, df: abs(df["rho"][0]) <= 0.2 and abs(df["elo"][0]) <= 0.01,
