@@ -1,17 +1,21 @@
-"""Models fitted from sufficient statistics: one Spark aggregate for all fits asked for, small solves on the driver.
+"""Models fitted from sufficient statistics: one Spark aggregate for all fits asked for, one task per solve.
 
-What reaches the driver is one row per ordered pair of teams that met and one per team and competition;
-:data:`MOST_PAIRS` bounds both and more raise. The ratings of low-score models are replayed, and their three parameters
-solved, in one task per cutoff.
+A task streams the statistics of its model, one row per ordered pair of teams that met and one per team and competition,
+into whole numbers and sums (some 100 bytes a pair). What reaches the driver is one row per team and model. The ratings of
+low-score models are replayed, and their three parameters solved, in one task per cutoff.
 """
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +25,6 @@ from matchlake.operators import ratings
 from matchlake.operators.models import Calibrated, GoalModel, LowScoreModel, Mixture, Model
 from matchlake.util import materialize
 
-MOST_PAIRS = 2_000_000
 BOUNDS = {"intercept": 3.0, "advantage": 1.5, "team": 2.5, "league": 1.5}
 #: What scoring is drawn to: goals of a side without advantage, the advantage, and the matches both count for.
 PRIOR_GOALS, PRIOR_ADVANTAGE, PRIOR_MATCHES = 1.35, 0.15, 10.0
@@ -47,11 +50,9 @@ class Spec:
         return self
 
 
-def _bounded(df: DataFrame) -> pd.DataFrame:
-    got = df.limit(MOST_PAIRS + 1).toPandas()
-    if len(got) > MOST_PAIRS:
-        raise ValueError("more rows of statistics than MOST_PAIRS; fit by league")
-    return got
+def _by_team(df: DataFrame) -> pd.DataFrame:
+    """Rows of a number that grows with teams alone, brought to the driver in Arrow form."""
+    return df.toArrow().to_pandas()
 
 
 def fit_goals(rows: DataFrame, specs: list[Spec], max_iter: int = 50) -> list[GoalModel]:
@@ -69,72 +70,116 @@ def fit_goals(rows: DataFrame, specs: list[Spec], max_iter: int = 50) -> list[Go
         known = F.col("date") < F.lit(s.cutoff).cast("timestamp_ntz")
         w = F.when(known, dist.decay_weight(M.age_days(s.cutoff), s.half_life))
         sums += [F.count_if(known).alias(f"n{i}"), F.sum(w).alias(f"w{i}"), F.sum(w * F.col(f"`__h{s.shot_blend}`")).alias(f"h{i}"), F.sum(w * F.col(f"`__a{s.shot_blend}`")).alias(f"a{i}")]
-    pairs = _bounded(rows.groupBy("home", "away").agg(*sums))
+    pairs = materialize(rows.groupBy("home", "away").agg(*sums), "pairs")
     domestic = M.by_side(rows).where(~M.european(F.col("competition")))
     cutoffs = sorted({s.cutoff for s in specs})
     played = [F.count_if(F.col("date") < F.lit(c).cast("timestamp_ntz")).alias(f"c{i}") for i, c in enumerate(cutoffs)]
-    leagues = _bounded(domestic.groupBy("team", "competition").agg(*played))
-    out = []
+    leagues = materialize(domestic.groupBy("team", "competition").agg(*played), "leagues")
+    every = None
     for i, s in enumerate(specs):
-        own = pairs[pairs[f"n{i}"] > 0]
-        stats = pd.DataFrame({"home": own["home"], "away": own["away"], **{c: own[f"{c}{i}"].astype(float) for c in ("n", "w", "h", "a")}})
-        mine = leagues[["team", "competition"]].assign(n=leagues[f"c{cutoffs.index(s.cutoff)}"])
-        mine = mine[mine["n"] > 0].sort_values(["team", "n", "competition"], ascending=[True, False, True]).drop_duplicates("team")
-        out.append(_solved(stats, dict(zip(mine["team"], mine["competition"], strict=True)), s, max_iter))
+        own = pairs.where(F.col(f"n{i}") > 0).select(F.lit(True).alias("met"), F.col("home").alias("one"), F.col("away").alias("other"), F.col(f"n{i}").alias("n"), *[F.col(f"{c}{i}").cast("double").alias(c) for c in ("w", "h", "a")])
+        c = f"c{cutoffs.index(s.cutoff)}"
+        mine = leagues.where(F.col(c) > 0).select(F.lit(False).alias("met"), F.col("team").alias("one"), F.col("competition").alias("other"), F.col(c).alias("n"), *[F.lit(None).cast("double").alias(x) for x in ("w", "h", "a")])
+        part = own.unionByName(mine).coalesce(1).mapInArrow(_solver(i, s, max_iter), _SOLVED)
+        every = part if every is None else every.unionByName(part)
+    if every is None:
+        return []
+    got = materialize(every, "fits")
+    heads = {r["spec"]: json.loads(r["head"]) for r in got.where("team is null").select("spec", "head").collect()}  # a row per model
+    rest = _by_team(got.where("team is not null").drop("head").orderBy("spec", "team"))
+    out = []
+    for i in range(len(specs)):
+        t = rest[rest["spec"] == i]
+        known = t[t["attack"].notna()]
+        out.append(GoalModel(**heads[i], attack=dict(zip(known["team"], known["attack"].tolist(), strict=True)), defence=dict(zip(known["team"], known["defence"].tolist(), strict=True)), coverage={k: [n, w] for k, n, w in zip(t["team"], t["n"].tolist(), t["w"].tolist(), strict=True)}))
     return out
 
 
-def _solved(stats: pd.DataFrame, league_of: dict[str, str], s: Spec, max_iter: int) -> GoalModel:
-    total = float(stats["w"].sum())
-    home_rate = (float(stats["h"].sum()) + PRIOR_MATCHES * PRIOR_GOALS * math.exp(PRIOR_ADVANTAGE)) / (total + PRIOR_MATCHES)
-    away_rate = (float(stats["a"].sum()) + PRIOR_MATCHES * PRIOR_GOALS) / (total + PRIOR_MATCHES)
-    sides = pd.concat([stats[["home", "n", "w"]].set_axis(["team", "n", "w"], axis=1), stats[["away", "n", "w"]].set_axis(["team", "n", "w"], axis=1)]).groupby("team").sum()
-    coverage = {t: [float(r.n), float(r.w)] for t, r in sides.iterrows()}
-    base = GoalModel(math.log(away_rate), math.log(home_rate / away_rate), coverage=coverage, model_type="baseline")
+_SOLVED = "spec int, team string, n double, w double, attack double, defence double, head string"
+
+
+def _solver(i: int, s: Spec, max_iter: int):
+    """The task that solves model ``i``: its pairs and leagues come in batches, its head and teams go out as rows."""
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: dict[str, int] = {}
+        league_of: dict[str, tuple[float, str]] = {}
+        parts: list[list[np.ndarray]] = [[np.zeros(0, np.int32)] * 2 + [np.zeros(0)] * 4]
+
+        def numbers(names: pa.Array) -> np.ndarray:
+            coded = names.dictionary_encode()
+            return np.array([ids.setdefault(x, len(ids)) for x in coded.dictionary.to_pylist()], np.int32)[coded.indices.to_numpy(zero_copy_only=False)]
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            own = t.filter(t["met"])
+            if len(own):
+                parts.append([numbers(own[c].combine_chunks()) for c in ("one", "other")] + [own[c].to_numpy().astype(float) for c in ("n", "w", "h", "a")])
+            for team, league, n in zip(*(t.filter(pc.invert(t["met"]))[c].to_pylist() for c in ("one", "other", "n")), strict=True):
+                league_of[team] = min(league_of.get(team, (0, "")), (-n, league))
+        teams = sorted(ids)
+        place = np.empty(len(ids), np.int64)
+        place[[ids[t] for t in teams]] = np.arange(len(ids))
+        columns = [np.concatenate([x[k] for x in parts]) for k in range(6)]
+        del parts
+        columns[:2] = [place[c] for c in columns[:2]]
+        order = np.lexsort((columns[1], columns[0]))  # whatever order the files have
+        head, values = _solved([c[order] for c in columns], teams, [league_of.get(t, (0, "OTHER"))[1] for t in teams], s, max_iter)
+        schema = pa.schema([("spec", pa.int32()), ("team", pa.string()), *[(c, pa.float64()) for c in ("n", "w", "attack", "defence")], ("head", pa.string())])
+        yield pa.RecordBatch.from_pylist([{"spec": i, "head": json.dumps(head)}], schema=schema)
+        if teams:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(teams), i, np.int32)), pa.array(teams, pa.string()), *[pa.array(v, pa.float64(), from_pandas=True) for v in values], pa.nulls(len(teams), pa.string())], schema=schema)
+
+    return solve
+
+
+def _solved(stats: list[np.ndarray], teams: list[str], league: list[str], s: Spec, max_iter: int) -> tuple[dict, list[np.ndarray]]:
+    """(what a model has besides teams, [matches, weight, attack, defence] by team) of ``stats``: home and away numbers,
+    matches, weights and weighted goals of each pair."""
+    h, a, met, w, wh, wa = stats
+    total, n = float(w.sum()), len(teams)
+    home_rate = (float(wh.sum()) + PRIOR_MATCHES * PRIOR_GOALS * math.exp(PRIOR_ADVANTAGE)) / (total + PRIOR_MATCHES)
+    away_rate = (float(wa.sum()) + PRIOR_MATCHES * PRIOR_GOALS) / (total + PRIOR_MATCHES)
+    base = {"intercept": math.log(away_rate), "advantage": math.log(home_rate / away_rate), "converged": True, "warnings": [], "model_type": "baseline"}
+    unknown = np.full(n, np.nan)
+    coverage = [np.bincount(h, x, n) + np.bincount(a, x, n) for x in (met, w)]
     if s.kind == "baseline":
-        return base
-    if stats.empty:
-        base.model_type, base.converged = "prior_only", False
-        return base
-    teams = sorted(coverage)
-    names = sorted({league_of.get(t, "OTHER") for t in teams})
-    n, k = len(teams), len(names)
-    at = {t: i for i, t in enumerate(teams)}
-    place = {x: i for i, x in enumerate(names)}
-    lg = np.array([place[league_of.get(t, "OTHER")] for t in teams])
-    h, a = stats["home"].map(at).to_numpy(), stats["away"].map(at).to_numpy()
-    w, wh, wa = (stats[c].to_numpy(float) for c in ("w", "h", "a"))
-    m, size = len(stats), 2 + 2 * n + 2 * k
+        return base, [*coverage, unknown, unknown]
+    if not len(w):
+        return base | {"model_type": "prior_only", "converged": False}, [*coverage, unknown, unknown]
+    names = sorted(set(league))
+    k, place = len(names), {x: i for i, x in enumerate(names)}
+    lg = np.array([place[x] for x in league])
+    size = 2 + 2 * n + 2 * k
     centre = np.zeros(size)
     centre[:2] = math.log(PRIOR_GOALS), PRIOR_ADVANTAGE
     penalty = np.concatenate([np.full(2, PRIOR_MATCHES), np.full(2 * n, s.team_penalty), np.full(2 * k, s.league_penalty)])
     bound = np.concatenate([[BOUNDS["intercept"], BOUNDS["advantage"]], np.full(2 * n, BOUNDS["team"]), np.full(2 * k, BOUNDS["league"])])
-    # Each rate is a signed sum of six parameters; sparse products are gathers and weighted counts over these indices.
-    zero = np.zeros(m, int)
-    home = np.stack([zero, zero + 1, 2 + h, 2 + n + a, 2 + 2 * n + lg[h], 2 + 2 * n + k + lg[a]])
-    away = np.stack([zero, zero, 2 + a, 2 + n + h, 2 + 2 * n + lg[a], 2 + 2 * n + k + lg[h]])
-    halves = ((home, np.array([1, 1, 1, -1, 1, -1.0]), wh), (away, np.array([1, 0, 1, -1, 1, -1.0]), wa))
 
-    def value(x: np.ndarray) -> float:
-        return sum(float(np.sum(w * np.exp(e) - target * e)) for e, target in ((x[i].T @ sign, t) for i, sign, t in halves)) + 0.5 * float(np.sum(penalty * (x - centre) ** 2))
+    # A rate is intercept, advantage at home, the attack of a side and its league, less the defence of the other's: sums by
+    # team first, so a pair is touched once per side.
+    def linear(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        attack, defence = x[2 : 2 + n] + x[2 + 2 * n : 2 + 2 * n + k][lg], x[2 + n : 2 + 2 * n] + x[2 + 2 * n + k :][lg]
+        return x[0] + x[1] + attack[h] - defence[a], x[0] + attack[a] - defence[h]
+
+    def spread(home: np.ndarray, away: np.ndarray, sign: float = -1.0) -> np.ndarray:
+        attack, defence = np.bincount(h, home, n) + np.bincount(a, away, n), sign * (np.bincount(a, home, n) + np.bincount(h, away, n))
+        return np.concatenate([[home.sum() + away.sum(), home.sum()], attack, defence, np.bincount(lg, attack, k), np.bincount(lg, defence, k)])
 
-    def spread(index: np.ndarray, sign: np.ndarray, v: np.ndarray) -> np.ndarray:
-        return np.bincount(index.ravel(), (sign[:, None] * v).ravel(), size)
+    def value(x: np.ndarray) -> float:
+        return sum(float(np.sum(w * np.exp(e) - target * e)) for e, target in zip(linear(x), (wh, wa), strict=True)) + 0.5 * float(np.sum(penalty * (x - centre) ** 2))
 
     def newton_step(gradient: np.ndarray, free: np.ndarray, mus: list[np.ndarray]) -> np.ndarray:
         """Conjugate gradients over the free values, scaled by the diagonal; the Hessian, which grows with the square of
         the teams, is never made."""
-        scale = penalty + sum(spread(i, np.abs(sign), mu) for (i, sign, _), mu in zip(halves, mus, strict=True))
+        scale = penalty + spread(*mus, 1.0)
         step, r = np.zeros(size), np.where(free, gradient, 0.0)
         z = r / scale
         d, rz, goal = z, r @ z, 1e-8 * np.linalg.norm(r)
         for _ in range(10 * size):
             if np.linalg.norm(r) <= goal:
                 break
-            q = penalty * d
-            for (i, sign, _), mu in zip(halves, mus, strict=True):
-                q = q + spread(i, sign, mu * (d[i].T @ sign))
-            q = np.where(free, q, 0.0)
+            q = np.where(free, penalty * d + spread(*[mu * e for mu, e in zip(mus, linear(d), strict=True)]), 0.0)
             alpha = rz / (d @ q)
             step, r = step + alpha * d, r - alpha * q
             z = r / scale
@@ -142,12 +187,12 @@ def _solved(stats: pd.DataFrame, league_of: dict[str, str], s: Spec, max_iter: i
         return step
 
     x, done = np.zeros(size), False
-    x[:2] = base.intercept, base.advantage
+    x[:2] = base["intercept"], base["advantage"]
     for it in range(max_iter):
-        mus = [w * np.exp(x[i].T @ sign) for i, sign, _ in halves]
-        gradient = penalty * (x - centre) + sum(spread(i, sign, mu - t) for (i, sign, t), mu in zip(halves, mus, strict=True))
+        mus = [w * np.exp(e) for e in linear(x)]
+        gradient = penalty * (x - centre) + spread(mus[0] - wh, mus[1] - wa)
         free = ~(((x >= bound) & (gradient < 0)) | ((x <= -bound) & (gradient > 0)))
-        if np.max(np.abs(gradient[free]), initial=0.0) < 1e-8 * max(1.0, float(w.sum())):
+        if np.max(np.abs(gradient[free]), initial=0.0) < 1e-8 * max(1.0, total):
             done = it > 0
             break
         step, scale, now = newton_step(gradient, free, mus), 1.0, value(x)
@@ -155,12 +200,9 @@ def _solved(stats: pd.DataFrame, league_of: dict[str, str], s: Spec, max_iter: i
             scale /= 2
         x = np.clip(x - scale * step, -bound, bound)
     if not done:
-        base.converged = False
-        base.warnings.append("the goal model did not converge; baseline rates are used")
-        return base
-    attack = {t: float(x[2 + i] + x[2 + 2 * n + lg[i]]) for t, i in at.items()}
-    defence = {t: float(x[2 + n + i] + x[2 + 2 * n + k + lg[i]]) for t, i in at.items()}
-    return GoalModel(float(x[0]), float(x[1]), attack, defence, coverage)
+        return base | {"converged": False, "warnings": ["the goal model did not converge; baseline rates are used"]}, [*coverage, unknown, unknown]
+    attack, defence = x[2 : 2 + n] + x[2 + 2 * n : 2 + 2 * n + k][lg], x[2 + n : 2 + 2 * n] + x[2 + 2 * n + k :][lg]
+    return {"intercept": float(x[0]), "advantage": float(x[1]), "converged": True, "warnings": [], "model_type": "poisson"}, [*coverage, attack, defence]
 
 
 def fit_baseline(rows: DataFrame, cutoff: str, half_life: float = 365.0) -> GoalModel:
@@ -254,7 +296,7 @@ def fit_low_scores(rows: DataFrame, cutoffs: list[str], penalty: float = 8.0, bo
         return pd.DataFrame([(pdf["cutoff"].iloc[0], *map(float, x), ok)], columns=["cutoff", "elo", "league", "rho", "ok"])
 
     solved = {r["cutoff"]: r for r in every.join(scores, "row_id").groupBy("cutoff").applyInPandas(solve, "cutoff string, elo double, league double, rho double, ok boolean").collect()}
-    finals, shared = _bounded(teams), _bounded(leagues)
+    finals, shared = _by_team(teams), _by_team(leagues)
     out = []
     for cutoff, base in zip(cutoffs, bases, strict=True):
         t, g = finals[finals["cutoff"] == cutoff], shared[shared["cutoff"] == cutoff]

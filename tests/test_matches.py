@@ -93,6 +93,16 @@ def test_poisson_fit_is_the_minimum_of_its_objective(spark):
             assert model.attack[t] == pytest.approx(effect - residual[t] / 5.0, abs=1e-5)
 
 
+def test_fits_bring_teams_and_not_pairs_to_the_driver(spark, monkeypatch):
+    rows = M.valid_matches(history(spark, 1500, teams=30))
+    frame, got = type(rows), []
+    for name, size in (("toPandas", len), ("collect", len), ("toArrow", lambda t: t.num_rows)):
+        plain = getattr(frame, name)
+        monkeypatch.setattr(frame, name, lambda self, plain=plain, size=size: got.append(size(out := plain(self))) or out)
+    model = fit.fit_poisson(rows, CUT)
+    assert model.converged and len(model.attack) == 30 and max(got) <= 60 < rows.select("home", "away").distinct().count()
+
+
 def test_models_nest_and_give_grids(spark):
     rows = M.valid_matches(history(spark, 800))
     goal, low = fit.fit_poisson(rows, CUT), fit.fit_low_score(rows, CUT)
