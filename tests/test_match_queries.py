@@ -45,3 +45,9 @@ def test_every_pair_gets_rates(spark, data):
     ucl = {(r["home"], r["away"]): r["lh"] for r in QUERIES["pair_rates"](spark, data).collect()}
     assert set(got) == pairs and len(ucl) < len(got) and all(got[k] == v for k, v in ucl.items())
     assert QUERIES["grid_outcomes_all"](spark, data).count() == len(pairs)
+
+
+def test_cells_of_a_mixture_are_not_shuffled(spark, data):
+    plan = QUERIES["ensemble_mixture_all"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Generate")]
+    assert "Aggregate" not in above and "Join" not in above
