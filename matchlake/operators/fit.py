@@ -1,7 +1,7 @@
 """Models fitted from sufficient statistics: one Spark aggregate for all fits asked for, one task per solve.
 
 A task streams the statistics of its model, one row per ordered pair of teams that met and one per team and competition,
-into whole numbers and sums (some 100 bytes a pair). What reaches the driver is one row per team and model. The ratings of
+into whole numbers and sums. What reaches the driver is one row per team and model. The ratings of
 low-score models are replayed, and their three parameters solved, in one task per cutoff.
 """
 
