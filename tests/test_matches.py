@@ -246,6 +246,20 @@ def test_ratings_read_only_the_past(spark):
             ratings.replay(games.withColumn(column, F.when(F.col("row_id") == 5, bad).otherwise(F.col(column))), [cut]).count()
 
 
+def test_a_replay_never_holds_its_matches_as_one_frame(spark, monkeypatch):
+    frame = []
+    plain = ratings._checked
+    monkeypatch.setattr(ratings, "BATCH", 100)
+    monkeypatch.setattr(ratings, "_checked", lambda pdf: frame.append(len(pdf)) or plain(pdf))
+    games = rated_games(spark, 1000).toArrow()
+    out = list(ratings._folding("2025-01-01 00:00:00", ratings.RatingConfig())(iter(games.to_batches(max_chunksize=50))))
+    kinds = [b["kind"][0].as_py() for b in out]
+    assert max(frame) == 50 and kinds.count("match") == 10 and max(b.num_rows for b in out) == 100
+    got = ratings.replay(rated_games(spark, 1000), ["2025-01-01 00:00:00"]).toPandas().sort_values("row_id")
+    rows = pd.concat([b.to_pandas() for b, k in zip(out, kinds, strict=True) if k == "match"]).sort_values("row_id")
+    assert len(got) == 1000 and np.array_equal(got["expected"], rows["expected"]) and got["home"].tolist() == rows["home"].tolist()
+
+
 def season(known=None):
     n = 36
     home, away = zip(*[(i, 18 + (i + d) % 18) if d % 2 == 0 else (18 + (i + d) % 18, i) for d in range(8) for i in range(18)], strict=True)
