@@ -23,7 +23,7 @@ from matchlake.functions import dist
 from matchlake.operators import matches as M
 from matchlake.operators import ratings
 from matchlake.operators.models import Calibrated, GoalModel, LowScoreModel, Mixture, Model
-from matchlake.util import materialize
+from matchlake.util import materialize, materialize_apart
 
 BOUNDS = {"intercept": 3.0, "advantage": 1.5, "team": 2.5, "league": 1.5}
 #: What scoring is drawn to: goals of a side without advantage, the advantage, and the matches both count for.
@@ -75,16 +75,15 @@ def fit_goals(rows: DataFrame, specs: list[Spec], max_iter: int = 50) -> list[Go
     cutoffs = sorted({s.cutoff for s in specs})
     played = [F.count_if(F.col("date") < F.lit(c).cast("timestamp_ntz")).alias(f"c{i}") for i, c in enumerate(cutoffs)]
     leagues = materialize(domestic.groupBy("team", "competition").agg(*played), "leagues")
-    every = None
+    parts = []
     for i, s in enumerate(specs):
         own = pairs.where(F.col(f"n{i}") > 0).select(F.lit(True).alias("met"), F.col("home").alias("one"), F.col("away").alias("other"), F.col(f"n{i}").alias("n"), *[F.col(f"{c}{i}").cast("double").alias(c) for c in ("w", "h", "a")])
         c = f"c{cutoffs.index(s.cutoff)}"
         mine = leagues.where(F.col(c) > 0).select(F.lit(False).alias("met"), F.col("team").alias("one"), F.col("competition").alias("other"), F.col(c).alias("n"), *[F.lit(None).cast("double").alias(x) for x in ("w", "h", "a")])
-        part = own.unionByName(mine).coalesce(1).mapInArrow(_solver(i, s, max_iter), _SOLVED)
-        every = part if every is None else every.unionByName(part)
-    if every is None:
+        parts.append(own.unionByName(mine).coalesce(1).mapInArrow(_solver(i, s, max_iter), _SOLVED))
+    if not parts:
         return []
-    got = materialize(every, "fits")
+    got = materialize_apart(parts, "fits")
     heads = {r["spec"]: json.loads(r["head"]) for r in got.where("team is null").select("spec", "head").collect()}  # a row per model
     rest = _by_team(got.where("team is not null").drop("head").orderBy("spec", "team"))
     out = []

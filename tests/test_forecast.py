@@ -122,6 +122,18 @@ def test_a_calibration_is_promoted_only_on_an_unseen_fold(spark):
     assert selection.calibration(spark.createDataFrame(fold(0, 20, True), schema), 3)["reason"] == "insufficient_class_coverage"
 
 
+def test_forecasts_are_written_fold_by_fold(spark, monkeypatch):
+    written = []
+    plain = selection.materialize
+    monkeypatch.setattr(selection, "materialize", lambda df, label: written.append(label) or plain(df, label))
+    monkeypatch.setattr(selection.fit, "fit_goals", lambda rows, specs: [None] * len(specs))
+    monkeypatch.setattr(selection.fit, "fit_low_scores", lambda rows, starts, bases: [None] * len(starts))
+    monkeypatch.setattr(selection, "forecast", lambda fitted, test, **names: test.select(F.lit(names["fold"]).alias("fold"), "row_id"))
+    rows = spark.createDataFrame(played(60), HISTORY)
+    got = selection.fold_forecasts(rows, rows, [("2023-01-01 00:00:00", "2023-01-20 00:00:00"), ("2023-01-20 00:00:00", "2023-03-01 00:00:00")], "UCL")
+    assert written == ["forecasts"] * 2 and {r["fold"]: r["count"] for r in got.groupBy("fold").count().collect()}.keys() == {0, 1}
+
+
 def test_disputed_scores_raise_where_asked(spark):
     rows = spark.createDataFrame(played(200), HISTORY)
     schedule = rows.limit(1).select("row_id", "date", "home", "away", (F.col("home_goals") + 1).alias("home_goals"), "away_goals", F.lit("finished").alias("status"), F.lit(1).alias("matchday"), F.lit("x").alias("season"))

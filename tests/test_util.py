@@ -20,3 +20,10 @@ def test_salted_and_broadcast_lookups_agree(spark):
     lookup = spark.createDataFrame([(0, "a"), (1, "b")], "k int, name string")
     one, two = (sorted(map(str, util.lookup_join(big, lookup, ["k"], limit=n).collect())) for n in (10, 0))
     assert one == two and len(one) == 200
+
+
+def test_single_tasks_of_a_union_run_apart(spark):
+    base = util.materialize(spark.range(100), "base")
+    parts = [base.where(f"id >= {i}").coalesce(1).mapInArrow(lambda batches: batches, "id bigint") for i in range(3)]
+    got = util.materialize_apart(parts)
+    assert len(got.inputFiles()) == 3 and got.count() == 297 and spark.conf.get("spark.sql.unionOutputPartitioning", None) is None
