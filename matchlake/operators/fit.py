@@ -1,7 +1,7 @@
 """Models fitted from sufficient statistics: one Spark aggregate for all fits asked for, one task per solve.
 
 A task streams the statistics of its model, one row per ordered pair of teams that met and one per team and competition,
-into whole numbers and sums. What reaches the driver is one row per team and model. The ratings of
+into whole numbers and sums. What reaches the driver is one row per model; teams stay in tables. The ratings of
 low-score models are replayed, and their three parameters solved, in one task per cutoff.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from matchlake.functions import dist
 from matchlake.operators import matches as M
 from matchlake.operators import ratings
-from matchlake.operators.models import Calibrated, GoalModel, LowScoreModel, Mixture, Model
+from matchlake.operators.models import ByTeam, Calibrated, GoalModel, LowScoreModel, Mixture, Model
 from matchlake.util import materialize, materialize_apart
 
 BOUNDS = {"intercept": 3.0, "advantage": 1.5, "team": 2.5, "league": 1.5}
@@ -50,11 +50,6 @@ class Spec:
         return self
 
 
-def _by_team(df: DataFrame) -> pd.DataFrame:
-    """Rows of a number that grows with teams alone, brought to the driver in Arrow form."""
-    return df.toArrow().to_pandas()
-
-
 def fit_goals(rows: DataFrame, specs: list[Spec], max_iter: int = 50) -> list[GoalModel]:
     """Baseline or maximum a posteriori Poisson models, all from one pass over the matches."""
     for s in specs:
@@ -84,13 +79,13 @@ def fit_goals(rows: DataFrame, specs: list[Spec], max_iter: int = 50) -> list[Go
     if not parts:
         return []
     got = materialize_apart(parts, "fits")
-    heads = {r["spec"]: json.loads(r["head"]) for r in got.where("team is null").select("spec", "head").collect()}  # a row per model
-    rest = _by_team(got.where("team is not null").drop("head").orderBy("spec", "team"))
+    heads = {r["spec"]: r for r in got.groupBy("spec").agg(F.max("head").alias("head"), F.count("team").alias("teams"), F.count("attack").alias("rated")).collect()}  # a row per model
     out = []
     for i in range(len(specs)):
-        t = rest[rest["spec"] == i]
-        known = t[t["attack"].notna()]
-        out.append(GoalModel(**heads[i], attack=dict(zip(known["team"], known["attack"].tolist(), strict=True)), defence=dict(zip(known["team"], known["defence"].tolist(), strict=True)), coverage={k: [n, w] for k, n, w in zip(t["team"], t["n"].tolist(), t["w"].tolist(), strict=True)}))
+        own, r = got.where(F.col("spec") == i), heads[i]
+        known, met = own.where("attack is not null"), own.where("team is not null")
+        attack, defence = (ByTeam(known, r["rated"], "team", c) if r["rated"] else {} for c in ("attack", "defence"))
+        out.append(GoalModel(**json.loads(r["head"]), attack=attack, defence=defence, coverage=ByTeam(met, r["teams"], "team", "n", "w")))
     return out
 
 
@@ -295,12 +290,19 @@ def fit_low_scores(rows: DataFrame, cutoffs: list[str], penalty: float = 8.0, bo
         return pd.DataFrame([(pdf["cutoff"].iloc[0], *map(float, x), ok)], columns=["cutoff", "elo", "league", "rho", "ok"])
 
     solved = {r["cutoff"]: r for r in every.join(scores, "row_id").groupBy("cutoff").applyInPandas(solve, "cutoff string, elo double, league double, rho double, ok boolean").collect()}
-    finals, shared = _by_team(teams), _by_team(leagues)
+    offsets = leagues.select("cutoff", F.col("name").alias("league"), "offset")
+    finals = teams.select("cutoff", F.col("name").alias("team"), "rating", "league").join(offsets, ["cutoff", "league"], "left").withColumn("offset", F.coalesce("offset", F.lit(0.0)))
+    finals = materialize(finals, "ratings")
+    sizes = {r["cutoff"]: r for r in finals.groupBy("cutoff").agg(F.count("*").alias("teams"), F.count("league").alias("placed")).collect()}  # a row per cutoff
+    shared = {r["cutoff"]: r["n"] for r in offsets.groupBy("cutoff").agg(F.count("*").alias("n")).collect()}
     out = []
     for cutoff, base in zip(cutoffs, bases, strict=True):
-        t, g = finals[finals["cutoff"] == cutoff], shared[shared["cutoff"] == cutoff]
-        r = solved.get(cutoff)
-        model = LowScoreModel(base, dict(zip(t["name"], t["rating"], strict=True)), dict(zip(g["name"], g["offset"], strict=True)), {k: v for k, v in zip(t["name"], t["league"], strict=True) if v is not None})
+        t, g = finals.where(F.col("cutoff") == cutoff), offsets.where(F.col("cutoff") == cutoff)
+        r, n = solved.get(cutoff), sizes.get(cutoff)
+        model = LowScoreModel(base)
+        if n is not None:
+            model.ratings, model.leagues = ByTeam(t, n["teams"], "team", "rating"), ByTeam(t.where("league is not null"), n["placed"], "team", "league")
+            model.offsets = ByTeam(g, shared.get(cutoff, 0), "league", "offset")
         if r is None or not r["ok"] or not base.converged:
             model.converged = False
             model.warnings.append("the low-score model did not converge; goals are taken as independent")

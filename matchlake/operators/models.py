@@ -1,7 +1,8 @@
 """Score models: what they know of teams, the rates and score grids they give to pairs, and their JSON.
 
 Every model adds ``home_rate``, ``away_rate`` and ``grid`` to ``pairs(home, away[, neutral])``; evaluation, sampling and
-simulation use nothing else. Rates are joins and column expressions; the grids of a model, however nested, are made from
+simulation use nothing else. What a fitted model knows of teams stays in a table that the rates join; only its JSON, and
+whoever asks for single teams, brings it to the driver. Rates are joins and column expressions; the grids of a model, however nested, are made from
 the rates in one pass over Arrow batches. Models nest: a mixture holds models, a calibrated model holds one, and so does
 their JSON.
 """
@@ -10,7 +11,8 @@ from __future__ import annotations
 
 import json
 import math
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -26,10 +28,38 @@ MIN_MATCHES = 5.0
 INITIAL_RATING = 1500.0
 
 
-def _with_team(pairs: DataFrame, side: str, rows: list[tuple], schema: str) -> DataFrame:
-    """Left-joins a relation of teams whose size the driver knows to one side of ``pairs``."""
-    known = pairs.sparkSession.createDataFrame(rows, f"{side} string, {schema}")
-    return pairs.join(F.broadcast(known), side, "left") if len(rows) <= BROADCAST_ROWS else salted_join(pairs, known, [side])
+class ByTeam(Mapping):
+    """A value by team, or several as a list, in ``rows`` rows of a table; read into the driver when one is asked for."""
+
+    def __init__(self, table: DataFrame, rows: int, key: str, *values: str) -> None:
+        self.table, self.rows, self.key, self.values_of = table, rows, key, values
+        self._read: dict | None = None
+
+    def _all(self) -> dict:
+        if self._read is None:
+            t = self.table.select(self.key, *self.values_of).toArrow()
+            columns = [t[c].to_pylist() for c in self.values_of]
+            self._read = dict(sorted(zip(t[self.key].to_pylist(), columns[0] if len(columns) == 1 else map(list, zip(*columns, strict=True)), strict=True)))
+        return self._read
+
+    def __getitem__(self, team: str) -> object:
+        return self._all()[team]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._all())
+
+    def __len__(self) -> int:
+        return self.rows
+
+
+def _plain(fields: dict) -> dict:
+    return {k: dict(v) if isinstance(v, ByTeam) else v for k, v in fields.items()}
+
+
+def _with_team(pairs: DataFrame, side: str, known: DataFrame, rows: int, *names: str) -> DataFrame:
+    """Left-joins ``known``, teams and values in ``rows`` rows, to one side of ``pairs``, the values under ``names``."""
+    known = known.toDF(side, *names)
+    return pairs.join(F.broadcast(known), side, "left") if rows <= BROADCAST_ROWS else salted_join(pairs, known, [side])
 
 
 def _zero(c: str) -> Column:
@@ -55,8 +85,10 @@ class Model:
     def grids(self, pairs: DataFrame) -> DataFrame:
         """Adds the rates, ``grid`` and its outcomes ``p_home``, ``p_draw``, ``p_away``; a grid that is none raises."""
 
+        own = self.bare()
+
         def make(pdf: pd.DataFrame) -> dict[str, object]:
-            h, a, g = self.grid(pdf)
+            h, a, g = own.grid(pdf)
             if grids.bad(g).any():
                 raise ValueError("a model gave an invalid grid")
             p = grids.outcomes(g)
@@ -66,11 +98,15 @@ class Model:
         made = tuple(c for c in rows.columns if c not in pairs.columns)
         return grids.with_columns(rows, "home_rate double, away_rate double, grid array<double>, p_home double, p_draw double, p_away double", make, made)
 
+    def bare(self) -> Model:
+        """The model without its teams: what tasks need for :meth:`grid`."""
+        raise NotImplementedError
+
     def payload(self) -> dict:
         raise NotImplementedError
 
     @property
-    def known(self) -> dict[str, list[float]]:
+    def known(self) -> Mapping[str, list[float]]:
         """Matches and decayed weight by team."""
         raise NotImplementedError
 
@@ -97,7 +133,12 @@ class Model:
     def coverage_warnings(self, pairs: DataFrame) -> DataFrame:
         """(team, issue, weight): teams of ``pairs`` without strength (unknown) or with few matches (sparse)."""
         teams = pairs.select(F.explode(F.array("home", "away")).alias("team")).where("team is not null").distinct()
-        rows = _with_team(teams, "team", [(t, float(w)) for t, (_, w) in sorted(self.known.items())], "weight double")
+        known = self.known
+        if isinstance(known, ByTeam):
+            weights = known.table.select("team", "w")
+        else:
+            weights = pairs.sparkSession.createDataFrame([(t, float(w)) for t, (_, w) in sorted(known.items())], "team string, w double")
+        rows = _with_team(teams, "team", weights, len(known), "weight")
         issue = F.when(F.col("weight").isNull(), "unknown").when(F.col("weight") < MIN_MATCHES, "sparse")
         return rows.select("team", issue.alias("issue"), "weight").where("issue is not null")
 
@@ -108,31 +149,36 @@ class GoalModel(Model):
 
     intercept: float
     advantage: float
-    attack: dict[str, float] = field(default_factory=dict)
-    defence: dict[str, float] = field(default_factory=dict)
-    coverage: dict[str, list[float]] = field(default_factory=dict)
+    attack: Mapping[str, float] = field(default_factory=dict)
+    defence: Mapping[str, float] = field(default_factory=dict)
+    coverage: Mapping[str, list[float]] = field(default_factory=dict)
     converged: bool = True
     warnings: list[str] = field(default_factory=list)
     model_type: str = "poisson"
 
     @property
-    def known(self) -> dict[str, list[float]]:
+    def known(self) -> Mapping[str, list[float]]:
         return self.coverage
 
     def strengths(self, spark: SparkSession) -> DataFrame:
         """The model as a relation (team, attack, defence)."""
+        if isinstance(self.attack, ByTeam):
+            return self.attack.table.select("team", "attack", "defence")
         return spark.createDataFrame([(t, float(self.attack[t]), float(self.defence[t])) for t in sorted(self.attack)], "team string, attack double, defence double")
 
     def rates(self, pairs: DataFrame, home: str = "home_rate", away: str = "away_rate") -> DataFrame:
-        rows = [(t, float(self.attack[t]), float(self.defence[t])) for t in sorted(self.attack)]
-        out = _with_team(_with_team(pairs, "home", rows, "__ha double, __hd double"), "away", rows, "__aa double, __ad double")
+        known, n = self.strengths(pairs.sparkSession), len(self.attack)
+        out = _with_team(_with_team(pairs, "home", known, n, "__ha", "__hd"), "away", known, n, "__aa", "__ad")
         mu = F.lit(float(self.intercept))
         own = F.when(F.coalesce(F.col("neutral"), F.lit(False)), 0.0).otherwise(float(self.advantage)) if "neutral" in pairs.columns else F.lit(float(self.advantage))
         made = {home: dist.link_rate(mu, own, _zero("__ha"), _zero("__ad")), away: dist.link_rate(mu, F.lit(0.0), _zero("__aa"), _zero("__hd"))}
         return out.withColumns(made).drop("__ha", "__hd", "__aa", "__ad")
 
+    def bare(self) -> GoalModel:
+        return replace(self, attack={}, defence={}, coverage={})
+
     def payload(self) -> dict:
-        return {"schema_version": 1} | dict(vars(self))
+        return {"schema_version": 1} | _plain(vars(self))
 
 
 @dataclass
@@ -140,9 +186,9 @@ class LowScoreModel(Model):
     """A goal model moved by pre-match ratings and league offsets, with dependence between the lowest scores."""
 
     base: GoalModel
-    ratings: dict[str, float] = field(default_factory=dict)
-    offsets: dict[str, float] = field(default_factory=dict)
-    leagues: dict[str, str] = field(default_factory=dict)
+    ratings: Mapping[str, float] = field(default_factory=dict)
+    offsets: Mapping[str, float] = field(default_factory=dict)
+    leagues: Mapping[str, str] = field(default_factory=dict)
     elo: float = 0.0
     league: float = 0.0
     rho: float = 0.0
@@ -151,19 +197,27 @@ class LowScoreModel(Model):
     model_type: str = "low_score"
 
     @property
-    def known(self) -> dict[str, list[float]]:
+    def known(self) -> Mapping[str, list[float]]:
         return self.base.known
 
     def rates(self, pairs: DataFrame, home: str = "home_rate", away: str = "away_rate") -> DataFrame:
         """Rates of the base, moved by the differences of ratings (1500 where unknown) and league offsets (0)."""
-        rows = [(t, float(r), float(self.offsets.get(self.leagues.get(t) or "", 0.0))) for t, r in sorted(self.ratings.items())]
-        out = _with_team(_with_team(self.base.rates(pairs, home, away), "home", rows, "__hr double, __ho double"), "away", rows, "__ar double, __ao double")
+        if isinstance(self.ratings, ByTeam):
+            known = self.ratings.table.select("team", "rating", "offset")
+        else:
+            rows = [(t, float(r), float(self.offsets.get(self.leagues.get(t) or "", 0.0))) for t, r in sorted(self.ratings.items())]
+            known = pairs.sparkSession.createDataFrame(rows, "team string, rating double, offset double")
+        n = len(self.ratings)
+        out = _with_team(_with_team(self.base.rates(pairs, home, away), "home", known, n, "__hr", "__ho"), "away", known, n, "__ar", "__ao")
         rating = lambda c: F.coalesce(F.col(c), F.lit(INITIAL_RATING))
         move = self.elo * (rating("__hr") - rating("__ar")) + self.league * (_zero("__ho") - _zero("__ao"))
         return out.withColumns({home: dist.adjusted_rate(F.col(home), move), away: dist.adjusted_rate(F.col(away), -move)}).drop("__hr", "__ho", "__ar", "__ao")
 
+    def bare(self) -> LowScoreModel:
+        return replace(self, base=self.base.bare(), ratings={}, offsets={}, leagues={})
+
     def payload(self) -> dict:
-        return {"schema_version": 1} | dict(vars(self)) | {"base": self.base.payload()}
+        return {"schema_version": 1} | _plain(vars(self)) | {"base": self.base.payload()}
 
 
 @dataclass
@@ -180,7 +234,7 @@ class Mixture(Model):
             raise ValueError("the weight of a mixture lies in [0, 1]")
 
     @property
-    def known(self) -> dict[str, list[float]]:
+    def known(self) -> Mapping[str, list[float]]:
         return self.first.known
 
     def parts(self, pairs: DataFrame, prefix: str = "__m") -> DataFrame:
@@ -195,6 +249,9 @@ class Mixture(Model):
         mean = lambda a, b: F.col(a) * self.weight + F.col(b) * (1 - self.weight)
         return rows.withColumns({home: mean("__mh", home), away: mean("__ma", away)}).drop("__mh", "__ma")
 
+    def bare(self) -> Mixture:
+        return replace(self, first=self.first.bare(), second=self.second.bare())
+
     def payload(self) -> dict:
         return {"schema_version": 1, "model_type": self.model_type, "weight": self.weight, "first": self.first.payload(), "second": self.second.payload()}
 
@@ -210,7 +267,7 @@ class Calibrated(Model):
     model_type: str = "calibrated"
 
     @property
-    def known(self) -> dict[str, list[float]]:
+    def known(self) -> Mapping[str, list[float]]:
         return self.base.known
 
     def rates(self, pairs: DataFrame, home: str = "home_rate", away: str = "away_rate") -> DataFrame:
@@ -223,6 +280,9 @@ class Calibrated(Model):
         h, a, g = self.base.grid(rows, prefix)
         return h, a, grids.tempered(g, self.log_temperature, (self.home_offset, self.draw_offset))
 
+    def bare(self) -> Calibrated:
+        return replace(self, base=self.base.bare())
+
     def payload(self) -> dict:
         return {"schema_version": 1} | dict(vars(self)) | {"base": self.base.payload()}
 

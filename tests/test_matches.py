@@ -103,6 +103,27 @@ def test_fits_bring_teams_and_not_pairs_to_the_driver(spark, monkeypatch):
     assert model.converged and len(model.attack) == 30 and max(got) <= 60 < rows.select("home", "away").distinct().count()
 
 
+def test_models_leave_their_teams_in_tables(spark, monkeypatch):
+    """Strengths, coverage, rates and grids of fitted models neither bring teams to the driver nor ship them with tasks."""
+    rows = M.valid_matches(history(spark, 1500, teams=30))
+    pairs = spark.createDataFrame([("t0", "t7"), ("new", "t1")], "home string, away string")
+    frame, session, got = type(rows), type(spark), []
+    for name, size in (("toPandas", len), ("collect", len), ("toArrow", lambda t: t.num_rows)):
+        plain = getattr(frame, name)
+        monkeypatch.setattr(frame, name, lambda self, plain=plain, size=size: got.append(size(out := plain(self))) or out)
+    made = session.createDataFrame
+    monkeypatch.setattr(session, "createDataFrame", lambda self, data, *args, **named: got.append(len(data)) or made(self, data, *args, **named))
+    goal, low = fit.fit_poisson(rows, CUT), fit.fit_low_score(rows, CUT)
+    assert goal.strengths(spark).count() == 30 and goal.coverage_warnings(pairs).count() == 1
+    assert models.Mixture(goal, low, 0.3).grids(pairs).where("abs(aggregate(grid, 0D, (a, x) -> a + x) - 1) < 1e-9").count() == 2
+    assert max(got) < 30 and not low.bare().ratings and not low.bare().base.attack
+    ratings, offset = dict(low.ratings), lambda t: low.offsets.get(low.leagues.get(t), 0.0)
+    base = {r["home"]: r["home_rate"] for r in low.base.rates(pairs).collect()}
+    moved = {r["home"]: r["home_rate"] for r in low.rates(pairs).collect()}
+    assert moved["t0"] == pytest.approx(base["t0"] * np.exp(low.elo * (ratings["t0"] - ratings["t7"]) + low.league * (offset("t0") - offset("t7"))))
+    assert models.from_json(low.to_json()) == low
+
+
 def test_models_nest_and_give_grids(spark):
     rows = M.valid_matches(history(spark, 800))
     goal, low = fit.fit_poisson(rows, CUT), fit.fit_low_score(rows, CUT)
