@@ -156,11 +156,11 @@ def run(spark: SparkSession, matches: DataFrame, schedule: DataFrame, cutoff: st
         "warnings": sorted({*warnings, *thin, *said["warnings"]}),
         "environment": {"python": platform.python_version(), "spark": spark.version, "numpy": np.__version__, "version": matchlake.__version__},
     }
-    return result, metadata, {"tables": {"fixtures": schedule, "history": history, "coverage": coverage, "probabilities": result}, "documents": {"model": model.payload()} | ({"knockout": state} if state else {})}
+    return result, metadata, {"tables": {"fixtures": schedule, "history": history, "coverage": coverage, "probabilities": result}, "model": model, "documents": {"knockout": state} if state else {}}
 
 
 def publish(spark: SparkSession, root: str, name: str, metadata: dict, rest: dict) -> str:
-    return store.publish(spark, root, name, rest["tables"], metadata, rest["documents"])
+    return store.publish(spark, root, name, rest["tables"], metadata, {"model": rest["model"].payload()} | rest["documents"])
 
 
 def reproduce(spark: SparkSession, root: str, name: str) -> dict:
