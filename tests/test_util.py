@@ -2,6 +2,8 @@
 
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from matchlake import util
 
 
@@ -22,6 +24,17 @@ def test_salted_and_broadcast_lookups_agree(spark):
     assert one == two and len(one) == 200
 
 
+def test_replicas_of_a_lookup_are_never_broadcast_by_estimate(spark, tmp_path):
+    path = str(tmp_path / "lookup")
+    spark.range(1000).select(F.col("id").cast("string").alias("k"), (F.col("id") * 2).alias("v")).write.parquet(path)
+    big = spark.range(3000).select(F.col("id").cast("string").alias("k"))
+    for how, rows in (("left", 3000), ("inner", 1000)):
+        got = util.salted_join(big, spark.read.parquet(path), ["k"], how)
+        assert got.count() == rows and got.where("v is not null").count() == 1000
+        got.collect()
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_single_tasks_of_a_union_run_apart(spark):
     base = util.materialize(spark.range(100), "base")
     parts = [base.where(f"id >= {i}").coalesce(1).mapInArrow(lambda batches: batches, "id bigint") for i in range(3)]
