@@ -122,6 +122,20 @@ def test_a_calibration_is_promoted_only_on_an_unseen_fold(spark):
     assert selection.calibration(spark.createDataFrame(fold(0, 20, True), schema), 3)["reason"] == "insufficient_class_coverage"
 
 
+def test_the_hold_out_scores_every_match_after_the_split(spark):
+    # The strong side wins until the 2,000th match of the hold-out and loses the other 1,000.
+    strong_home, won = F.col("id") % 2 == 0, F.col("id") < 14_000
+    goals = lambda home: F.when(home == won, 3).otherwise(0)
+    rows = spark.range(15_000).select(
+        F.col("id").alias("row_id"), (F.lit(datetime(2022, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("date"),
+        F.when(strong_home, "Strong").otherwise("Weak").alias("home"), F.when(strong_home, "Weak").otherwise("Strong").alias("away"),
+        goals(strong_home).alias("home_goals"), goals(~strong_home).alias("away_goals"), F.lit("L").alias("competition"),
+    )
+    got = selection.hold_out(rows, CUT)
+    assert got["n_train"] == 12_000 and {m: s["n"] for m, s in got["models"].items()} == {"poisson": 3000, "baseline": 3000}
+    assert got["selected_model"] == "baseline"
+
+
 def test_forecasts_are_written_fold_by_fold(spark, monkeypatch):
     written = []
     plain = selection.materialize
